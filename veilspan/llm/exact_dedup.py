@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import taken_rows
 from .scratch import written
 
 #: Moduli of the two fingerprints: primes under 2**61, so that each value is a long.
@@ -148,3 +149,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(groups, [*_KEY, "branch"]).select("*", repeats).select(
         F.col("id").alias(id_col), "keep_id", "group_size", ((F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that exact_dedup() keeps, with all their columns."""
+    found = exact_dedup(docs, id_col, text_col, **options)
+    same_text = found.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kept").cast("long")).alias("copies"))
+    return taken_rows(docs, {"id": F.col(id_col), "sha": F.sha2(normalised(F.col(text_col)), 256)}, same_text)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .rows import taken_rows
 from .scratch import written
 
 SEED = 42
@@ -42,15 +43,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp) for every row; fp is the fingerprint as a signed long."""
+    """(id, row, fp) for every row; row is a hash of the text, fp the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": fps.view(np.int64)})
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return given.mapInPandas(rows, f"id {given.schema['id'].dataType.simpleString()}, fp long")
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return given.mapInPandas(rows, f"id {given.schema['id'].dataType.simpleString()}, row long, fp long")
 
 
 def pivot_table(fps: DataFrame, n: int = N_PIVOTS) -> DataFrame:
@@ -152,8 +153,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, n_pivots: int = N_PIVOT
     return dealt.mapInPandas(_sweep(max_bits, n_pivots), "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, n_pivots: int = N_PIVOTS) -> DataFrame:
-    """(id_col, fingerprint, component_id), one row per row of docs.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, n_pivots: int = N_PIVOTS) -> DataFrame:
+    """(id, row, fp, component_id), one row per row of docs.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles have ``words`` words (a shorter text is one
     shingle; a text without words, or null, has fingerprint 0 and is linked like any other).  Texts link when their
@@ -168,4 +169,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = rooted.join(roots.select("root").distinct(), "root", "left_semi").select("fp", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     alone = distinct.join(roots, distinct["fp"] == roots["node"], "left_anti").select("fp", F.col("least").alias("component_id"))
-    return rows.join(named.unionByName(alone), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(named.unionByName(alone), "fp").select("id", "row", "fp", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """simhash_components() as (id_col, fingerprint, component_id), the fingerprint in 16 hexadecimal digits."""
+    found = simhash_components(docs, id_col, text_col, **options)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of docs for each component, with all its columns: that of the smallest id, then text hash."""
+    found = simhash_components(docs, id_col, text_col, **options).where(F.col("id").eqNullSafe(F.col("component_id")))
+    counted = found.groupBy("component_id", "id", "row").agg(F.count(F.lit(1)).alias("n"))
+    stays = counted.groupBy("component_id", "id").agg(F.min(F.struct("row", "n")).alias("s"))
+    decided = stays.groupBy("id", F.col("s.row").alias("row")).agg(F.max("s.n").alias("n"), F.lit(1).alias("copies"))
+    return taken_rows(docs, {"id": F.col(id_col), "row": F.xxhash64(text_col)}, decided)
