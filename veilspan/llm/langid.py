@@ -22,7 +22,8 @@ _SLICE = 1 << 20  # characters whose n-grams are sorted at a time while learning
 
 def gram_codes(text: str) -> np.ndarray:
     """The 1- to 3-grams of a text's lower-cased words, each word between spaces, as whole numbers of 21 bits a character."""
-    joined = " " + " ".join(_WORD.findall(text.lower())) + " "
+    words = _WORD.findall(text.lower())
+    joined = " " + " ".join(words) + " " if words else ""
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     one, two = c[c != 32], c[:-1] << 21 | c[1:]
     inner = c[1:-1] != 32

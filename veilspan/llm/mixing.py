@@ -134,8 +134,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: floa
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """mix() as (doc_id, size, source_size, target, taken, copies); taken is the number of words, repeats counted."""
-    return mix(docs, **options).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    """mix() as (doc_id, size, source_size, target, taken, copies, source); taken is the number of words, repeats counted."""
+    return mix(docs, **options).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -152,6 +152,6 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def report(docs: DataFrame, **options) -> DataFrame:
     """find_personal() as counts of base spans per kind, their digest, all spans, and the number of added ones."""
     got = find_personal(docs, **options)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     every = F.array_sort(F.concat("base", "found"))
-    return got.select("doc_id", *counts, F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    return got.select("doc_id", *map(count, range(len(KINDS))), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(every).alias("spans"), F.size("found").cast("long").alias("n_found"))
