@@ -1,0 +1,118 @@
+import pytest
+from pyspark.sql import functions as F
+
+from veilspan.operators import detect as D
+from veilspan.operators.overlap import non_overlapping, overlap_groups, overlap_pairs
+from veilspan.sources.rules import Rules, load_rules
+
+CODED = ["DATE_OF_BIRTH", "SERVICE_NUMBER", "DOD_ID", "VA_CLAIM_NUMBER", "BUSINESS_TAX_ID", "MEDICAL_LICENSE", "EMPLOYEE_ID"]
+GOLDEN = [
+    ("The company EIN is 12-3456789.", {"BUSINESS_TAX_ID": ["12-3456789"]}),
+    ("Verify the DoD ID 1234567890.", {"SERVICE_NUMBER": ["ID 1234567890"]}),
+    ("DOD-12345678", {"DOD_ID": ["DOD-12345678"], "SERVICE_NUMBER": ["DOD-12345678"], "EMPLOYEE_ID": ["OD-1234"]}),
+    ("Her DOB is 21/05/1994.", {"DATE_OF_BIRTH": ["21/05/1994"]}),
+    ("Service number ARMY-654321 was confirmed.", {"EMPLOYEE_ID": ["MY-6543"]}),
+    ("NAV-987654", {"SERVICE_NUMBER": ["NAV-987654"], "EMPLOYEE_ID": ["AV-9876"]}),
+    ("IAF 123456", {"SERVICE_NUMBER": ["IAF 123456"]}),
+    ("Please provide your Employee ID EMP-10492.", {"EMPLOYEE_ID": ["EMP-10492"]}),
+    ("AB123456", {"EMPLOYEE_ID": ["AB123456"], "SERVICE_NUMBER": ["AB123456"]}),
+    ("ab-1234", {"EMPLOYEE_ID": ["ab-1234"]}),
+    ("MD123456", {"MEDICAL_LICENSE": ["MD123456"], "EMPLOYEE_ID": ["MD123456"], "SERVICE_NUMBER": ["MD123456"]}),
+    ("DMC/12345", {"MEDICAL_LICENSE": ["DMC/12345"]}),
+    ("Doctor's license LIC-456789 is valid.", {"MEDICAL_LICENSE": ["LIC-456789"], "SERVICE_NUMBER": ["LIC-456789"], "EMPLOYEE_ID": ["IC-4567"]}),
+    ("The VA Claim Number is 123-45-6789.", {}),
+    ("123 456 789", {}),
+    ("Veteran Service Number: A12345678.", {"SERVICE_NUMBER": ["A12345678"]}),
+]
+
+
+@pytest.fixture(scope="module")
+def golden(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(GOLDEN)] + [(100, "my ssn is 321-45-7891"), (101, None), (102, ""), (103, "nothing here"), (104, "é🙂 my ssn is 321-45-7891"), (105, "rate 1.3214578912, phone 5551112222")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def spans(golden):
+    return D.detect(golden, load_rules()).cache()
+
+
+def test_golden_texts(spans):
+    got = {}
+    for r in spans.where(F.col("entity_type").isin(CODED)).orderBy("start").collect():
+        got.setdefault(r["doc_id"], {}).setdefault(r["entity_type"], []).append(r["value"])
+    assert [got.get(i, {}) for i in range(len(GOLDEN))] == [want for _, want in GOLDEN]
+    both = {r["entity_type"] for r in spans.where("doc_id = 100").collect()}
+    assert both == {"US_SSN", "VA_CLAIM_NUMBER"}
+
+
+def test_values_stand_where_the_spans_say(spans, golden):
+    texts = {r["doc_id"]: r["text"] for r in golden.collect()}
+    rows = spans.collect()
+    assert rows and all(texts[r["doc_id"]][r["start"] : r["end"]] == r["value"] for r in rows)
+    assert {r["doc_id"] for r in rows} & {101, 102, 103} == set()
+
+
+def test_context_lifts_a_score(spark):
+    rows = [(1, "ssn 321-45-7891"), (2, "xssn 321-45-7891"), (3, "ssn" + " " * 70 + "321-45-7891")]
+    raw = D.raw_matches(spark.createDataFrame(rows, "doc_id long, text string"), load_rules().only("US_SSN"))
+    assert {r["doc_id"]: r["score"] for r in raw.collect()} == {1: 0.85, 2: 0.5, 3: 0.5}
+
+
+def test_decimal_guard(spark):
+    cases = [("1.123456789", 2, 11, False), ("123456789.5", 0, 9, False), ("123456789.", 0, 9, True), (".123456789", 1, 10, True), ("a123456789b", 1, 10, True), ("9123456789", 1, 10, False)]
+    df = spark.createDataFrame(cases, "text string, s int, e int, want boolean")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", D.not_in_decimal(F.col("text"), F.col("s"), F.col("e"))).collect())
+
+
+def test_rules():
+    rules = load_rules()
+    assert len(rules) == 13 and len(load_rules(secrets=True)) == 17
+    assert rules.for_countries(None) == rules
+    with pytest.raises(ValueError, match="no rules for XX"):
+        rules.for_countries(["XX"])
+    more = rules.with_recognizer("BADGE", [(r"\bB-[0-9]{4}\b", 0.9)], country="GLOBAL")
+    assert [r.entity for r in Rules(more).for_countries(["XX"])] == ["BADGE"]
+    assert len(rules.enabled(["llm"])) == 0 and len(rules.enabled(["builtin"])) == 13
+
+
+def test_own_recognizer_and_failing_validator(spark):
+    df = spark.createDataFrame([(1, "badge B-1234 and B-9999")], "doc_id long, text string")
+    rules = load_rules().only("DOD_ID").with_recognizer("BADGE", [(r"\bB-[0-9]{4}\b", 0.9)], validator="mine")
+    checks = {"mine": lambda v, t: F.when(v == "B-1234", True)}
+    assert [r["value"] for r in D.detect(df, rules, validators=checks).collect()] == ["B-1234"]
+    with pytest.raises(ValueError, match="no validator named mine"):
+        D.detect(df, rules)
+    strict = load_rules(strict_boundaries=True).only("EMPLOYEE_ID")
+    assert D.detect(spark.createDataFrame([(1, "NAV-987654")], "doc_id long, text string"), strict).collect() == []
+
+
+def test_secrets(spark):
+    t = "x ghp_" + "a" * 36 + " xoxb-1234567890-abc AKIA" + "Z" * 16 + " azure key 01234567-89ab-cdef-0123-456789abcdef"
+    rules = Rules(r for r in load_rules(secrets=True) if r.group == "secrets")
+    got = {r["entity_type"] for r in D.detect(spark.createDataFrame([(1, t)], "doc_id long, text string"), rules).collect()}
+    assert got == {"github-token", "slack-token", "aws-access-key", "azure-key-id"}
+
+
+def test_overlap_operators_against_brute_force(spans):
+    by = {}
+    for r in spans.collect():
+        by.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["entity_type"], r["score"]))
+    pairs = sum(a[:3] < b[:3] and a[0] < b[1] and b[0] < a[1] for s in by.values() for a in s for b in s)
+    assert overlap_pairs(spans).count() == pairs
+    groups = {(r["doc_id"], r["start"], r["end"], r["entity_type"]): r["overlap_group"] for r in overlap_groups(spans).collect()}
+    for doc, s in by.items():
+        reach, n = -1, 0
+        for a in sorted(s):
+            n, reach = (n + 1, a[1]) if a[0] >= reach else (n, max(reach, a[1]))
+            assert groups[(doc, *a[:3])] == n
+    for best in (False, True):
+        got = {}
+        for r in non_overlapping(spans, best=best).collect():
+            got.setdefault(r["doc_id"], set()).add((r["start"], r["end"], r["entity_type"], r["score"]))
+        for doc, s in by.items():
+            kept = []
+            for a in sorted(s, key=(lambda a: (-a[3], a[0] - a[1], a[0], a[2])) if best else None):
+                if all(a[1] <= b[0] or b[1] <= a[0] for b in kept):
+                    kept.append(a)
+            assert got[doc] == set(kept)
