@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import taken_rows
-from .scratch import written
+from .scratch import small_batches, written
 
 #: Moduli of the two fingerprints: primes under 2**61, so that each value is a long.
 PRIMES = (1957294168273505681, 2108354871540229841)
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, primes: Sequence[i
     and their hashes combined by length-shifted sums.
     """
     hashed = _hash_udf(primes)
-    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    raw = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
     long = F.octet_length("raw") > chunk_chars
     base = [F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256")]
     out = ["id", "n_bytes", "fp1", "fp2", "text_sha256", *(["norm"] if with_text else [])]

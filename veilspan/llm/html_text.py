@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 # Function words of the languages that the rules know.
 STOP_WORDS = frozenset(
     """the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their
@@ -189,4 +191,4 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     def text(pages: pd.Series) -> pd.Series:
         return pages.map(main_text, na_action=None)
 
-    return pages.select(*keep, text(F.col(html_col)).alias("text")).select(*keep, "text", F.length("text").cast("long").alias("n_chars"))
+    return small_batches(pages).select(*keep, text(F.col(html_col)).alias("text")).select(*keep, "text", F.length("text").cast("long").alias("n_chars"))

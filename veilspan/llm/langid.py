@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 #: n-grams of a profile.
 RANKS = 300
 #: Labelled documents per language that profiles are learned from, about; chosen by a hash of the id.
@@ -48,7 +50,7 @@ def learn_profiles(docs: DataFrame, ranks: int = RANKS, per_language: int = LEAR
     Only ids and languages are read to choose about ``per_language`` documents of each language (all, if there are
     fewer), then their whole texts.  The result has ``ranks`` numbers per language, whatever the corpus.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    known = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}

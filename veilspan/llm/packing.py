@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
-from .tokens import word_tokenizer
+from .scratch import small_batches, written
+from .tokens import flat, gathered, word_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that one task packs at a time, and groups whose open sequences meet at the next level.
@@ -24,9 +24,9 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABU
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(vocabulary)
-        for batch in batches:
-            ids, at = batch.column(0), 0
-            for docs_ids in tokenizer.encode_all(batch.column(1)):
+        for batch in gathered(batches):
+            ids, at = flat(batch.column(0)), 0
+            for docs_ids in tokenizer.encode_all(flat(batch.column(1))):
                 doc, piece, start, length, crc = [], [], [], [], []
                 for own in docs_ids:
                     whole = np.append(own, np.uint32(end_id)).astype("<u4")
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABU
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return given.mapInArrow(rows, f"id {given.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 

@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session's Arrow batches set to hold ``rows`` rows unless the session names a size itself.
+
+    Whole texts go to Python in batches; at the default of 10000 rows a worker holds ten times what it needs.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, then read from there by whatever uses it."""
     spark = df.sparkSession

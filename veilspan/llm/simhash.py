@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .rows import taken_rows
-from .scratch import written
+from .scratch import small_batches, written
 
 SEED = 42
 #: Reference fingerprints whose distances to every fingerprint are kept beside it.
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": fps.view(np.int64)})
 
-    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    given = small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     return given.mapInPandas(rows, f"id {given.schema['id'].dataType.simpleString()}, row long, fp long")
 
 

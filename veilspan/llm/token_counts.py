@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import word_tokenizer
+from .scratch import small_batches
+from .tokens import flat, gathered, word_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Lengths of a block: sums run within blocks and over blocks, so that no task sorts all lengths.
@@ -20,14 +21,14 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(vocabulary)
-        for batch in batches:
+        for batch in gathered(batches):
             counts: dict[int, int] = {}
-            for docs_ids in tokenizer.encode_all(batch.column(0)):
+            for docs_ids in tokenizer.encode_all(flat(batch.column(0))):
                 for ids in docs_ids:
                     counts[len(ids)] = counts.get(len(ids), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["n_tokens", "docs"])
 
-    return docs.select(text_col).mapInArrow(rows, "n_tokens long, docs long")
+    return small_batches(docs).select(text_col).mapInArrow(rows, "n_tokens long, docs long")
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", block: int = BLOCK) -> DataFrame:

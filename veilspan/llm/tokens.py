@@ -22,6 +22,24 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 16_000_000) -> Iterator[pa.Table]:
+    """Record batches joined up to about most_bytes, so that a word met in several is looked up once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def flat(column: pa.ChunkedArray) -> pa.Array:
+    """The one chunk of a column of a gathered table; of an empty one, no rows."""
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
 class Table(dict):
     """Holds up to ``most`` keys, first come first kept, and starts anew when ten times as many came too late."""
 
