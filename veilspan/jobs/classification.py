@@ -59,7 +59,8 @@ def classify(df: DataFrame, text_col: str = "text", countries: list[str] | None
 
 def entity_details(classified: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, entity, location, confidence_score, entity_value, start_index, end_index): one row per detail."""
-    each = classified.select(id_col, F.explode("entityDetails").alias("entity", "details"))
+    # The outer form: for the inner one Spark would test the map's size first, and so compute it twice.
+    each = classified.select(id_col, F.explode_outer("entityDetails").alias("entity", "details")).where("entity is not null")
     return each.select(id_col, "entity", F.explode("details").alias("d")).select(id_col, "entity", "d.*")
 
 

@@ -117,14 +117,15 @@ def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str =
 
 def detect(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "doc_id", as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None) -> DataFrame:
     """(id, entity_type, start, end, score, value): one row per span."""
-    spans = with_spans(df.select(id_col, text_col), rules, text_col, as_of, validators).select(id_col, F.explode("spans").alias("s"))
+    # The outer form: for the inner one Spark would test the spans' size first, and so compute them twice.
+    spans = with_spans(df.select(id_col, text_col), rules, text_col, as_of, validators).select(id_col, F.explode_outer("spans").alias("s")).where("s is not null")
     return spans.select(id_col, "s.entity_type", "s.start", "s.end", F.round("s.score", 4).alias("score"), "s.value")
 
 
 def raw_matches(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, entity_type, pattern, start, end, base_score, score, value) before any check, threshold or merge."""
     rules, text = rules.enabled(), F.col(text_col)
-    rows = df.select(id_col, F.explode(_scored(text, _hits(text, _numbered(rules)), rules)).alias("m"))
+    rows = df.select(id_col, F.explode_outer(_scored(text, _hits(text, _numbered(rules)), rules)).alias("m")).where("m is not null")
     entity = F.get(F.array(*[F.lit(r.entity) for r in rules]), F.col("m.rule"))
     return rows.select(id_col, entity.alias("entity_type"), "m.pattern", "m.start", "m.end", F.col("m.base").alias("base_score"), F.round("m.score", 4).alias("score"), "m.value")
 

@@ -19,7 +19,7 @@ def parse_entities(text: Column) -> Column:
 
 def response_entities(df: DataFrame, id_col: str = "row_id", details_col: str = "entityDetails") -> DataFrame:
     """(id, label, start, end, extracted_text) from a map of detail lists; details with an unreadable location are skipped."""
-    each = df.select(id_col, F.explode(details_col).alias("label", "details")).select(id_col, "label", F.explode("details").alias("d"))
+    each = df.select(id_col, F.explode_outer(details_col).alias("label", "details")).where("label is not null").select(id_col, "label", F.explode("details").alias("d"))
     place = F.split("d.location", "_")
     out = each.select(id_col, "label", F.get(place, 0).try_cast("int").alias("start"), F.get(place, 1).try_cast("int").alias("end"), F.col("d.entity_value").alias("extracted_text"))
     return out.where("start is not null and end is not null")

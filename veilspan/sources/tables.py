@@ -42,7 +42,8 @@ def planted_records(spark: SparkSession, sf_dir: str, more: bool = False) -> Dat
     """(doc_id, text, planted values): one record per customer."""
     values = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_custkey").alias("doc_id"), *[F.expr(x).alias(k) for k, x in PLANTED.items()])
     text = F.expr(f"concat({RECORD}, {MORE})" if more else RECORD)
-    return values.select("doc_id", text.alias("text"), *PLANTED)
+    # A generated row is computed once; a projected text would be put together anew wherever a later expression reads it.
+    return values.select("doc_id", F.explode(F.array(text)).alias("text"), *PLANTED)
 
 
 def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = LABELLED) -> DataFrame:
