@@ -9,21 +9,66 @@ from pyspark.sql import functions as F
 
 Validator = Callable[[Column, Column, str], Column]
 
-# Published numbers that were never assigned to a person; test numbers of claims; other names of labels.
+# Published numbers that were never assigned to a person; test numbers of claims; names of labels.
 NEVER_ISSUED_SSN = ["078051120", "219099999", "457555462"]
 TEST_CLAIMS = ["123456789", "987654321", "000000000"]
-ALIASES = {
-    "passport": "passport_number", "bank_name": "company", "hospital_name": "company", "company_name": "company", "company_address": "street_address", "us-itin": "itin",
-    "address": "street_address", "treating_physician": "name", "surgeon": "name", "contact_number": "phone_number", "ipv6": "ip_address", "ipv4": "ip_address",
-    "provider_email": "email", "reference_contact_number": "phone_number", "residential_address": "street_address", "reference_name": "name", "contact_telephone_number": "phone_number",
-    "contact_name": "name", "contact_ipv6_address": "ip_address", "person": "name", "us_ssn": "ssn", "us_passport": "passport_number", "us_driver_license": "driver_license_number",
-    "email_address": "email", "llm_person": "name", "llm_organization": "company", "credit_card": "credit_card_number", "us_bank_number": "bank_account_number", "iban_code": "iban",
-    "us_itin": "itin", "routing_number": "bank_routing_number", "swift_code": "swift_bic_code", "bban_code": "bban",
-}
-SAME_NAME = [
-    "iban", "ssn", "passport_number", "driver_license_number", "credit_card_number", "name", "street_address", "email", "phone_number", "date_of_birth", "bank_routing_number",
-    "bank_account_number", "swift_bic_code", "api_key", "private_keys", "itin", "ip_address", "bban", "medical_record_number", "health_insurance_number", "vehicle_vin", "license_plate_number",
-]
+LABELS = {
+    "iban": "iban",
+    "ssn": "ssn",
+    "passport_number": "passport_number",
+    "passport": "passport_number",
+    "driver_license_number": "driver_license_number",
+    "credit_card_number": "credit_card_number",
+    "name": "name",
+    "company_name": "company",
+    "street_address": "street_address",
+    "email": "email",
+    "phone_number": "phone_number",
+    "date_of_birth": "date_of_birth",
+    "bank_routing_number": "bank_routing_number",
+    "bank_account_number": "bank_account_number",
+    "swift_bic_code": "swift_bic_code",
+    "api_key": "api_key",
+    "private_keys": "private_keys",
+    "bank_name": "company",
+    "hospital_name": "company",
+    "company_address": "street_address",
+    "us-itin": "itin",
+    "itin": "itin",
+    "ip_address": "ip_address",
+    "bban": "bban",
+    "address": "street_address",
+    "treating_physician": "name",
+    "surgeon": "name",
+    "contact_number": "phone_number",
+    "ipv6": "ip_address",
+    "ipv4": "ip_address",
+    "provider_email": "email",
+    "reference_contact_number": "phone_number",
+    "residential_address": "street_address",
+    "reference_name": "name",
+    "contact_telephone_number": "phone_number",
+    "contact_name": "name",
+    "contact_ipv6_address": "ip_address",
+    "person": "name",
+    "us_ssn": "ssn",
+    "us_passport": "passport_number",
+    "us_driver_license": "driver_license_number",
+    "email_address": "email",
+    "llm_person": "name",
+    "llm_organization": "company",
+    "credit_card": "credit_card_number",
+    "us_bank_number": "bank_account_number",
+    "iban_code": "iban",
+    "us_itin": "itin",
+    "routing_number": "bank_routing_number",
+    "swift_code": "swift_bic_code",
+    "bban_code": "bban",
+    "medical_record_number": "medical_record_number",
+    "health_insurance_number": "health_insurance_number",
+    "vehicle_vin": "vehicle_vin",
+    "license_plate_number": "license_plate_number",
+}
 #: Words for birth in seven languages, as they introduce a date.
 BIRTH_WORDS = "(?i)(birth|dob|born|d\\.o\\.b\\.|geburtsdatum|geburtstag|geboren|date\\s+de\\s+naissance|ddn|fecha\\s+de\\s+nacimiento|nacimiento|nacido\\s+el|syntym|syntynyt|geboorte|födelsed|född)"
 DATE_FORMATS = ["dd-MM-yyyy", "yyyy-MM-dd", "MM-dd-yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
@@ -137,8 +182,7 @@ def valid_api_key(value: Column) -> Column:
 
 def canonical_label(label: Column) -> Column:
     """One name for the many that sources use; null if unknown."""
-    pairs = ALIASES | {k: k for k in SAME_NAME}
-    return F.element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), F.lower(label))
+    return F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), F.lower(label))
 
 
 def validate_extracted(label: Column, value: Column, text: Column) -> Column:
