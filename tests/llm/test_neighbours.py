@@ -17,7 +17,7 @@ def test_recall(spark):
     t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").slice(0, 2000)
     ids, x = t["vec_id"].to_pylist(), np.stack(t["embedding"].to_numpy()).astype(float)
     got = {}
-    for r in nn.nearest_neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(f"vec_id <= {ids[-1]}"), query_every=50, block=300).collect():
+    for r in nn.nearest_neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(f"vec_id <= {ids[-1]}"), query_every=50, block=300, least_seen=0).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
     want = brute(ids, x, 10, 50)
     assert got.keys() == want.keys()
@@ -42,7 +42,7 @@ def test_ties_repeats_and_unusable_vectors(spark):
     bad = [None, [0.0, 0.0, 0.0], [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0], [1.0, 2.0], []]
     rows = [(i, [1.0, float(i % 4), 2.0]) for i in range(40)] + [(100 + i, v) for i, v in enumerate(bad)] + [(0, [1.0, 0.0, 2.0]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, rank int")
-    got = [tuple(r) for r in nn.nearest_neighbours(df, query_every=10, probe=1.0, block=8).orderBy("query_id", "rank").collect()]
+    got = [tuple(r) for r in nn.nearest_neighbours(df, query_every=10, block=8).orderBy("query_id", "rank").collect()]
     ids, x = [i for i, _ in rows[:40]], [np.array(v) for _, v in rows[:40]]
     want = [(q, r + 1, v, s) for q, found in brute(ids, x, 10, 10).items() for r, (s, v) in enumerate(found)]
     assert got == want

@@ -16,6 +16,8 @@ from .scratch import written
 FIT_ROWS, MAX_CENTROIDS = 20_000, 256
 #: Share of all vectors whose cells a query visits.
 PROBE = 0.5
+#: Entries that a query sees at least; smaller tables are searched whole.
+LEAST_SEEN = 2000
 #: Index entries and queries that meet in one task.
 BLOCK, QUERIES = 8192, 2048
 
@@ -73,11 +75,11 @@ def _stack(vectors: pd.Series, dim: int) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.empty((0, dim))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100, probe: float = PROBE, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100, probe: float = PROBE, least_seen: int = LEAST_SEEN, id_col: str = "vec_id", vector_col: str = "embedding", fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose id is divisible by query_every, the k nearest found.
 
     Codebooks of both halves are fitted on up to fit_rows vectors; every vector is indexed in the cell of its two nearest
-    centroids.  A query visits cells by summed centroid distance until they hold a ``probe`` share of all vectors, and ranks
+    centroids.  A query visits cells by summed centroid distance until they hold a ``probe`` share of all vectors (``least_seen`` at least), and ranks
     their entries by Euclidean distance in double precision, ties by id.  Vectors that are null, zero, hold null or non-finite
     components, or have another length than most, and rows with a null id, take no part.  Equal vectors are one entry with
     its k + 1 smallest ids: no query can need more.  Repeated rows of one id and vector count once; a query's own id is
@@ -113,7 +115,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100,
         counts[r["c1"], r["c2"]] = r["n"]
     ends = np.cumsum(counts.ravel()).reshape(counts.shape)
     first, last = (ends - counts) // block, np.maximum(ends - 1, 0) // block
-    want = max(1, int(np.ceil(probe * total)))
+    want = max(int(np.ceil(probe * total)), min(total, least_seen))
     groups = -(-given.where(F.col("id") % query_every == 0).count() // QUERIES)
 
     @F.pandas_udf("int")
