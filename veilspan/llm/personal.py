@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, running_sums
 from .scratch import written
 
 # The kinds in order and the patterns that define them, written so that no start is tried twice within a run.
@@ -29,29 +30,18 @@ CONTEXT = 48
 SUPPORT, CONFIDENCE, ROUNDS = 8, 0.8, 3
 
 
-def running_sums(numbers: Column) -> Column:
-    """The sum up to and including each element of an array, block by block of about the square root of its size."""
-    size = F.size(numbers)
-    side = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
-    zero, none = F.lit(0).cast("int"), F.array().cast("array<int>")
-    within = lambda part: F.aggregate(part, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), zero) + x)))
-    blocks = F.transform(F.when(size > 0, F.sequence(F.lit(0), F.floor((size - 1) / side).cast("int"))).otherwise(none), lambda i: within(F.slice(numbers, i * side + 1, side)))
-    start = F.struct(zero.alias("sum"), F.array().cast("array<array<int>>").alias("done"))
-
-    def lift(acc: Column, block: Column) -> Column:
-        return F.struct((acc["sum"] + F.element_at(block, -1)).alias("sum"), F.concat(acc["done"], F.array(F.transform(block, lambda x: x + acc["sum"]))).alias("done"))
-
-    return F.aggregate(blocks, start, lift, lambda acc: F.flatten(acc["done"]))
-
-
 def matches(text: Column, pattern: str, gate: str) -> Column:
     """array<struct<start, end, value, left>> of a pattern's leftmost matches, in code points, with the text just before."""
     kind = "array<struct<start:int,end:int,value:string,left:string>>"
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    joined = F.zip_with(found, F.slice(between, 1, F.greatest(F.size(found), F.lit(0))), lambda value, before: F.struct(value.alias("value"), F.length(value).alias("size"), F.length(before).alias("gap"), F.right(before, F.lit(CONTEXT)).alias("left")))
-    ends = running_sums(F.transform(joined, lambda m: m["size"] + m["gap"]))
-    spans = F.zip_with(joined, ends, lambda m, end: F.struct((end - m["size"]).alias("start"), end.alias("end"), m["value"].alias("value"), m["left"].alias("left")))
-    return F.when(F.regexp_like(text, F.lit(gate)), spans).otherwise(F.array()).cast(kind)
+
+    def place(m: Column) -> Column:
+        pieces = F.slice(m["between"], 1, F.size(m["found"]))
+        ends = running_sums(F.zip_with(m["found"], pieces, lambda value, before: F.length(value) + F.length(before)))
+        spans = F.zip_with(m["found"], ends, lambda value, end: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
+        return F.zip_with(spans, pieces, lambda s, before: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.right(before, F.lit(CONTEXT)).alias("left")))
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return F.when(F.regexp_like(text, F.lit(gate)), let(found, place)).otherwise(F.array()).cast(kind)
 
 
 def digits(value: Column) -> Column:
