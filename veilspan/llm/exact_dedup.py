@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .rows import taken_rows
 from .scratch import small_batches, written
+from .skew import join_groups
 
 #: Moduli of the two fingerprints: primes under 2**61, so that each value is a long.
 PRIMES = (1957294168273505681, 2108354871540229841)
@@ -96,9 +97,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, primes: Sequence[i
 
 def _mismatches(texts: DataFrame, chunk_chars: int, salt_rows: int) -> DataFrame:
     """Members whose text differs from that of the smallest member with the same fingerprint."""
-    reps = texts.groupBy(_KEY).agg(F.min(F.struct("id", "text_sha256")).alias("rep"), F.count(F.lit(1)).alias("members"))
-    reps = reps.withColumn("salts", F.ceil(F.col("members") / salt_rows).cast("int"))
-    with_rep = texts.join(reps, _KEY)
+    reps = written(texts.groupBy(_KEY).agg(F.min(F.struct("id", "text_sha256")).alias("rep"), F.count(F.lit(1)).alias("members")))
+    with_rep = join_groups(texts, reps, _KEY, "members", ["id", "text_sha256"], texts.count()).withColumn("salts", F.ceil(F.col("members") / salt_rows).cast("int"))
     is_rep = F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("text_sha256") == F.col("rep.text_sha256"))
     pieces = chunks_of(F.col("norm"), chunk_chars)
     left = (
@@ -126,8 +126,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     one = fingerprints(docs, id_col, text_col, primes, chunk_chars)
     rows = written(one.groupBy("id", *_KEY, "text_sha256").agg(F.count(F.lit(1)).alias("n")))
-    shared = rows.groupBy(_KEY).agg(F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    texts = written(fingerprints(docs, id_col, text_col, primes, chunk_chars, with_text=True).join(shared, _KEY, "left_semi").dropDuplicates(["id", *_KEY, "text_sha256"]))
+    shared = written(rows.groupBy(_KEY).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n_rows")).where("members > 1"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    copies = join_groups(fingerprints(docs, id_col, text_col, primes, chunk_chars, with_text=True), shared, _KEY, "n_rows", ["id", "text_sha256"], total, "left_semi")
+    texts = written(copies.dropDuplicates(["id", *_KEY, "text_sha256", "__salt"]).drop("__salt"))
     branches, todo, branch = None, texts, 0
     while True:
         other = written(_mismatches(todo, chunk_chars, salt_rows))
@@ -144,9 +146,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         b = branches.groupBy(F.col("id").alias("b_id"), *[F.col(k).alias(f"b_{k}") for k in [*_KEY, "text_sha256"]]).agg(F.max("branch").alias("branch"))
         same = [rows[k] == b[f"b_{k}"] for k in [*_KEY, "text_sha256"]] + [rows["id"].eqNullSafe(b["b_id"])]
         rows = rows.join(b, same, "left").select(*[rows[c] for c in rows.columns], F.coalesce("branch", F.lit(0)).alias("branch"))
-    groups = rows.groupBy(*_KEY, "branch").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    groups = written(rows.groupBy(*_KEY, "branch").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("members")))
     repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")
-    return rows.join(groups, [*_KEY, "branch"]).select("*", repeats).select(
+    return join_groups(rows, groups, [*_KEY, "branch"], "members", ["id", "text_sha256"], total).select("*", repeats).select(
         F.col("id").alias(id_col), "keep_id", "group_size", ((F.col("copy") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"
     )
 
