@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .rows import taken_rows
 from .scratch import small_batches, written
+from .skew import join_groups
 
 SEED = 42
 #: Reference fingerprints whose distances to every fingerprint are kept beside it.
@@ -163,13 +164,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty result; other columns are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col, words))
-    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(fingerprint_links(distinct, max_bits, n_pivots), "a", "b")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = rooted.join(roots.select("root").distinct(), "root", "left_semi").select("fp", "root", "least")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    alone = distinct.join(roots, distinct["fp"] == roots["node"], "left_anti").select("fp", F.col("least").alias("component_id"))
-    return rows.join(named.unionByName(alone), "fp").select("id", "row", "fp", "component_id")
+    rooted = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")))
+    total = rows.count()
+    known = written(join_groups(rooted, named, ["root"], "fps", ["fp"], total).select("fp", "n", "component_id"))
+    return join_groups(rows, known, ["fp"], "n", ["id", "row"], total).select("id", "row", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
