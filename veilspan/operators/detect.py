@@ -17,8 +17,6 @@ AS_OF = "2024-01-01"
 WINDOW, BOOST, FLOOR = 60, 0.35, 0.4
 #: Labels whose values must not be part of a decimal number.
 GUARDED = ["ssn", "credit_card", "itin", "phone_number", "us_bank_number", "us_driver_license", "us_ssn", "us_itin"]
-#: A text without any of these holds no identifier; it is not searched further.
-GATE = "[0-9]{4}|[0-9]{3}[-. ]|@|xox[a-z]-"
 
 
 def context_regex(words: tuple[str, ...]) -> str:
@@ -98,6 +96,16 @@ def _numbered(rules: Rules) -> list[tuple[int, int, Pattern]]:
     return [(n, i, p) for n, r in enumerate(rules) for i, p in enumerate(r.patterns)]
 
 
+def gate(rules: Rules, own: Mapping[str, Validator] | None = None) -> str | None:
+    """What every text with a span has, for the rules given and the user's own checks; None if a pattern doesn't say what it needs."""
+    needs = []
+    for r in rules:
+        for p in r.patterns:
+            ours = p.checked is not None and p.checked[0] == r.validator and r.validator not in (own or {})
+            needs.append(p.checked[1] if ours else p.needs)
+    return None if None in needs else "|".join(dict.fromkeys(needs))
+
+
 def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None) -> Column:
     """array<SPAN> of all rules, by start, end and entity; a null text has none.  Spans of different entities may share a place."""
     rules, none = rules.enabled(), F.array().cast(f"array<{SPAN}>")
@@ -107,7 +115,9 @@ def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mappi
     entities = F.array(*[F.lit(r.entity) for r in rules])
     passing = F.filter(_scored(text, _hits(text, _numbered(rules)), rules), lambda h: _passes(text, h, rules, known))
     spans = F.transform(passing, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.get(entities, h["rule"]).alias("entity_type"), h["score"].alias("score"), h["value"].alias("value")))
-    return F.when(text.rlike(GATE), F.array_sort(merged(spans)).cast(f"array<{SPAN}>")).otherwise(none)
+    needed = gate(rules, validators)
+    worth = text.isNotNull() if needed is None else text.rlike(needed)
+    return F.when(worth, F.array_sort(merged(spans)).cast(f"array<{SPAN}>")).otherwise(none)
 
 
 def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None, name: str = "spans") -> DataFrame:

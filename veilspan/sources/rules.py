@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Pattern:
+    """A shape with its score; ``needs`` finds something in every text that the shape matches (None: not known).
+
+    ``checked`` is (validator, what values of the shape that pass it need as well).
+    """
+
     regex: str
     score: float
+    needs: str | None = None
+    checked: tuple[str, str] | None = None
 
 
 @dataclass(frozen=True)
@@ -29,34 +36,36 @@ class Rule:
     output_key: str | None = None
 
 
+#: Four digits in a row, which most shapes hold.
+FOUR = "[0-9]{4}"
 ID, MONEY, CONTACT = "pii-identification", "pii-financial", "pii-contact"
 
 # Entities, display names, patterns, scores and context words.
 US_RULES = (
-    Rule("US_SSN", "us-ssn", ID, (Pattern(r"(?i)\b[0-9]{3}-?[0-9]{2}-?[0-9]{4}\b", 0.5),), ("ssn", "social security", "taxpayer id", "social security number"), "ssn", True, output_key="SSN"),
-    Rule("US_DRIVER_LICENSE", "us-drivers-license", ID, (Pattern(r"(?i)\b[A-Z0-9]{7,12}\b", 0.5),), ("driver", "license", "dl", "driver's license"), "driver_license", True, output_key="DRIVER_LICENSE_NUMBER"),
-    Rule("US_BANK_NUMBER", "us-bank-account-number", MONEY, (Pattern(r"(?i)\b[0-9]{6,17}\b", 0.5),), ("bank account", "account number", "checking", "savings"), "bank_account", True, output_key="US_BANK_NUMBER"),
-    Rule("ROUTING_NUMBER", "bank-routing-number", MONEY, (Pattern(r"(?i)\b[0-9]{9}\b", 0.5),), ("routing", "aba", "routing number"), output_key="BANK_ROUTING_NUMBER"),
-    Rule("EMAIL_ADDRESS", "email-address", CONTACT, (Pattern(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)*\.[A-Z]{2,}", 1.0),), ("email", "contact", "email address", "contact email"), "email", output_key="EMAIL"),
-    Rule("PHONE_NUMBER", "phone-number", CONTACT, (Pattern(r"(?i)\+[0-9]{1,3}[-. ]?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.6), Pattern(r"(?i)\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.5)), ("phone", "call", "contact", "mobile", "cell", "telephone", "reach at"), "phone", True, output_key="PHONE_NUMBER"),
-    Rule("DATE_OF_BIRTH", "date-of-birth", ID, (Pattern(r"(?i)\b(?:0[1-9]|[12][0-9]|3[01])[-/.](?:0[1-9]|1[0-2])[-/.][12][0-9]{3}\b", 0.85), Pattern(r"(?i)\b[12][0-9]{3}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])\b", 0.85)), ("born on", "dob", "date of birth", "birthday", "age", "born", "birth date", "born in"), "dob"),
-    Rule("SERVICE_NUMBER", "service-number", ID, (Pattern(r"(?i)\b[A-Z]{1,3}[0-9]{6,10}\b", 1.0), Pattern(r"(?i)\b[A-Z]{1,3}[-\s]?[0-9]{6,10}\b", 1.0)), ("service number", "sn", "military id", "service id")),
-    Rule("DOD_ID", "dodi-number", ID, (Pattern(r"(?i)\bDOD[-\s]?[0-9]{8,12}\b", 0.95),), ("dod id", "department of defense", "military id", "dod number")),
-    Rule("VA_CLAIM_NUMBER", "va-claim-number", ID, (Pattern(r"(?i)\b[0-9]{9}\b", 0.85), Pattern(r"(?i)\b[0-9]{3}\s[0-9]{3}\s[0-9]{3}\b", 0.9), Pattern(r"(?i)\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.9)), ("va claim", "va claim number", "claim number", "va file number", "va file no", "claim #", "va benefits", "veterans affairs"), "va_claim"),
-    Rule("BUSINESS_TAX_ID", "business-tax-id", ID, (Pattern(r"(?i)\b[0-9]{2}-[0-9]{7}\b", 0.8), Pattern(r"(?i)\b[0-9]{9}\b", 0.6)), ("ein", "tax id", "tax identification", "business tax", "practice tax", "employer identification", "irs")),
-    Rule("MEDICAL_LICENSE", "medical-license-number", ID, (Pattern(r"(?i)\b(?:LIC|MD|DMC|MED)[-/]?[0-9]{4,10}\b", 1.0),), ("medical license", "license number", "doctor license", "physician license", "medical registration")),
-    Rule("EMPLOYEE_ID", "employee-id", ID, (Pattern(r"(?i)\b(?:EMP|EID|STAFF|HR)[-_]?[0-9]{4,10}\b", 0.85), Pattern(r"(?i)\b[A-Z]{2,4}[0-9]{4,10}\b", 0.85), Pattern(r"(?i)[a-z]{2}-[0-9]{4}", 0.85)), ("employee id", "employee code", "staff id", "staff code", "employee number", "staff number", "hr id", "personnel id", "payroll id", "employee id number")),
+    Rule("US_SSN", "us-ssn", ID, (Pattern(r"(?i)\b[0-9]{3}-?[0-9]{2}-?[0-9]{4}\b", 0.5, FOUR),), ("ssn", "social security", "taxpayer id", "social security number"), "ssn", True, output_key="SSN"),
+    Rule("US_DRIVER_LICENSE", "us-drivers-license", ID, (Pattern(r"(?i)\b[A-Z0-9]{7,12}\b", 0.5, "[A-Za-z0-9]{7}", ("driver_license", "[0-9](?:[A-Za-z]{0,4}[0-9]){3}")),), ("driver", "license", "dl", "driver's license"), "driver_license", True, output_key="DRIVER_LICENSE_NUMBER"),
+    Rule("US_BANK_NUMBER", "us-bank-account-number", MONEY, (Pattern(r"(?i)\b[0-9]{6,17}\b", 0.5, FOUR),), ("bank account", "account number", "checking", "savings"), "bank_account", True, output_key="US_BANK_NUMBER"),
+    Rule("ROUTING_NUMBER", "bank-routing-number", MONEY, (Pattern(r"(?i)\b[0-9]{9}\b", 0.5, FOUR),), ("routing", "aba", "routing number"), output_key="BANK_ROUTING_NUMBER"),
+    Rule("EMAIL_ADDRESS", "email-address", CONTACT, (Pattern(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)*\.[A-Z]{2,}", 1.0, "@"),), ("email", "contact", "email address", "contact email"), "email", output_key="EMAIL"),
+    Rule("PHONE_NUMBER", "phone-number", CONTACT, (Pattern(r"(?i)\+[0-9]{1,3}[-. ]?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.6, FOUR), Pattern(r"(?i)\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.5, FOUR)), ("phone", "call", "contact", "mobile", "cell", "telephone", "reach at"), "phone", True, output_key="PHONE_NUMBER"),
+    Rule("DATE_OF_BIRTH", "date-of-birth", ID, (Pattern(r"(?i)\b(?:0[1-9]|[12][0-9]|3[01])[-/.](?:0[1-9]|1[0-2])[-/.][12][0-9]{3}\b", 0.85, FOUR), Pattern(r"(?i)\b[12][0-9]{3}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])\b", 0.85, FOUR)), ("born on", "dob", "date of birth", "birthday", "age", "born", "birth date", "born in"), "dob"),
+    Rule("SERVICE_NUMBER", "service-number", ID, (Pattern(r"(?i)\b[A-Z]{1,3}[0-9]{6,10}\b", 1.0, FOUR), Pattern(r"(?i)\b[A-Z]{1,3}[-\s]?[0-9]{6,10}\b", 1.0, FOUR)), ("service number", "sn", "military id", "service id")),
+    Rule("DOD_ID", "dodi-number", ID, (Pattern(r"(?i)\bDOD[-\s]?[0-9]{8,12}\b", 0.95, FOUR),), ("dod id", "department of defense", "military id", "dod number")),
+    Rule("VA_CLAIM_NUMBER", "va-claim-number", ID, (Pattern(r"(?i)\b[0-9]{9}\b", 0.85, FOUR), Pattern(r"(?i)\b[0-9]{3}\s[0-9]{3}\s[0-9]{3}\b", 0.9, r"[0-9]{3}\s[0-9]{3}"), Pattern(r"(?i)\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.9, FOUR)), ("va claim", "va claim number", "claim number", "va file number", "va file no", "claim #", "va benefits", "veterans affairs"), "va_claim"),
+    Rule("BUSINESS_TAX_ID", "business-tax-id", ID, (Pattern(r"(?i)\b[0-9]{2}-[0-9]{7}\b", 0.8, FOUR), Pattern(r"(?i)\b[0-9]{9}\b", 0.6, FOUR)), ("ein", "tax id", "tax identification", "business tax", "practice tax", "employer identification", "irs")),
+    Rule("MEDICAL_LICENSE", "medical-license-number", ID, (Pattern(r"(?i)\b(?:LIC|MD|DMC|MED)[-/]?[0-9]{4,10}\b", 1.0, FOUR),), ("medical license", "license number", "doctor license", "physician license", "medical registration")),
+    Rule("EMPLOYEE_ID", "employee-id", ID, (Pattern(r"(?i)\b(?:EMP|EID|STAFF|HR)[-_]?[0-9]{4,10}\b", 0.85, FOUR), Pattern(r"(?i)\b[A-Z]{2,4}[0-9]{4,10}\b", 0.85, FOUR), Pattern(r"(?i)[a-z]{2}-[0-9]{4}", 0.85, FOUR)), ("employee id", "employee code", "staff id", "staff code", "employee number", "staff number", "hr id", "personnel id", "payroll id", "employee id number")),
 )
 
 # Shapes of access tokens, off unless asked for.
 SECRET_RULES = (
-    Rule("github-token", "github-token", "secrets", (Pattern(r"\b(?:ghp|gho|ghu|ghs|ghr)_[a-zA-Z0-9]{36,255}\b", 0.45),), min_confidence=0.4),
-    Rule("slack-token", "slack-token", "secrets", (Pattern(r"(?:xoxb|xoxp|xapp|xoxa|xoxr|xoxo|xoxs|xoxe)-[0-9]{10,13}-[a-zA-Z0-9-]*", 0.45),), min_confidence=0.4),
-    Rule("aws-access-key", "aws-access-key", "secrets", (Pattern(r"\b(?:AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b", 0.45),), min_confidence=0.4),
-    Rule("azure-key-id", "azure-key-id", "secrets", (Pattern(r"(?i)(?:azure|client|tenant|subscription).{0,20}[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}", 0.45),), min_confidence=0.4),
+    Rule("github-token", "github-token", "secrets", (Pattern(r"\b(?:ghp|gho|ghu|ghs|ghr)_[a-zA-Z0-9]{36,255}\b", 0.45, "gh[pousr]_"),), min_confidence=0.4),
+    Rule("slack-token", "slack-token", "secrets", (Pattern(r"(?:xoxb|xoxp|xapp|xoxa|xoxr|xoxo|xoxs|xoxe)-[0-9]{10,13}-[a-zA-Z0-9-]*", 0.45, FOUR),), min_confidence=0.4),
+    Rule("aws-access-key", "aws-access-key", "secrets", (Pattern(r"\b(?:AKIA|ABIA|ACCA|ASIA)[0-9A-Z]{16}\b", 0.45, "A(?:KIA|BIA|CCA|SIA)[0-9A-Z]{16}"),), min_confidence=0.4),
+    Rule("azure-key-id", "azure-key-id", "secrets", (Pattern(r"(?i)(?:azure|client|tenant|subscription).{0,20}[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}", 0.45, "[A-Fa-f0-9]{8}-[A-Fa-f0-9]{4}-"),), min_confidence=0.4),
 )
 
-_STRICT_EMPLOYEE = Pattern(r"(?i)\b[a-z]{2}-[0-9]{4}\b", 0.85)
+_STRICT_EMPLOYEE = Pattern(r"(?i)\b[a-z]{2}-[0-9]{4}\b", 0.85, FOUR)
 
 
 class Rules(tuple):
