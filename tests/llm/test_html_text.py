@@ -42,3 +42,19 @@ def test_odd_rows(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r["page_id"]), r["n_chars"] > 0) for r in got) == [("1", False), ("1", False), ("2", True), ("None", False)]
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_silent_elements_without_an_end_tag():
+    p, q = (RUN * 3).strip(), (RUN * 3).strip() + " again"
+    for between in ("<select><option>A<option>B</select>", "<select><option>A<option>B<option>C</select>", "<div><button>Go</div>", "<div><video src=v></div>", "<div><canvas></div>", "<div><object data=o>x</div>", "<svg><path d=m>", "<button>", "<video src=v>"):
+        assert main_text(f"<article><p>{p}</p>{between}<p>{q}</p></article>").split("\n\n") == [p, q], between
+    for head in ("<head><title>T</title><body>", "<head><title>T</title>", "<head><meta charset=utf-8><link href=x>"):
+        assert main_text(f"<html>{head}<article><p>{p}</p><p>{q}</p></article></html>").split("\n\n") == [p, q], head
+    kept = "<object data=o><p>fallback</p></object><svg><title>t</title><foreignObject><p>label</p></foreignObject></svg><button><div>Go</div></button>"
+    assert main_text(f"<article><p>{p}</p>{kept}<p>{q}</p></article>").split("\n\n") == [p, q]
+
+
+def test_text_after_a_lone_less_than_sign():
+    p = (RUN * 3).strip()
+    assert main_text(f"<p>{p} where a < 5 and so on") == f"{p} where a < 5 and so on"
+    assert main_text(f"<p>{p} a < 5 <a href=/x") == f"{p} a < 5"

@@ -23,6 +23,10 @@ STOP_WORDS = frozenset(
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HOLDERS = frozenset("article aside blockquote dialog div details dl fieldset figure footer form header main menu nav ol section table ul".split())
 SILENT_TAGS = frozenset("head title script style noscript template iframe object svg math canvas select button textarea option audio video".split())
+# Elements of the head; elements of one kind that end the one before; silent elements that pages forget to close.
+HEAD_TAGS = frozenset("title script style noscript template meta link base".split())
+ENDS_LIKE = frozenset("p li dt dd tr td th".split())
+LEFT_OPEN = ("button", "canvas", "object", "video", "audio")
 OUTER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 # Words in class, id or role that name a part outside the main text.
 OUTER_WORDS = frozenset(
@@ -31,6 +35,7 @@ OUTER_WORDS = frozenset(
     sidebar signup skip social sponsor sponsored subscribe subscription toolbar warning widget""".split()
 )
 
+_TAIL = re.compile("<[A-Za-z/!?]")
 _WORDS, _LETTERS = re.compile(r"[^\W_]+"), re.compile(r"[^a-z0-9]+")
 #: Characters of a short and of a long block; stop-word shares of running text; link share of a list of links.
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.12, 0.25, 0.3
@@ -46,11 +51,14 @@ class Block:
 class _Blocks(HTMLParser):
     """Cuts a page into blocks: text between the tags of block elements, with what it stands in."""
 
-    def __init__(self) -> None:
+    def __init__(self, loose: frozenset[str] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.loose = loose  # silent elements with fewer end tags than start tags
+        self.silent: list[tuple[str, int]] = []  # silent elements open, each with the number of block elements around it
+        self.around: list[str] = []  # block elements open
         self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.linked = self.links = self.silent = self.holders = 0
+        self.linked = self.links = self.holders = 0
         self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # holder, whether outside the main text, number, in an article
         self.own = self.heading = False
 
@@ -61,10 +69,35 @@ class _Blocks(HTMLParser):
             self.blocks.append(Block(text, self.linked, outer or self.own, holder, inner, self.heading))
         self.parts, self.linked, self.own, self.heading = [], 0, False, False
 
+    def end_silent(self, tag: str) -> None:
+        """Ends the innermost open element of the name and what is open inside it."""
+        at = max((i for i, o in enumerate(self.silent) if o[0] == tag), default=len(self.silent))
+        del self.silent[at:]
+
+    def make_room(self, tag: str) -> None:
+        """Ends the silent elements that cannot hold a tag: the head, foreign elements and those that are never closed."""
+        if tag == "body":
+            self.end_silent("head")
+        while self.silent:
+            top = self.silent[-1][0]
+            if not (top == "head" and tag not in HEAD_TAGS or tag in BLOCK_TAGS - SILENT_TAGS and (top in ("svg", "math") or top in self.loose)):
+                return
+            self.silent.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT_TAGS:
-            self.silent += 1
+        if self.silent:
+            self.make_room(tag)
+        if tag in SILENT_TAGS or (tag == "foreignobject" and self.silent):
+            if tag == "option" and self.silent and self.silent[-1][0] == "option":
+                self.silent.pop()
+            elif tag in ("button", "select"):
+                self.end_silent(tag)
+            self.silent.append((tag, len(self.around)))
             return
+        if tag in BLOCK_TAGS:
+            if tag in ENDS_LIKE and self.around and self.around[-1] == tag and not (self.silent and self.silent[-1][1] == len(self.around)):
+                self.around.pop()
+            self.around.append(tag)
         if tag == "a":
             self.links += 1
         elif tag == "br":
@@ -93,9 +126,14 @@ class _Blocks(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT_TAGS:
-            self.silent = max(0, self.silent - 1)
+        if tag in SILENT_TAGS or tag == "foreignobject":
+            self.end_silent(tag)
             return
+        if tag in BLOCK_TAGS and tag in self.around:
+            while self.around.pop() != tag:
+                pass
+            while self.silent and self.silent[-1][1] > len(self.around):
+                self.silent.pop()
         if tag == "a":
             self.links = max(0, self.links - 1)
         if tag not in BLOCK_TAGS:
@@ -106,6 +144,8 @@ class _Blocks(HTMLParser):
                 pass
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.silent[-1][0] == "head" and not data.isspace():
+            self.silent.pop()
         if not self.silent:
             self.parts.append(data)
             if self.links:
@@ -113,10 +153,11 @@ class _Blocks(HTMLParser):
 
 
 def blocks_of(html: str) -> list[Block]:
-    at = html.rfind("<")
-    if at > html.rfind(">"):  # a page cut off within a tag
-        html = html[:at]
-    parser = _Blocks()
+    tail = _TAIL.search(html, html.rfind(">") + 1)
+    if tail:  # a page cut off within a tag
+        html = html[: tail.start()]
+    low = html.lower()
+    parser = _Blocks(frozenset(t for t in LEFT_OPEN if low.count("<" + t) > low.count("</" + t)))
     parser.feed(html)
     parser.close()
     parser.cut()
