@@ -58,3 +58,22 @@ def test_text_after_a_lone_less_than_sign():
     p = (RUN * 3).strip()
     assert main_text(f"<p>{p} where a < 5 and so on") == f"{p} where a < 5 and so on"
     assert main_text(f"<p>{p} a < 5 <a href=/x") == f"{p} a < 5"
+
+
+POLISH = "Wczoraj wieczorem nad rzeką pojawiło się wielu mieszkańców miasteczka, którzy chcieli zobaczyć odbudowany most oraz posłuchać koncertu orkiestry przygotowanego przez miejscową szkołę muzyczną; pogoda dopisała, więc zabawa trwała niemal do rana."
+CHINESE = "昨天晚上，许多居民来到河边，观看重新修建的大桥，并聆听当地音乐学校准备的音乐会。天气很好，庆祝活动几乎持续到天亮，孩子们在广场上放风筝，老人们坐在树下聊天，谈论着这座城市多年来的变化。"
+
+
+def test_other_languages_without_an_article():
+    for text in (POLISH, CHINESE):
+        page = f"<html><body><nav><a href=/>Home</a></nav><div><p>{text}</p><p>Short.</p><p>{text}</p></div><div><a href=/a>{text}</a></div><footer>{text}</footer></body></html>"
+        assert main_text(page).split("\n\n") == [text, "Short.", text]
+        page = f"<article><p>{text}</p><p>Short.</p><p><a href=/a>Link</a></p><p>{text}</p></article><div>{text}</div>"
+        assert main_text(page).split("\n\n")[:3] == [text, "Short.", text]
+
+
+def test_short_blocks_only():
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div><p>First short line.</p><p>Second one.</p></div><div><a href=/a>More</a></div><footer>(c) us</footer></body></html>"
+    assert main_text(page).split("\n\n") == ["First short line.", "Second one."]
+    assert main_text(f"<article><p>One.</p><p><a href=/a>Link</a></p><p>Two.</p></article><footer>{RUN * 3}</footer>") == "One.\n\nTwo."
+    assert main_text("<p>Hello there") == "Hello there"

@@ -35,6 +35,8 @@ OUTER_WORDS = frozenset(
     sidebar signup skip social sponsor sponsored subscribe subscription toolbar warning widget""".split()
 )
 
+#: Characters of scripts that write a word in one or two of them; these count three times.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _TAIL = re.compile("<[A-Za-z/!?]")
 _WORDS, _LETTERS = re.compile(r"[^\W_]+"), re.compile(r"[^a-z0-9]+")
 #: Characters of a short and of a long block; stop-word shares of running text; link share of a list of links.
@@ -164,17 +166,30 @@ def blocks_of(html: str) -> list[Block]:
     return parser.blocks
 
 
-def decide(block: Block) -> bool | None:
-    """First pass: main text, other text, or None if the block is too short or plain to tell."""
+def stop_share(text: str) -> float | None:
+    """The share of stop words; None for a text without words."""
+    words = _WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else None
+
+
+def unknown_language(blocks: list[Block]) -> bool:
+    """Whether the page's running text, as a whole, has too few known stop words for them to tell anything."""
+    running = " ".join(b.text for b in blocks if not b.outer and not b.heading and b.linked <= LINKS * len(b.text) and (len(b.text) >= SHORT or _WIDE.search(b.text)))
+    return (stop_share(running) or 0) < LOW
+
+
+def decide(block: Block, unknown: bool = False) -> bool | None:
+    """First pass: main text, other text, or None if the block is too short or plain to tell; by length alone in an unknown language."""
     if block.outer:
         return False
     size = len(block.text)
     if block.linked > LINKS * size:
         return False
-    words = _WORDS.findall(block.text.lower())
-    if not words:
+    density = stop_share(block.text)
+    if density is None:
         return None
-    density = sum(w in STOP_WORDS for w in words) / len(words)
+    if unknown and not block.heading and size + 2 * len(_WIDE.findall(block.text)) > LONG:
+        return True
     if size < SHORT or block.heading:
         return None
     if density >= HIGH or (density >= LOW and size > LONG):
@@ -185,16 +200,18 @@ def decide(block: Block) -> bool | None:
 def label(blocks: list[Block]) -> None:
     """Second pass: what is undecided takes the label of the nearest decided block, in its own holder if there is one.
 
-    Of two equally near, main text wins within a holder that has it on both sides or is an article; a page without any decided
-    block keeps the undecided blocks of its article.
+    Of two equally near, main text wins within a holder that has it on both sides or is an article; a page where no block is decided
+    to be main text keeps the undecided blocks of its article, or all of them if it has none.
     """
-    first = [decide(b) for b in blocks]
+    unknown = unknown_language(blocks)
+    first = [decide(b, unknown) for b in blocks]
     groups: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
         if first[i] is not None:
             groups.setdefault(b.holder, []).append(i)
     everywhere = [i for i, x in enumerate(first) if x is not None]
     inside = {b.holder for b in blocks if b.inner}
+    some = any(first)
 
     def nearest(i: int, among: list[int]) -> bool:
         at = bisect_left(among, i)
@@ -204,6 +221,8 @@ def label(blocks: list[Block]) -> None:
     for i, b in enumerate(blocks):
         if first[i] is not None:
             b.label = first[i]
+        elif not some:
+            b.label = b.inner or not inside
         elif b.holder in groups:
             b.label = nearest(i, groups[b.holder])
         elif b.holder in inside and any(first[j] for j in everywhere if blocks[j].inner):
@@ -211,7 +230,7 @@ def label(blocks: list[Block]) -> None:
         elif b.inner:
             b.label = True
         else:
-            b.label = bool(everywhere) and nearest(i, everywhere) and not inside
+            b.label = nearest(i, everywhere) and not inside
 
 
 def main_text(html: str | None) -> str:
