@@ -77,3 +77,15 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
 
 def test_empty_table(none):
     assert p.report(none).collect() == []
+
+
+def test_discovered_identifiers_make_contexts_credible(spark):
+    rows = [("a", f"seed{i}", 0) for i in range(1200)] + [("a", f"x{i}", None) for i in range(120)]
+    rows += [("b", f"mine{i}", 0) for i in range(60)] + [("b", f"x{i}", None) for i in range(120)] + [("b", f"y{i}", None) for i in range(20)]
+    rows += [("c", f"y{i}", None) for i in range(20)] + [("c", "c0", None)]
+    rows += [("noise", f"n{i}", None) for i in range(50)] + [("noise", "x1", None), ("few", "x1", None), ("few", "x2", None)]
+    mentions = spark.createDataFrame([(c, v, k, [0]) for c, v, k in rows], "context string, value string, kind int, options array<int>")
+    got = {(r["context"], r["value"]) for r in p.learned_mentions(mentions).collect()}
+    assert {("b", f"y{i}") for i in range(20)} <= got  # a context with 30 per cent seeds
+    assert ("c", "c0") in got  # a context without seeds, two hops away
+    assert {c for c, _ in got} == {"a", "b", "c"}

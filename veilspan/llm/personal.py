@@ -26,8 +26,10 @@ CANDIDATES = {
 CANDIDATE_GATES = {"address": r"@|[(\[]at[)\]]", "number": r"[0-9][\x20().:/-]{0,2}[0-9]"}
 #: Characters before an identifier that its context is taken from.
 CONTEXT = 48
-#: Different identifiers of a kind that a context must have, share of those among all it has, rounds of scoring.
-SUPPORT, CONFIDENCE, ROUNDS = 8, 0.8, 3
+#: Different identifiers of a kind that a context must have, share of those among all it has, most rounds of scoring (None: until settled).
+SUPPORT, CONFIDENCE, ROUNDS = 8, 0.8, None
+#: Scores are settled when no context or identifier is new and their sum grows by no more than this share.
+SETTLED = 1e-6
 
 
 def matches(text: Column, pattern: str, gate: str) -> Column:
@@ -88,34 +90,49 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def learned_mentions(mentions: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def learned_mentions(mentions: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = ROUNDS) -> DataFrame:
     """(context, value, kind) of candidates that contexts of seeds vouch for, from rows (context, value, kind or null, options).
 
     Contexts and identifiers form a graph; each edge counts once, however often it occurs.  By turns a context's score for a kind
     is the share of its identifiers that are of the kind (seeds wholly, others by their score), and an identifier's score
-    is the chance that not all of its contexts err.  Only contexts with ``support`` and ``confidence`` take part.
+    is the chance that not all of its contexts err.  A context takes part once seeds and identifiers accepted so far give it
+    ``support`` and ``confidence``, so what it vouches for can make further contexts credible, until nothing changes.
     """
     edges = mentions.where(F.col("context").isNotNull()).groupBy("context", "value", "kind").agg(F.first("options").alias("options"))
     seeded = edges.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
     all_of = edges.groupBy("context").agg(F.count_distinct("value").alias("values"))
     own = edges.where("kind is not null").groupBy("context", "kind").agg(F.count(F.lit(1)).cast("double").alias("sure"))
-    # Contexts without enough seeds never take part; what is left is a small share of the edges.
-    hopeful = written(own.where(F.col("sure") >= support).join(all_of, "context").where(F.col("sure") >= F.col("values") * (confidence / 2)))
     unknown = edges.where("kind is null").select("context", "value", F.explode("options").alias("kind"))
-    open_edges = written(unknown.join(hopeful, ["context", "kind"], "left_semi").join(seeded, ["value", "kind"], "left_anti").distinct())
-    scores = open_edges.select("value", "kind").distinct().withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
-        gained = open_edges.join(scores, ["value", "kind"]).groupBy("context", "kind").agg(F.sum("score").alias("gained"))
-        patterns = hopeful.join(gained, ["context", "kind"], "left").select("context", "kind", ((F.col("sure") + F.coalesce("gained", F.lit(0.0))) / (F.col("values") + 1)).alias("trust"))
-        trusted = written(patterns.where(F.col("trust") >= confidence))
+    every = written(unknown.join(seeded, ["value", "kind"], "left_anti").distinct())
+    # Before a context takes part, only identifiers that other contexts have as well can lift it; what cannot reach the bounds even if
+    # all of these were certain never takes part.
+    twice = every.groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "kind")
+    shared = every.join(twice, ["value", "kind"]).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("shared"))
+    sure, most = F.coalesce("sure", F.lit(0.0)), F.col("sure") + F.col("shared")
+    reach = own.join(shared, ["context", "kind"], "full").select("context", "kind", sure.alias("sure"), F.coalesce("shared", F.lit(0)).alias("shared")).join(all_of, "context")
+    hopeful = written(reach.where((most >= support) & (most >= (F.col("values") + 1) * confidence - 1e-6)).drop("shared"))
+    open_edges = written(every.join(hopeful, ["context", "kind"], "left_semi"))
+    scores = open_edges.select("value", "kind", F.lit(0.0).alias("score")).limit(0)
+    before, done = (0, 0, 0.0), 0
+    while True:
+        accepted = F.count(F.when(F.col("score") >= confidence, 1))
+        gained = open_edges.join(scores, ["value", "kind"]).groupBy("context", "kind").agg(F.sum("score").alias("gained"), accepted.alias("accepted"))
+        gain, more = F.coalesce("gained", F.lit(0.0)), F.coalesce("accepted", F.lit(0))
+        patterns = hopeful.join(gained, ["context", "kind"], "left").where(F.col("sure") + more >= support)
+        trusted = written(patterns.select("context", "kind", ((F.col("sure") + gain) / (F.col("values") + 1)).alias("trust")).where(F.col("trust") >= confidence))
         err = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
         scores = written(open_edges.join(trusted, ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(err)).alias("score")))
+        total = scores.agg(accepted.alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("sum")).first()
+        now, done = (trusted.count(), total["n"], total["sum"]), done + 1
+        if done == rounds or (now[:2] == before[:2] and now[2] - before[2] <= SETTLED * now[2]):
+            break
+        before = now
     best = scores.where(F.col("score") >= confidence).groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
     best = best.select("value", (-F.col("b.k")).alias("kind"))
     return open_edges.join(trusted, ["context", "kind"], "left_semi").join(best, ["value", "kind"], "left_semi").select("context", "value", "kind").distinct()
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = ROUNDS) -> DataFrame:
     """(id_col, base, found) for every row: arrays of spans (start, kind, end, value, ...) by start, then kind.
 
     ``base`` are the matches of the fixed patterns, overlaps between kinds included; ``found`` adds candidates that overlap none
