@@ -109,3 +109,14 @@ def test_tables(spark, tmp_path):
     write_results(corpus.withColumn("row_id", F.lit(1).cast("long")), str(tmp_path / "out"), partition_by=["row_id"])
     assert read_labelled(spark, str(tmp_path / "out")).count() == 2
     assert concat_datasets(corpus, corpus).count() == 4
+
+
+def test_names_of_any_length_match_by_parts(spark):
+    long = "Maria Josefa Carmen Teresa Isabel Lucia Beatriz Dolores Fernandez Garcia"
+    text = "Signed by maria carmen GARCIA, and Teresa Isabel Fernandez; Garcia Maria; John Smith-Doe, john doe."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "x " + long + " y")], "doc_id long, text string")
+    values = spark.createDataFrame([(i, "name", n) for i in (1, 2, 3) for n in (long, "John Q Doe")], "doc_id long, label string, value string")
+    got = {(r["doc_id"], r["start"], r["extracted_text"]) for r in X.match_values(docs, values).collect()}
+    want = ["maria carmen GARCIA", "Teresa Isabel Fernandez", "john doe"]
+    assert {(1, text.index(w), w) for w in want} | {(3, 2, long)} <= got
+    assert {g[2] for g in got} == {*want, long, "Garcia"}  # "Maria" and "John" are too short for a name

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.validators import canonical_label, validate_extracted
 from ..sources.rules import Rules
 from .overlap import first_come, overlap_groups
@@ -65,12 +66,13 @@ def occurrences(text: Column, value: Column) -> Column:
 def match_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, label, start, end, extracted_text): all valid occurrences of the values of known labels, none overlapping within a label.
 
-    Names also match by subsequences of their words, longest first.
+    Names of any length also match by subsequences of their words, longest first.
     """
     known = values.withColumn("canonical", canonical_label(F.col("label"))).where(F.col("canonical").isNotNull() & (F.length("value") > 2))
-    forms = known.withColumn("forms", F.when(F.col("canonical") == "name", name_subsequences(F.col("value"))).otherwise(F.array("value")))
-    each = forms.select(id_col, "canonical", F.explode("forms").alias("form")).where(F.length("form") > 2).distinct()
-    hit = each.join(docs.select(id_col, F.col(text_col).alias("text")), id_col).select(id_col, "canonical", "text", "form", F.explode(occurrences(F.col("text"), F.col("form"))).alias("start"))
+    wanted = known.select(id_col, "canonical", "value").distinct().join(docs.select(id_col, F.col(text_col).alias("text")), id_col)
+    forms = F.when(F.col("canonical") == "name", subsequences_in(F.col("text"), F.col("value"))).otherwise(F.array("value"))
+    each = wanted.select(id_col, "canonical", "text", F.explode(forms).alias("form")).where(F.length("form") > 2)
+    hit = each.select(id_col, "canonical", "text", "form", F.explode(occurrences(F.col("text"), F.col("form"))).alias("start"))
     spans = hit.withColumn("end", F.col("start") + F.length("form")).withColumn("extracted_text", F.substring(F.col("text"), F.col("start") + 1, F.length("form")))
     fine = spans.where(validate_extracted(F.col("canonical"), F.col("extracted_text"), F.col("text")))
     # Longer forms come before shorter ones, as they are tried first.
@@ -79,6 +81,20 @@ def match_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", tex
     return grouped.select(id_col, "label", F.explode(first_come(F.col("spans"))).alias("s")).select(id_col, "label", "s.start", "s.end", F.trim("s.extracted_text").alias("extracted_text"))
 
 
+def subsequences_in(text: Column, phrase: Column) -> Column:
+    """The choices of a phrase's words in their order that a text holds, in any case, however many words there are.
+
+    A choice can only stand in the text if it does so without its last word, so choices grow word by word from those found.
+    """
+    words = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
+
+    def grown(low: Column) -> Column:
+        longer = lambda found, w: F.filter(F.concat(F.array(w), F.transform(found, lambda c: F.concat_ws(" ", c, w))), lambda c: F.contains(low, F.lower(c)))
+        return F.aggregate(words, F.array().cast("array<string>"), lambda found, w: F.array_distinct(F.concat(found, longer(found, w))))
+
+    return let(F.lower(text), grown)
+
+
 def name_subsequences(phrase: Column, most: int = MAX_WORDS) -> Column:
     """All choices of a phrase's words in their order, longest first; of a phrase of more words only the whole one."""
     words = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
