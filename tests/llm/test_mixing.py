@@ -29,7 +29,7 @@ def test_targets(spark):
     rng = np.random.default_rng(2)
     for n in (1, 2, 5, 23):
         sizes = {f"s{i}é": int(rng.choice([0, 5, 40, 1000, 90000])) for i in range(n)} | {None: 12}
-        rows = spark.createDataFrame([(s, x) for s, x in sizes.items()], "source string, size long")
+        rows = spark.createDataFrame([(s, x, 1) for s, x in sizes.items()], "source string, size long, n long")
         got = {r["source"]: r["target"] for r in m.source_targets(rows).collect()}
         assert got == pytest.approx(brute_targets(sizes))
         assert sum(got.values()) == pytest.approx(sum(sizes.values()))

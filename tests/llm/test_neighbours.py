@@ -1,31 +1,47 @@
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from veilspan.llm import neighbours as nn
 
 
 def brute(ids, x, k, every):
+    ids, x = np.array(ids), np.asarray(x)
     out = {}
-    for i in sorted({i for i in ids if i % every == 0}):
-        q = x[ids.index(i)]
-        d = sorted({(float(np.sqrt(((v - q) ** 2).sum())), j) for j, v in zip(ids, x, strict=True) if j != i})
-        out[i] = d[:k]
+    for q in sorted({int(i) for i in ids if i % every == 0}):
+        d = np.sqrt(((x - x[np.flatnonzero(ids == q)[0]]) ** 2).sum(1))
+        order = [j for j in np.lexsort((ids, d))[: k + 1] if ids[j] != q][:k]
+        out[q] = [(float(d[j]), int(ids[j])) for j in order]
     return out
 
 
-def test_recall(spark):
-    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").slice(0, 2000)
-    ids, x = t["vec_id"].to_pylist(), np.stack(t["embedding"].to_numpy()).astype(float)
+def check_recall(spark, ids, x, every, **options):
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
     got = {}
-    for r in nn.nearest_neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(f"vec_id <= {ids[-1]}"), query_every=50, block=300, least_seen=0).collect():
+    for r in nn.nearest_neighbours(df, query_every=every, **options).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
-    want = brute(ids, x, 10, 50)
+    want = brute(ids, x, 10, every)
     assert got.keys() == want.keys()
-    assert np.mean([len({v for _, v in got[q].values()} & {v for _, v in want[q]}) / 10 for q in want]) >= 0.9
+    hits = [len({v for _, v in got[q].values()} & {v for _, v in want[q]}) / 10 for q in want]
     for q, found in got.items():
         assert [found[r] for r in sorted(found)] == sorted(found.values()) and sorted(found) == list(range(1, 11))
         for s, v in found.values():
             assert np.isclose(s, np.sqrt(((x[ids.index(v)] - x[ids.index(q)]) ** 2).sum()), rtol=1e-12)
+    return np.mean(hits), min(hits)
+
+
+def test_recall_on_the_table(spark):
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.stack(t["embedding"].to_numpy()).astype(float)
+    mean, least = check_recall(spark, t["vec_id"].to_pylist(), x, 50, block=300)
+    assert mean >= 0.95 and least >= 0.7
+
+
+def test_recall_on_a_large_table(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50_000, 32)).round(4)
+    mean, least = check_recall(spark, list(range(50_000)), x, 1000)
+    assert mean >= 0.9 and least >= 0.6
 
 
 def test_traversal_order():
@@ -43,7 +59,7 @@ def test_ties_repeats_and_unusable_vectors(spark):
     rows = [(i, [1.0, float(i % 4), 2.0]) for i in range(40)] + [(100 + i, v) for i, v in enumerate(bad)] + [(0, [1.0, 0.0, 2.0]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, rank int")
     got = [tuple(r) for r in nn.nearest_neighbours(df, query_every=10, block=8).orderBy("query_id", "rank").collect()]
-    ids, x = [i for i, _ in rows[:40]], [np.array(v) for _, v in rows[:40]]
+    ids, x = [i for i, _ in rows[:40]], np.array([v for _, v in rows[:40]])
     want = [(q, r + 1, v, s) for q, found in brute(ids, x, 10, 10).items() for r, (s, v) in enumerate(found)]
     assert got == want
 

@@ -68,6 +68,46 @@ def test_links_keep_all_components(spark):
     assert classes(lambda f: roots.get(signed(f), signed(f))) == classes(lambda f: want[f])
 
 
+def test_a_key_that_very_many_share(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    low = (1 << 40) - 1
+    fps = {base}
+    while len(fps) < 3000:  # 24 bits in common, so whole runs share blocks; chains of near ones among them
+        x = base & ~low | rng.getrandbits(40)
+        for _ in range(3):
+            fps.add(x)
+            x ^= 1 << rng.randrange(40)
+    fps |= {base ^ 1 << b for b in range(64)}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    want = components(fps)
+    for most in (4096, 40):
+        links = s.fingerprint_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), most=most)
+        roots = {r["node"]: r["root"] for r in connected_components(links, "a", "b").collect()}
+        classes = lambda label: {frozenset(g) for g in _grouped(fps, label)}
+        assert classes(lambda f: roots.get(signed(f), signed(f))) == classes(lambda f: want[f])
+
+
+def _grouped(fps, label):
+    out = {}
+    for f in fps:
+        out.setdefault(label(f), []).append(f)
+    return out.values()
+
+
+def test_masks_of_the_bits_that_are_left():
+    rng = random.Random(5)
+    for _ in range(50):
+        fixed = rng.choice(s.block_masks(3))
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample([i for i in range(64) if not fixed >> i & 1], 3):
+            b ^= 1 << bit
+        masks = s.block_masks(3, fixed)
+        assert all(m & fixed == fixed and m != fixed for m in masks)
+        assert any(a & m == b & m for m in masks)
+
+
 def test_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links, "a", "b").collect()}

@@ -42,14 +42,22 @@ def test_entry_has_rows(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_redacted_text_holds_no_kept_value(spark, sf):
+def test_redacted_text_is_the_text_with_its_best_spans_replaced(spark, sf):
     out = redact(with_spans(planted_records(spark, sf, more=True).select("doc_id", "text"), load_rules()))
+    escaped = lambda t: t.replace("<", "&lt;").replace(">", "&gt;")
     for r in out.where("doc_id BETWEEN 1 AND 40").collect():
-        assert r["details"]
-        for d in r["details"]:
-            assert d["entity_value"] not in r["data"]
-            assert r["data"][d["start_index"] : d["end_index"]] == f"&lt;{d['entity_type']}&gt;"
-            assert d["location"] == f"{d['start_index']}_{d['end_index']}"
+        kept = []
+        for s in sorted(r["spans"], key=lambda s: (-s["score"], s["start"] - s["end"], s["start"], s["entity_type"])):
+            if all(s["end"] <= k["start"] or k["end"] <= s["start"] for k in kept):
+                kept.append(s)
+        data, at, places = "", 0, []
+        for s in sorted(kept, key=lambda s: s["start"]):
+            data += escaped(r["text"][at : s["start"]])
+            mark = f"&lt;{s['entity_type']}&gt;"
+            places.append((s["entity_type"], s["value"], len(data), len(data) + len(mark), f"{len(data)}_{len(data) + len(mark)}"))
+            data, at = data + mark, s["end"]
+        assert kept and r["data"] == data + escaped(r["text"][at:])
+        assert [(d["entity_type"], d["entity_value"], d["start_index"], d["end_index"], d["location"]) for d in r["details"]] == places
 
 
 def test_classify_rows(spark):
@@ -99,7 +107,9 @@ def test_model_output(spark):
     assert got == [{"A": "Incorrect", "B": "correct"}, {"A": "Correct"}]
     names = spark.createDataFrame([("John Q Doe",), ("",), (" ".join("abcdefghi"),)], "n string").select(X.name_subsequences(F.col("n")).alias("s")).collect()
     assert names[0]["s"] == ["John Q Doe", "John Doe", "John Q", "Q Doe", "John", "Doe", "Q"]
-    assert names[1]["s"] == [] and names[2]["s"] == ["a b c d e f g h i"]
+    assert names[1]["s"] == [] and len(names[2]["s"]) == 511 and names[2]["s"][0] == "a b c d e f g h i"
+    capped = spark.createDataFrame([("a b c",)], "n string").select(X.name_subsequences(F.col("n"), 2).alias("s")).first()["s"]
+    assert capped == ["a b c"]
 
 
 def test_tables(spark, tmp_path):

@@ -7,51 +7,93 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A code point that is no character and does not occur in exchanged text; where it does, matching sees another in its place.
+MARK, STAND_IN = "﷐", "﷑"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, however often body uses it, lambdas included."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states of a fold after each element of an array, block by block of about the square root of its size.
+
+    Arrays cannot be appended to without a copy; blocks keep what is copied for one element short.
+    """
+    none = F.slice(F.array(zero), 1, 0)
+
+    def within(state: Column, block: Column) -> Column:
+        start = F.struct(state.alias("state"), none.alias("states"))
+
+        def one(acc: Column, x: Column) -> Column:
+            return let(step(acc["state"], x), lambda s: F.struct(s.alias("state"), F.concat(acc["states"], F.array(s)).alias("states")))
+
+        return F.aggregate(block, start, one)
+
+    def over(every: Column) -> Column:
+        side = F.ceil(F.sqrt(F.size(every))).cast("int")
+        blocks = let(side, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / n).cast("int")), lambda i: F.slice(every, i * n + 1, n)))
+        start = F.struct(zero.alias("state"), F.slice(F.array(none), 1, 0).alias("done"))
+        lift = lambda acc, block: let(within(acc["state"], block), lambda w: F.struct(w["state"].alias("state"), F.concat(acc["done"], F.array(w["states"])).alias("done")))
+        return F.when(F.size(every) == 1, F.transform(every, lambda x: step(zero, x))).when(F.size(every) > 1, F.aggregate(blocks, start, lift, lambda acc: F.flatten(acc["done"]))).otherwise(none)
+
+    return let(items, over)
+
+
 def running_sums(numbers: Column) -> Column:
-    """The sum up to and including each element of an array, block by block of about the square root of its size."""
-    zero, none = F.lit(0).cast("int"), F.array().cast("array<int>")
-    within = lambda part: F.aggregate(part, none, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), zero) + x)))
-    start = F.struct(zero.alias("sum"), F.array().cast("array<array<int>>").alias("done"))
+    """The sum up to and including each element of an array of int."""
+    return running(numbers, F.lit(0).cast("int"), lambda acc, x: acc + x)
 
-    def lift(acc: Column, block: Column) -> Column:
-        return F.struct((acc["sum"] + F.element_at(block, -1)).alias("sum"), F.concat(acc["done"], F.array(F.transform(block, lambda x: x + acc["sum"]))).alias("done"))
 
-    def sums(all_of: Column) -> Column:
-        side = F.ceil(F.sqrt(F.size(all_of))).cast("int")
-        blocks = let(side, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / n).cast("int")), lambda i: within(F.slice(all_of, i * n + 1, n))))
-        return F.when(F.size(all_of) > 0, F.aggregate(blocks, start, lift, lambda acc: F.flatten(acc["done"]))).otherwise(none)
+def running_max(numbers: Column) -> Column:
+    """The largest up to and including each element of an array of int, and -1 at least."""
+    return running(numbers, F.lit(-1).cast("int"), lambda acc, x: F.greatest(acc, x))
 
-    return let(numbers, sums)
 
+def without_mark(text: Column) -> Column:
+    """The text as matching sees it: as long, without MARK."""
+    return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
 
-def found_and_gaps(text: Column, pattern: str) -> Column:
-    """struct<found, gaps>: the leftmost matches of a pattern that never matches the empty string, and the lengths between."""
-    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"))
 
+def pieces_of(clean: Column, pattern: str) -> Column:
+    """What lies between the leftmost matches of a pattern, and the matches, by turns; one pass of the pattern over without_mark()."""
+    return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
-def place(matches: Column) -> Column:
-    """array<struct<start, end, value>> of found_and_gaps().
 
-    Offsets are half-open and count code points from 0: matches and the pieces between them alternate, so their
-    lengths add up to the positions.
+def matches(text: Column, clean: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
+    """array<struct<start, end, value, left, right>> of the leftmost matches of a pattern that never matches the empty string.
+
+    Offsets are half-open and count code points from 0: matches and the pieces between them alternate, so their lengths add up to
+    the positions.  ``left`` and ``right`` are up to ``before`` and ``after`` characters of the text next to the match; they come
+    from the pieces around it, so no match walks the text again.
     """
+    kind = "array<struct<start:int,`end`:int,value:string,left:string,right:string>>"
+    none = F.array().cast(kind)
+
+    def near(parts: Column, first: Column, n: Column) -> Column:
+        return F.array_join(F.slice(parts, first, n), "")
+
+    def placed(p: Column) -> Column:
+        # A piece before or after may be empty, a match isn't: so many parts hold so many characters at least.
+        reach = 2 * before
+        left_of = lambda tails, i: F.right(near(tails, F.greatest(2 * i + 2 - reach, F.lit(1)), F.least(2 * i + 1, F.lit(reach))), F.lit(before)) if before else F.lit("")
+        right_of = lambda heads, i: F.left(near(heads, 2 * i + 3, F.lit(2 * after)), F.lit(after)) if after else F.lit("")
+        tails = F.transform(p, lambda x: F.right(x, F.lit(before))) if before else F.array().cast("array<string>")
+        heads = F.transform(p, lambda x: F.left(x, F.lit(after))) if after else F.array().cast("array<string>")
+        bound = F.struct(running_sums(F.transform(p, F.length)).alias("at"), tails.alias("tails"), heads.alias("heads"))
 
-    def placed(m: Column) -> Column:
-        ends = running_sums(F.zip_with(F.transform(m["found"], F.length), F.slice(m["gaps"], 1, F.size(m["found"])), lambda n, gap: n + gap))
-        return F.zip_with(m["found"], ends, lambda value, end: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
+        def every(b: Column) -> Column:
+            def one(i: Column) -> Column:
+                start, end, value = F.get(b["at"], 2 * i), F.get(b["at"], 2 * i + 1), F.get(p, 2 * i + 1)
+                own = F.when(F.contains(value, F.lit(STAND_IN)), F.substring(text, start + 1, F.length(value))).otherwise(value)
+                return F.struct(start.alias("start"), end.alias("end"), own.alias("value"), left_of(b["tails"], i).alias("left"), right_of(b["heads"], i).alias("right"))
 
-    return let(matches, placed)
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 2).cast("int") - 1), one)
 
+        return let(bound, every)
 
-def before(text: Column, start: Column, n: int) -> Column:
-    """Up to n characters before a position."""
-    return F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
+    return let(pieces_of(clean, pattern), lambda p: F.when(F.size(p) > 1, placed(p).cast(kind)).otherwise(none))
 
 
 def char_at(text: Column, index: Column) -> Column:

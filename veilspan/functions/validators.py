@@ -69,8 +69,16 @@ LABELS = {
     "vehicle_vin": "vehicle_vin",
     "license_plate_number": "license_plate_number",
 }
-#: Words for birth in seven languages, as they introduce a date.
-BIRTH_WORDS = "(?i)(birth|dob|born|d\\.o\\.b\\.|geburtsdatum|geburtstag|geboren|date\\s+de\\s+naissance|ddn|fecha\\s+de\\s+nacimiento|nacimiento|nacido\\s+el|syntym|syntynyt|geboorte|födelsed|född)"
+# Words for birth, English, German, French, Spanish, Finnish, Dutch and Swedish.
+BIRTH_WORDS = [
+    "Birth", "DOB", "Birthdate", "Born", "D.O.B.",
+    "Geburtsdatum", "Geburtstag", "geboren am", "Geb. Datum",
+    "Date de naissance", "DDN", "Né(e) le", "Date de n.",
+    "Fecha de nacimiento", "F.N.", "Nacimiento", "Nacido el", "Fecha nacimiento", "Fecha de n.",
+    "Syntymäaika", "Syntymäpäivä", "Syntymä", "Syntynyt",
+    "Geboortedatum", "Geboren op", "Geboorte", "Geb. datum",
+    "Födelsedatum", "Född den", "Födelsedag", "Född", "F.d.",
+]
 DATE_FORMATS = ["dd-MM-yyyy", "yyyy-MM-dd", "MM-dd-yyyy", "d MMMM yyyy", "MMMM d, yyyy"]
 
 #: Five neighbouring digits that rise or fall by one, or repeat.
@@ -81,6 +89,12 @@ RUNS = {
 }
 
 
+def birth_regex() -> str:
+    """Any of the words, in any case; words are apart by any white space, which a point before makes optional."""
+    quoted = ["".join("\\" + c if c in ".()" else c for c in w) for w in BIRTH_WORDS]
+    return "(?iu)(?:" + "|".join(w.replace(". ", ".\\s*").replace(" ", "\\s+") for w in quoted) + ")"
+
+
 def digits_only(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -161,19 +175,30 @@ def valid_document_id(label: Column, value: Column) -> Column:
 
 
 def valid_ip(value: Column) -> Column:
-    part = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-    six = "^(([a-fA-F0-9]{1,4}:){7}[a-fA-F0-9]{1,4}|::([a-fA-F0-9]{1,4}:){0,5}[a-fA-F0-9]{1,4}|([a-fA-F0-9]{1,4}:){1,6}:)$"
-    return (F.length(value) > 6) & (value.rlike(rf"^({part}\.){{3}}{part}$") | value.rlike(six))
+    """Four numbers up to 255, or eight groups of hexadecimal digits, fewer where :: stands once for groups of zeros; over six long."""
+    numbers = F.transform(F.split(value, "[.]"), lambda p: p.try_cast("int"))
+    four = value.rlike("^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$") & F.forall(numbers, lambda n: n <= 255)
+    groups = F.filter(F.split(value, ":"), lambda g: g != "")
+    zeros = F.size(F.split(value, "::")) - 1
+    whole = (zeros == 0) & (F.size(groups) == 8) & ~value.rlike("^:|:$")
+    short = (zeros == 1) & (F.size(groups) <= 7) & ~value.rlike(":::|^:[^:]|[^:]:$")
+    six = value.rlike("^[0-9A-Fa-f:]+$") & F.forall(groups, lambda g: F.length(g) <= 4) & (whole | short)
+    return (F.length(value) > 6) & (four | six)
 
 
 def valid_name(value: Column) -> Column:
     return (F.length(value) > 5) & (F.regexp_count(value, F.lit("[0-9]")) < 3)
 
 
-def valid_birth_date(value: Column, text: Column) -> Column:
+def mentions_birth(text: Column) -> Column:
+    return text.rlike(birth_regex())
+
+
+def valid_birth_date(value: Column, text: Column, mentioned: Column | None = None) -> Column:
+    """A date of eight characters or more in a text that mentions birth (``mentioned``, where that is known already)."""
     plain = F.translate(value, "./", "--")
     parsed = F.coalesce(*[F.try_to_date(plain, f) for f in DATE_FORMATS])
-    return (F.length(value) >= 8) & text.rlike(BIRTH_WORDS) & parsed.isNotNull()
+    return (F.length(value) >= 8) & (mentions_birth(text) if mentioned is None else mentioned) & parsed.isNotNull()
 
 
 def valid_api_key(value: Column) -> Column:
@@ -185,7 +210,7 @@ def canonical_label(label: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), F.lower(label))
 
 
-def validate_extracted(label: Column, value: Column, text: Column) -> Column:
+def validate_extracted(label: Column, value: Column, text: Column, mentioned: Column | None = None) -> Column:
     """The check that belongs to a label, whatever its alias; labels without one pass."""
     c = canonical_label(label)
     numeric = ~has_letters(value) & valid_length_for(c, value) & ~digit_run(value)
@@ -193,7 +218,7 @@ def validate_extracted(label: Column, value: Column, text: Column) -> Column:
         F.when(c == "ip_address", valid_ip(value))
         .when(c == "email", valid_email(value))
         .when(c == "name", valid_name(value))
-        .when(c == "date_of_birth", valid_birth_date(value, text))
+        .when(c == "date_of_birth", valid_birth_date(value, text, mentioned))
         .when(c.isin("ssn", "itin", "credit_card_number", "phone_number", "bank_account_number"), numeric)
         .when(c.isin("iban", "bban", "driver_license_number", "passport_number"), valid_document_id(c, value))
         .when(c == "bank_routing_number", ~digit_run(value))
@@ -241,4 +266,13 @@ def registry(as_of: str) -> dict[str, Validator]:
         "dob": lambda v, t: valid_dob(v, as_of),
         "va_claim": lambda v, t: valid_va_claim(v),
         "driver_license": lambda v, t: valid_document_id(F.lit("driver_license_number"), v),
+        "no_digit_run": lambda v, t: ~digit_run(v),
+        "itin": lambda v, t: valid_itin(v),
+        "ip": lambda v, t: valid_ip(v),
+        "name": lambda v, t: valid_name(v),
+        "birth_date": lambda v, t: valid_birth_date(v, t),
+        "api_key": lambda v, t: valid_api_key(v),
+        "any_digit": lambda v, t: has_any_digit(v),
+        **{f"length_{label}": lambda v, t, label=label: valid_length_for(F.lit(label), v) for label in ("ssn", "itin", "credit_card_number", "phone_number", "bank_account_number")},
+        **{f"extracted_{label}": lambda v, t, label=label: validate_extracted(F.lit(label), v, t) for label in sorted(set(LABELS.values()))},
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import drop, written
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,12 +16,15 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     both = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(links.select(F.col(b).alias("src"), F.col(a).alias("dst")))
     edges = written(both.where("src <> dst").distinct())
-    labels = written(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("root")))
+    step = written(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.col("src")).alias("root")))
     while True:
+        labels = step.select("node", "root")
         near = edges.join(labels, edges["dst"] == labels["node"]).groupBy("src").agg(F.min("root").alias("near"))
         least = labels.join(near, labels["node"] == near["src"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("before"))
         up = least.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
-        step = written(least.join(up, least["root"] == up["up"]).select("node", F.least("root", "up_root").alias("root"), "before"))
-        labels = step.select("node", "root")
+        after = written(least.join(up, least["root"] == up["up"]).select("node", F.least("root", "up_root").alias("root"), "before"))
+        drop(step)
+        step = after
         if step.where("root <> before").isEmpty():
-            return labels
+            drop(edges)
+            return step.select("node", "root")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import taken_rows
-from .scratch import small_batches, written
+from .scratch import TEXT_BYTES, drop, written
 from .skew import join_groups
 
 #: Moduli of the two fingerprints: primes under 2**61, so that each value is a long.
@@ -63,36 +63,47 @@ def _combine_udf(primes: Sequence[int]):
     return combined
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, primes: Sequence[int] = PRIMES, chunk_chars: int = CHUNK, with_text: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_bytes, fp1, fp2 and text_sha256 of the normalised text (and ``norm``, if asked for).
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, primes: Sequence[int] = PRIMES, chunk_chars: int = CHUNK) -> DataFrame:
+    """One row per row of docs: id, row (a hash of id and text), n_bytes, fp1, fp2 and text_sha256 of the normalised text.
 
     Texts of up to ``chunk_chars`` bytes are hashed in place.  The chunks of longer ones are dealt out to all tasks
     and their hashes combined by length-shifted sums.
     """
     hashed = _hash_udf(primes)
-    raw = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    raw = _numbered_texts(docs, id_col, text_col)
     long = F.octet_length("raw") > chunk_chars
-    base = [F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256")]
-    out = ["id", "n_bytes", "fp1", "fp2", "text_sha256", *(["norm"] if with_text else [])]
+    out = ["id", "row", "n_bytes", "fp1", "fp2", "text_sha256"]
 
     def norm(rows: DataFrame) -> DataFrame:
-        return rows.select("id", normalised(F.col("raw")).alias("norm")).select("id", "norm", *base)
+        texts = rows.select("id", "row", normalised(F.col("raw")).alias("norm"))
+        return texts.select("id", "row", "norm", F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"))
 
     short = norm(raw.where(~long)).withColumn("h", hashed(F.col("norm").cast("binary"))).select("*", "h.*").select(out)
-    whole = norm(raw.where(long)).withColumn("row", F.monotonically_increasing_id())
+    whole = norm(raw.where(long)).withColumn("nr", F.monotonically_increasing_id())
     parts = (
-        whole.select("row", "id", "n_bytes", "text_sha256", F.posexplode(chunks_of(F.col("norm"), chunk_chars)).alias("i", "chunk"))
-        .repartition("row", "i")
+        whole.select("nr", "id", "row", "n_bytes", "text_sha256", F.posexplode(chunks_of(F.col("norm"), chunk_chars)).alias("i", "chunk"))
+        .repartition("nr", "i")
         .withColumn("h", hashed(F.col("chunk").cast("binary")))
-        .select("row", "id", "n_bytes", "text_sha256", F.struct("i", F.octet_length("chunk").alias("n"), "h.fp1", "h.fp2", *(["chunk"] if with_text else [])).alias("part"))
+        .select("nr", "id", "row", "n_bytes", "text_sha256", F.struct("i", F.octet_length("chunk").alias("n"), "h.fp1", "h.fp2").alias("part"))
     )
     # Of one text at most: as many parts as it has chunks.
-    joined = parts.groupBy("row", "id", "n_bytes", "text_sha256").agg(F.collect_list("part").alias("parts"))
-    keys = F.transform("parts", lambda p: F.struct(p["i"].alias("i"), p["n"].alias("n"), p["fp1"].alias("fp1"), p["fp2"].alias("fp2")))
-    joined = joined.withColumn("h", _combine_udf(primes)(keys)).select("*", "h.*")
-    if with_text:
-        joined = joined.withColumn("norm", F.array_join(F.transform(F.array_sort("parts"), lambda p: p["chunk"]), ""))
-    return short.unionByName(joined.select(out))
+    joined = parts.groupBy("nr", "id", "row", "n_bytes", "text_sha256").agg(F.collect_list("part").alias("parts"))
+    return short.unionByName(joined.withColumn("h", _combine_udf(primes)(F.col("parts"))).select("*", "h.*").select(out))
+
+
+def _numbered_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, raw, row) of every row; row is a hash of id and text."""
+    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    return raw.withColumn("row", F.xxhash64("id", "raw"))
+
+
+def _shared_texts(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, shared: DataFrame, total: int) -> DataFrame:
+    """(id, key, text_sha256, norm): the texts of rows whose fingerprint others have too, fetched by their row hash."""
+    wanted = written(join_groups(rows, shared, _KEY, "members", ["id", "row"], total).select(F.col("id").alias("w_id"), "row", *_KEY, "text_sha256", rows["n"]))
+    texts = join_groups(_numbered_texts(docs, id_col, text_col).withColumn("nr", F.monotonically_increasing_id()), wanted, ["row"], "n", ["nr"], total)
+    texts = texts.where(F.col("id").eqNullSafe(F.col("w_id"))).withColumn("norm", normalised(F.col("raw"))).where(F.sha2("norm", 256) == F.col("text_sha256"))
+    # Repeated rows come from several salts; one of each salt is left.
+    return texts.select("id", *_KEY, "text_sha256", "norm", "__salt").dropDuplicates(["id", *_KEY, "text_sha256", "__salt"]).drop("__salt")
 
 
 def _mismatches(texts: DataFrame, chunk_chars: int, salt_rows: int) -> DataFrame:
@@ -125,11 +136,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id stays only where its group has no other; an empty table gives an empty result.  Other columns are not read.
     """
     one = fingerprints(docs, id_col, text_col, primes, chunk_chars)
-    rows = written(one.groupBy("id", *_KEY, "text_sha256").agg(F.count(F.lit(1)).alias("n")))
-    shared = written(rows.groupBy(_KEY).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("n_rows")).where("members > 1"))
+    rows = written(one.groupBy("id", *_KEY, "text_sha256").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")), TEXT_BYTES)
+    shared = written(rows.groupBy(_KEY).agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    copies = join_groups(fingerprints(docs, id_col, text_col, primes, chunk_chars, with_text=True), shared, _KEY, "n_rows", ["id", "text_sha256"], total, "left_semi")
-    texts = written(copies.dropDuplicates(["id", *_KEY, "text_sha256", "__salt"]).drop("__salt"))
+    texts = written(_shared_texts(docs, id_col, text_col, rows, shared, total))
     branches, todo, branch = None, texts, 0
     while True:
         other = written(_mismatches(todo, chunk_chars, salt_rows))
@@ -139,7 +149,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = other.withColumn("branch", F.lit(branch))
         branches = found if branches is None else branches.unionByName(found)
         same = [todo[k] == other[k] for k in [*_KEY, "text_sha256"]] + [todo["id"].eqNullSafe(other["id"])]
-        todo = written(todo.join(other, same, "left_semi"))
+        rest = written(todo.join(other, same, "left_semi"))
+        drop(todo)
+        todo = rest
+    drop(todo, shared)
+    rows = rows.drop("row")
     if branches is None:
         rows = rows.withColumn("branch", F.lit(0))
     else:

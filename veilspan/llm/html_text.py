@@ -6,11 +6,10 @@ import re
 from bisect import bisect_left
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
 
 # Function words of the languages that the rules know.
 STOP_WORDS = frozenset(
@@ -247,8 +246,8 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     gives an empty result; columns besides ``keep`` and the page are not read.
     """
 
-    @F.pandas_udf("string")
-    def text(pages: pd.Series) -> pd.Series:
-        return pages.map(main_text, na_action=None)
+    @F.arrow_udf("string")
+    def text(htmls: pa.Array) -> pa.Array:
+        return pa.array([main_text(h.as_py()) for h in htmls], pa.string())
 
-    return small_batches(pages).select(*keep, text(F.col(html_col)).alias("text")).select(*keep, "text", F.length("text").cast("long").alias("n_chars"))
+    return pages.select(*keep, text(F.col(html_col)).alias("text")).select(*keep, "text", F.length("text").cast("long").alias("n_chars"))

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
 
 #: n-grams of a profile.
 RANKS = 300
@@ -18,13 +19,16 @@ RANKS = 300
 LEARN_PER_LANGUAGE = 3000
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 _SLICE = 1 << 20  # characters whose n-grams are sorted at a time while learning
 
 
 def gram_codes(text: str) -> np.ndarray:
     """The 1- to 3-grams of a text's lower-cased words, each word between spaces, as whole numbers of 21 bits a character."""
-    words = _WORD.findall(text.lower())
+    low = text.lower()
+    words = _WORD.findall(low)
+    if not "".join(words).isalpha():  # number signs such as ½ count as word characters, but are no letters
+        words = _LETTERS.findall(low)
     joined = " " + " ".join(words) + " " if words else ""
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     one, two = c[c != 32], c[:-1] << 21 | c[1:]
@@ -50,7 +54,7 @@ def learn_profiles(docs: DataFrame, ranks: int = RANKS, per_language: int = LEAR
     Only ids and languages are read to choose about ``per_language`` documents of each language (all, if there are
     fewer), then their whole texts.  The result has ``ranks`` numbers per language, whatever the corpus.
     """
-    known = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
@@ -109,9 +113,10 @@ def identify(docs: DataFrame, ranks: int = RANKS, per_language: int = LEARN_PER_
     """
     model = Profiles(learn_profiles(docs, ranks, per_language, id_col, text_col, lang_col), ranks)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [model.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
 
     judged = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), predict(F.col(text_col)).alias("p"))
     return judged.select(id_col, "held_out", "p.lang_pred", "p.score")
@@ -121,8 +126,8 @@ def identified_documents(docs: DataFrame, ranks: int = RANKS, per_language: int
     """The rows of docs whose language can be told, with the columns of docs."""
     model = Profiles(learn_profiles(docs, ranks, per_language, id_col, text_col, lang_col), ranks)
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.predict(t)[0] for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def language(texts: pa.Array) -> pa.Array:
+        return pa.array([model.predict(t.as_py())[0] for t in texts], pa.string())
 
     return docs.where(language(F.col(text_col)) != UNDETERMINED)

@@ -25,13 +25,13 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: float = 3.0) -> DataFrame:
-    """(source, rows, source_size, target) of rows (source, size).
+    """(source, rows, source_size, target) of rows (source, size, n), each of which stands for n equal ones.
 
     Sources in code point order, null last, get the weights in turn and share the total of all sizes; no target
     exceeds max_repeats times its source's size.  With sources in order of limit by weight, those come first that
     are full when the level of all reaches their limit; the others share what is left.
     """
-    sums = sized.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
+    sums = sized.groupBy("source").agg(F.sum("n").alias("rows"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     # One row per source from here on.
     everything = Window.partitionBy(F.lit(0))
     place = F.row_number().over(everything.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -108,15 +108,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: floa
     gives an empty result; other columns are not read.
     """
     sized = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    sized = written(sized.groupBy("id", "row", "source", "size").agg(F.count(F.lit(1)).alias("n")))
     targets = written(source_targets(sized, weights, max_repeats))
     sources, most = targets.agg(F.count(F.lit(1)), F.max("rows")).first()
     t = targets.withColumnRenamed("source", "t_source")
     t = F.broadcast(t) if sources <= BROADCAST_SOURCES else t
     due = F.coalesce(F.least(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(float(max_repeats))), F.lit(0.0))
     state = sized.join(t, F.col("source").eqNullSafe(F.col("t_source"))).select(
-        "id", "row", "source", "size", "source_size", "target", F.floor(due).cast("long").alias("whole"), (due - F.floor(due)).alias("frac"), F.ceil(F.col("rows") / leaf_rows).cast("long").alias("leaves")
+        "id", "row", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"), "source_size", "target", F.floor(due).cast("long").alias("whole"), (due - F.floor(due)).alias("frac"), F.ceil(F.col("rows") / leaf_rows).cast("long").alias("leaves")
     )
-    state = state.withColumn("leaf", F.pmod(F.xxhash64("id", "row", F.lit(seed)), F.col("leaves")))
+    # Equal rows are numbered, so they are dealt out as well, and alike in each run.
+    state = state.withColumn("leaf", F.pmod(F.xxhash64("id", "row", "copy", F.lit(seed)), F.col("leaves"))).drop("copy")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema) + ", settled boolean"
     done, level, leaves = [], 0, -(-(most or 0) // leaf_rows)
     while True:

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches, written
+from .scratch import TEXT_BYTES, drop, written
 from .tokens import flat, gathered, word_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces that one task packs at a time, and groups whose open sequences meet at the next level.
-SHARD, FAN_IN = 32_768, 16
+#: Pieces that one task packs at a time, and groups whose emptiest sequences meet at the next level.
+SHARD, FAN_IN = 32_768, 4
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABU
                     names=["id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    given = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return given.mapInArrow(rows, f"id {given.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
@@ -91,18 +91,21 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack_group(capacity: int, last: bool):
-    """Packs the pieces of one shard.  Unless it is the last level, sequences that stay open give their pieces back."""
+def _pack_group(capacity: int, carry: int):
+    """Packs the pieces of one shard; of the sequences that stay open, the emptiest give back up to ``carry`` pieces."""
 
     def packed(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = shard["length"].to_numpy(np.int64)
         bins = pack_lengths(lengths, capacity)
-        fill = np.bincount(bins, weights=lengths).astype(np.int64)
+        fill, size = np.bincount(bins, weights=lengths).astype(np.int64), np.bincount(bins)
+        emptiest = np.argsort(fill, kind="stable")
+        up = np.zeros(len(fill), dtype=bool)
+        up[emptiest] = (np.cumsum(size[emptiest]) <= carry) & (fill[emptiest] < capacity)
         shard = shard.assign(bin=bins).sort_values("bin", kind="stable")
         ends = shard.groupby("bin", sort=False)["length"].cumsum()
         shard["offset"] = ends - shard["length"]
-        shard["placed"] = last | (fill[shard["bin"].to_numpy()] == capacity)
+        shard["placed"] = ~up[shard["bin"].to_numpy()]
         shard["sequence"] = shard["bin"].astype("int64")
         return shard[["id", "piece", "start", "length", "ids_crc32", "shard", "sequence", "offset", "placed"]]
 
@@ -112,23 +115,28 @@ def _pack_group(capacity: int, last: bool):
 def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = SHARD, fan_in: int = FAN_IN) -> DataFrame:
     """Adds sequence_id and offset to rows of (id, piece, start, length, ids_crc32).
 
-    Level by level: shards of about ``shard_rows`` pieces are packed on their own; full sequences are done, pieces of
-    the others go to the next level, where ``fan_in`` shards form one, until one shard is left.
+    Level by level: shards of about ``shard_rows`` pieces are packed on their own.  Most sequences are done then; the emptiest
+    of each shard, with ``shard_rows / fan_in`` pieces at most, go to the next level, where ``fan_in`` shards form one,
+    until one shard is left.  So no task holds more than about shard_rows pieces, whatever their lengths.  Pieces are dealt
+    to shards by hash, so all shards have the same mix of lengths, and meeting again can gain little but for the emptiest.
+    Rows are numbered first, so equal rows are dealt out as well.
     """
     kind = pieces.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long, shard long, sequence long, offset long, placed boolean"
-    todo = written(pieces)
-    shards = max(1, -(-todo.count() // shard_rows))
+    todo = written(pieces.withColumn("nr", F.monotonically_increasing_id()), TEXT_BYTES)
+    shards, carry = max(1, -(-todo.count() // shard_rows)), max(1, shard_rows // fan_in)
     done, level = [], 0
-    todo = todo.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shards)))
+    given = todo.withColumn("shard", F.pmod(F.xxhash64("nr", "piece", "ids_crc32"), F.lit(shards))).drop("nr")
     while True:
-        got = written(todo.groupBy("shard").applyInPandas(_pack_group(capacity, shards == 1), schema))
+        got = written(given.groupBy("shard").applyInPandas(_pack_group(capacity, carry if shards > 1 else 0), schema))
+        if not level:
+            drop(todo)
         number = (F.lit(level).cast("long") * (1 << 58)) + F.col("shard") * (1 << 26) + F.col("sequence")
         done.append(got.where("placed").select("id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset"))
         if shards == 1:
             break
         level, shards = level + 1, -(-shards // fan_in)
-        todo = got.where("not placed").select("id", "piece", "start", "length", "ids_crc32", F.floor(F.col("shard") / fan_in).cast("long").alias("shard"))
+        given = got.where("not placed").select("id", "piece", "start", "length", "ids_crc32", F.floor(F.col("shard") / fan_in).cast("long").alias("shard"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -7,18 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .rows import taken_rows
-from .scratch import small_batches, written
-from .skew import join_groups
+from .scratch import TEXT_BYTES, drop, written
+from .skew import SHARE, join_groups
 
 SEED = 42
-#: Reference fingerprints whose distances to every fingerprint are kept beside it.
+#: Reference fingerprints whose distances to every fingerprint form the tables.
 N_PIVOTS = 16
+#: Fingerprints with one key that are swept at once, free bits of a key whose runs are swept in any case (256 members at most), and
+#: fingerprints whose keys are counted to find those that many share.
+RUN, FREE_BITS, COUNTED = 4096, 8, 20_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)  # the bits of each octet
 _COLUMN = np.arange(0, 2048, 256, dtype=np.int16)
 
@@ -46,37 +50,43 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, row, fp) for every row; row is a hash of the text, fp the fingerprint as a signed long."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch["text"]], dtype=np.uint64)
-            yield pd.DataFrame({"id": batch["id"], "row": batch["row"], "fp": fps.view(np.int64)})
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column("text")], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(fps.view(np.int64))], names=["id", "row", "fp"])
 
-    given = small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    return given.mapInPandas(rows, f"id {given.schema['id'].dataType.simpleString()}, row long, fp long")
+    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    return given.mapInArrow(rows, f"id {given.schema['id'].dataType.simpleString()}, row long, fp long")
 
 
-def pivot_table(fps: DataFrame, n: int = N_PIVOTS) -> DataFrame:
-    """Adds ``near``: the Hamming distances of fp to the n pivots."""
-    refs = pivots(n)
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            table = np.bitwise_count(x[:, None] ^ refs[None, :]).astype(np.uint8)
-            yield pd.DataFrame({"fp": batch["fp"], "near": [row.tobytes() for row in table]})
-
-    return fps.select("fp").mapInPandas(rows, "fp long, near binary")
+def pivot_table(fps: np.ndarray, n: int = N_PIVOTS) -> np.ndarray:
+    """The Hamming distances of each fingerprint to the n pivots."""
+    return np.bitwise_count(fps[:, None] ^ pivots(n)[None, :]).astype(np.int16)
 
 
-def block_masks(max_bits: int) -> list[int]:
+def block_masks(max_bits: int, fixed: int = 0) -> list[int]:
     """Masks of which at least one covers equal bits in any two fingerprints with up to max_bits differing bits.
 
-    The 64 bits form 2 * max_bits blocks; each mask joins max_bits of them.  Differing bits spoil max_bits blocks at most.
+    The bits outside ``fixed``, in which the two are equal already, form 2 * max_bits blocks; each mask joins max_bits of them with
+    the fixed ones.  Differing bits spoil max_bits blocks at most.
     """
+    free = [b for b in range(64) if not fixed >> b & 1]
     n = max(1, 2 * max_bits)
-    cuts = [64 * i // n for i in range(n + 1)]
-    blocks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(n)]
-    return [sum(c) for c in itertools.combinations(blocks, n - max_bits)]
+    blocks = [sum(1 << b for b in free[len(free) * i // n : len(free) * (i + 1) // n]) for i in range(n)]
+    return sorted({fixed + sum(c) for c in itertools.combinations(blocks, n - max_bits)})
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _narrower(max_bits: int):
+    @F.pandas_udf("array<long>")
+    def masks(fixed: pd.Series) -> pd.Series:
+        known = {m: [_signed(x) for x in block_masks(max_bits, m & (1 << 64) - 1)] for m in fixed.unique().tolist()}
+        return fixed.map(known)
+
+    return masks
 
 
 def _linked_within(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +96,7 @@ def _linked_within(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[n
     looked at; members of one component are skipped; the other coordinates discard; survivors are verified.
     """
     order = np.argsort(table[:, 0], kind="stable")
-    x, t = fps[order], table[order].astype(np.int16)
+    x, t = fps[order], table[order]
     stop = np.searchsorted(t[:, 0], t[:, 0] + max_bits, side="right")
     root = np.arange(len(x))
     a, b = [], []
@@ -103,55 +113,95 @@ def _linked_within(fps: np.ndarray, table: np.ndarray, max_bits: int) -> tuple[n
     return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
 
 
-def _sweep(max_bits: int, n_pivots: int):
-    """Over rows sorted by (mask, key): links within each run of one key; only the run at hand is held."""
-
-    def links(keys: np.ndarray, fps: np.ndarray, near: np.ndarray) -> pd.DataFrame:
-        edge = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-        bounds = np.concatenate([[0], edge, [len(keys)]])
-        a, b = [], []
-        for i in np.flatnonzero(np.diff(bounds) > 1):
-            lo, hi = bounds[i], bounds[i + 1]
-            table = np.frombuffer(b"".join(near[lo:hi]), dtype=np.uint8).reshape(-1, n_pivots)
-            p, q = _linked_within(fps[lo:hi], table, max_bits)
-            a.append(p)
-            b.append(q)
-        pair = lambda x: np.concatenate([np.empty(0, np.uint64), *x]).view(np.int64)
-        return pd.DataFrame({"a": pair(a), "b": pair(b)})
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+def _sweep(max_bits: int, n_pivots: int, most: int):
+    """Over rows (mask, key, fp) sorted so: links within each run of one key; a run of more than ``most`` is handed on.
+
+    Gives rows (a, b, mask): a link with no mask, or a fingerprint of a run handed on with its mask.  Only the run at hand is held.
+    """
+
+    def handed_on(mask: int, fps: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.concatenate(fps)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(np.full(len(own), mask))], names=["a", "b", "mask"])
+
+    def links(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "mask"])
+
+    def within(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = np.unique(fps).view(np.uint64)
+        return _linked_within(own, pivot_table(own, n_pivots), max_bits)
+
+    def divisible(mask: int) -> bool:
+        return 64 - (mask & (1 << 64) - 1).bit_count() > FREE_BITS
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            if not len(batch):
-                continue
-            last = batch.iloc[-1]
-            same = ((batch["m"] == last["m"]) & (batch["key"] == last["key"])).to_numpy()
-            cut = len(batch) - (np.argmin(same[::-1]) if not same.all() else len(batch))
-            if held and cut == 0 and (held[0]["m"].iloc[0], held[0]["key"].iloc[0]) == (last["m"], last["key"]):
-                held.append(batch)
-                continue
-            done = pd.concat([*held, batch.iloc[:cut]])
-            held = [batch.iloc[cut:]]
-            if len(done):
-                yield links(done[["m", "key"]].to_numpy(np.int64), done["fp"].to_numpy(np.int64).view(np.uint64), done["near"].to_numpy())
-        if held:
-            done = pd.concat(held)
-            yield links(done[["m", "key"]].to_numpy(np.int64), done["fp"].to_numpy(np.int64).view(np.uint64), done["near"].to_numpy())
+            keys = np.stack([batch.column("mask").to_numpy(), batch.column("key").to_numpy()], axis=1)
+            fps = batch.column("fp").to_numpy()
+            edges = [0, *(np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1).tolist(), len(keys)]
+            found = []
+            for lo, hi in itertools.pairwise(edges):
+                if lo == hi:
+                    continue
+                if lo or tuple(keys[0].tolist()) != now:
+                    if len(held) > 1 or size > 1 and held:
+                        found.append(within(np.concatenate(held)))
+                    now, held, size = tuple(keys[lo].tolist()), [], 0
+                held.append(fps[lo:hi])
+                size += hi - lo
+                if size > most and divisible(now[0]):
+                    yield handed_on(now[0], held)
+                    held = []
+            if found:
+                yield links(found)
+        if size > 1 and held:
+            yield links([within(np.concatenate(held))])
 
     return rows
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 3, n_pivots: int = N_PIVOTS) -> DataFrame:
+def _hot(todo: DataFrame, keyed, total: int, most: int) -> DataFrame:
+    """(mask, key) that more than a thousandth of all fingerprints share, judged by a sample of them; they affect balance only."""
+    share = min(1.0, COUNTED / max(1, total))
+    sample = todo.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
+    return keyed(sample).groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(most, total / SHARE) * share).select("mask", "key")
+
+
+def fingerprint_links(fps: DataFrame, max_bits: int = 3, n_pivots: int = N_PIVOTS, most: int = RUN) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp`` that have the same components as all pairs within max_bits.
 
-    Pivot distances alone would have to be held against all others, so candidates first meet by equal blocks of bits;
-    then the pivot tables discard and the fingerprints decide.  No pair is lost and no group's pairs are all emitted.
+    Pivot distances alone would have to be held against all others, so candidates first meet by equal blocks of bits; then the
+    pivot tables discard and the fingerprints decide.  Where more than ``most`` meet by one key, its remaining bits are cut into
+    blocks in turn and they meet by equal blocks of these, until a run has a bounded size: with 8 bits left it has 256 at most.
+    Keys that very many share go there at once and never meet in one task.  No pair is lost and no group's pairs are all emitted.
     """
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    masks = F.array(*[F.lit(signed(m)).cast("long") for m in block_masks(max_bits)])
-    keyed = pivot_table(fps, n_pivots).select("fp", "near", F.posexplode(masks).alias("m", "mask")).select("m", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "near")
-    dealt = keyed.repartition("m", "key").sortWithinPartitions("m", "key", "fp")
-    return dealt.mapInPandas(_sweep(max_bits, n_pivots), "a long, b long").distinct()
+    narrower = _narrower(max_bits)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select("fp", F.explode(narrower("mask")).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+
+    links, todo = [], fps.select("fp", F.lit(0).cast("long").alias("mask"))
+    while True:
+        total = todo.count()
+        # At most 20 masks of 1000 keys each.
+        hot = F.broadcast(written(_hot(todo, keyed, total, most)))
+        free = 64 - F.bit_count("mask").cast("int")
+        every = keyed(todo).join(hot.withColumn("hot", F.lit(True)), ["mask", "key"], "left").withColumn("hot", F.col("hot").isNotNull() & (free > FREE_BITS))
+        dealt = every.where(~F.col("hot")).drop("hot").repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
+        got = written(dealt.mapInArrow(_sweep(max_bits, n_pivots, most), "a long, b long, mask long"))
+        links.append(got.where("mask is null").select("a", "b"))
+        later = every.where("hot").select("fp", "mask").unionByName(got.where("mask is not null").select(F.col("a").alias("fp"), "mask"))
+        later = written(later.distinct())
+        if later.isEmpty():
+            break
+        todo = later
+    out = links[0]
+    for more in links[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3, n_pivots: int = N_PIVOTS) -> DataFrame:
@@ -163,13 +213,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     where all ids are).  Equal fingerprints count once in the search, however many rows have them.  An empty table gives
     an empty result; other columns are not read.
     """
-    rows = written(fingerprints(docs, id_col, text_col, words))
+    rows = written(fingerprints(docs, id_col, text_col, words), TEXT_BYTES)
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(fingerprint_links(distinct, max_bits, n_pivots), "a", "b")
     rooted = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")))
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps")))
     total = rows.count()
     known = written(join_groups(rooted, named, ["root"], "fps", ["fp"], total).select("fp", "n", "component_id"))
+    drop(distinct, rooted, named)
     return join_groups(rows, known, ["fp"], "n", ["id", "row"], total).select("id", "row", "fp", "component_id")
 
 

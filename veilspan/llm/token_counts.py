@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import TEXT_BYTES, written
 from .tokens import flat, gathered, word_tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
@@ -28,7 +28,7 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str =
                     counts[len(ids)] = counts.get(len(ids), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["n_tokens", "docs"])
 
-    return small_batches(docs).select(text_col).mapInArrow(rows, "n_tokens long, docs long")
+    return docs.select(text_col).mapInArrow(rows, "n_tokens long, docs long")
 
 
 def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -38,7 +38,8 @@ def length_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: st
     ``kept_tokens``: the total if every text is truncated to the limit; ``quantile``: the share of texts that fit.
     A null or empty text has length 0.  An empty table gives an empty result.  Only the text column is read.
     """
-    counts = token_lengths(docs, vocabulary, text_col).groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
+    # Used twice below; stored, so that texts are encoded once.
+    counts = written(token_lengths(docs, vocabulary, text_col).groupBy("n_tokens").agg(F.sum("docs").alias("docs")), TEXT_BYTES)
     counts = counts.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / block).alias("block"))
     blocks = counts.groupBy("block").agg(F.sum("docs").alias("b_docs"), F.sum("tokens").alias("b_tokens"))
     # One row per block of lengths: bounded by the longest text, not by the number of texts.

@@ -22,7 +22,7 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 16_000_000) -> Iterator[pa.Table]:
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> Iterator[pa.Table]:
     """Record batches joined up to about most_bytes, so that a word met in several is looked up once."""
     held, size = [], 0
     for batch in batches:
@@ -71,7 +71,7 @@ class WordTokenizer:
     #: str.split() also cuts at these, the tokenizer doesn't.
     CUTS = regex.compile("[\x1c-\x1f]")
 
-    def __init__(self, path: str, words: int = 150_000, pieces: int = 800_000, longest: int = 64):
+    def __init__(self, path: str, words: int = 250_000, pieces: int = 250_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
@@ -106,7 +106,7 @@ class WordTokenizer:
         known = self.words.get
         return b"".join([ids if (ids := known(w)) is not None else self._word(w) for w in text.split()])
 
-    def encode_all(self, texts: pa.Array, slice_bytes: int = 16_000_000) -> Iterator[list[np.ndarray]]:
+    def encode_all(self, texts: pa.Array, slice_bytes: int = 4_000_000) -> Iterator[list[np.ndarray]]:
         """The ids of each text (null: none), for slices of the column in order; a word counts once in each slice."""
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // slice_bytes
         cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
@@ -118,12 +118,14 @@ class WordTokenizer:
             known = self.words.get
             found = [ids if (ids := known(w)) is not None else self._word(w) for w in coded.dictionary.to_pylist()]
             pool = np.frombuffer(b"".join(found), dtype="<u4")
-            lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-            starts = np.cumsum(lengths) - lengths
+            lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+            starts = np.cumsum(lengths, dtype=np.int32) - lengths
             at = coded.indices.to_numpy()
             counts = lengths[at]
-            ends = np.concatenate([[0], np.cumsum(counts)])
-            ids = pool[np.repeat(starts[at] - ends[:-1], counts) + np.arange(ends[-1])]
+            ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int32)]).astype(np.int32)
+            place = np.repeat(starts[at] - ends[:-1], counts)
+            place += np.arange(ends[-1], dtype=np.int32)
+            ids = pool[place]
             bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
             docs = [ids[a:b] for a, b in itertools.pairwise(bounds.tolist())]
             for i in odd.tolist():

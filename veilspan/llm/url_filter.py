@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys sampled to place the bounds between buckets; it affects balance only.
+#: Keys sampled, about, to place the bounds between buckets; they affect balance only.
 SAMPLE = 4096
 
 
@@ -80,7 +80,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url_col: str =
     rest = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     urls = pages.select(F.struct(*rest).alias("page"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path")).withColumn("key", host_key(F.col("host")))
     n = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = sorted(r[0] for r in urls.select("key").orderBy(F.rand(7)).limit(SAMPLE).collect())
+    share = SAMPLE / max(1, pages.count())
+    sample = sorted(r[0] for r in urls.select("key").where(F.rand(7) < share).collect())
     bounds = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
 
     starts = spark.createDataFrame([(b,) for b in sorted(set(bounds))], "key string")

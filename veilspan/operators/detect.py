@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import before, char_at, found_and_gaps, let, place
+from ..functions.text import char_at, let, matches, running_max, without_mark
 from ..functions.validators import Validator, registry
 from ..sources.rules import Pattern, Rule, Rules
 
@@ -15,8 +15,8 @@ SPAN = "struct<start:int, `end`:int, entity_type:string, score:double, value:str
 AS_OF = "2024-01-01"
 #: Context words count within so many characters before a match, and lift its score so far.
 WINDOW, BOOST, FLOOR = 60, 0.35, 0.4
-#: Labels whose values must not be part of a decimal number.
-GUARDED = ["ssn", "credit_card", "itin", "phone_number", "us_bank_number", "us_driver_license", "us_ssn", "us_itin"]
+#: Of no country and no known one: rules of this one, if there are any.
+GLOBAL, DEFAULT = "GLOBAL", "US"
 
 
 def context_regex(words: tuple[str, ...]) -> str:
@@ -25,12 +25,16 @@ def context_regex(words: tuple[str, ...]) -> str:
     return "(^|[^a-z])(" + "|".join(quoted) + ")($|[^a-z])"
 
 
-def boosted(score: Column, text: Column, start: Column, words: tuple[str, ...]) -> Column:
+def lifted(score: float) -> float:
+    """The score of a match that has a context word before it."""
+    return min(1.0, max(score + BOOST, FLOOR))
+
+
+def boosted(score: float, left: Column, words: tuple[str, ...]) -> Column:
     """The score, lifted if one of the words stands in the text before."""
     if not words:
-        return score
-    near = F.lower(before(text, start, WINDOW)).rlike(context_regex(words))
-    return F.when(near, F.least(F.lit(1.0), F.greatest(score + BOOST, F.lit(FLOOR)))).otherwise(score)
+        return F.lit(score)
+    return F.when(F.lower(left).rlike(context_regex(words)), F.lit(lifted(score))).otherwise(F.lit(score))
 
 
 def not_in_decimal(text: Column, start: Column, end: Column) -> Column:
@@ -40,60 +44,64 @@ def not_in_decimal(text: Column, start: Column, end: Column) -> Column:
     return ~(digit(start - 1) | (point(start - 1) & digit(start - 2)) | digit(end) | (point(end) & digit(end + 1)))
 
 
-def _hits(text: Column, patterns: list[tuple[int, int, Pattern]]) -> Column:
-    """array<struct<rule, pattern, base, start, end, value>> of all patterns; a literal regex each, positions computed in one place."""
-    kind = "array<struct<rule:int,pattern:int,base:double,start:int,`end`:int,value:string>>"
-    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("pattern"), F.lit(p.score).alias("base"), found_and_gaps(text, p.regex).alias("f")) for r, i, p in patterns])
-    full = F.filter(each, lambda h: F.size(h["f"]["found"]) > 0)
-    placed = F.transform(full, lambda h: F.transform(place(h["f"]), lambda m: F.struct(h["rule"].alias("rule"), h["pattern"].alias("pattern"), h["base"].alias("base"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))))
-    return F.flatten(placed).cast(kind)
-
-
-def _by_rule(rules: Rules, rule: Column, of: Callable[[Rule], Column], otherwise: Column) -> Column:
-    """A case for each rule."""
-    out = None
-    for i, r in enumerate(rules):
-        out = F.when(rule == i, of(r)) if out is None else out.when(rule == i, of(r))
-    return otherwise if out is None else out.otherwise(otherwise)
+def whole_number(left: Column, right: Column) -> Column:
+    """not_in_decimal() from the characters before and after a value."""
+    return ~(left.rlike("[0-9][.]?$") | right.rlike("^[.]?[0-9]"))
 
 
-def _scored(text: Column, hits: Column, rules: Rules) -> Column:
-    """Hits with the score that their context gives them."""
-    withs = lambda h: F.struct(h["rule"].alias("rule"), h["pattern"].alias("pattern"), h["base"].alias("base"), _by_rule(rules, h["rule"], lambda r: boosted(h["base"], text, h["start"], r.context), h["base"]).alias("score"), h["start"].alias("start"), h["end"].alias("end"), h["value"].alias("value"))
-    return F.transform(hits, withs)
+def _hits(text: Column, clean: Column, r: Rule, p: Pattern, i: int) -> Column:
+    """array<struct<pattern, base, score, start, end, value, left, right>> of one pattern of a rule."""
+    before = WINDOW if r.context else 2 if r.guard_decimals else 0
+    found = matches(text, clean, p.regex, before, 2 if r.guard_decimals else 0)
+    fields = ("start", "end", "value", "left", "right")
+    return F.transform(found, lambda h: F.struct(F.lit(i).alias("pattern"), F.lit(p.score).alias("base"), boosted(p.score, h["left"], r.context).alias("score"), *[h[c].alias(c) for c in fields]))
 
 
-def _passes(text: Column, h: Column, rules: Rules, validators: Mapping[str, Validator]) -> Column:
+def _passes(text: Column, h: Column, r: Rule, validators: Mapping[str, Validator]) -> Column:
     """Score, threshold, decimal guard and check of a hit's rule; a check that gives null fails the hit, not the job."""
+    fine = (h["score"] > 0) & (h["score"] >= r.min_confidence)
+    if r.guard_decimals:
+        fine = fine & whole_number(h["left"], h["right"])
+    if r.validator:
+        if r.validator not in validators:
+            raise ValueError(f"{r.entity}: no validator named {r.validator}")
+        fine = fine & F.coalesce(validators[r.validator](h["value"], text), F.lit(False))
+    return fine
 
-    def of(r: Rule) -> Column:
-        fine = (h["score"] > 0) & (h["score"] >= r.min_confidence)
-        if r.guard_decimals:
-            fine = fine & not_in_decimal(text, h["start"], h["end"])
-        if r.validator:
-            if r.validator not in validators:
-                raise ValueError(f"{r.entity}: no validator named {r.validator}")
-            fine = fine & F.coalesce(validators[r.validator](h["value"], text), F.lit(False))
-        return fine
 
-    return _by_rule(rules, h["rule"], of, F.lit(False))
+def merged(spans: Column, scores: list[float]) -> Column:
+    """Spans of one entity, one for each place with its best score, without those inside a span of no lower score; by start.
 
-
-def merged(spans: Column) -> Column:
-    """One span per entity and place with its best score, without those inside a span of the same entity of no lower score."""
+    In order of start, the longer first, whatever holds a span comes before it; so it is inside another if the farthest end so far
+    among those of its score at least, one for each of the possible ``scores``, reaches its own.
+    """
+    levels = sorted(set(scores))
 
     def uncovered(every: Column) -> Column:
-        def covered(s: Column) -> Column:
-            larger = lambda t: (t["end"] - t["start"]) > (s["end"] - s["start"])
-            return F.exists(every, lambda t: (t["entity_type"] == s["entity_type"]) & (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & ((larger(t) & (t["score"] >= s["score"])) | (~larger(t) & (t["score"] > s["score"]))))
+        reach = F.array(*[running_max(F.transform(every, lambda s, v=v: F.when(s["score"] >= v, s["end"]).otherwise(F.lit(-1)))) for v in levels])
+
+        def kept(reached: Column) -> Column:
+            level = lambda s: sum((F.when(s["score"] > v, 1).otherwise(0) for v in levels[1:]), F.when(s["score"] > levels[0], 1).otherwise(0))
+            farthest = lambda s, i: F.coalesce(F.get(F.get(reached, level(s)), i - 1), F.lit(-1))
+            return F.filter(every, lambda s, i: farthest(s, i) < s["end"])
 
-        return F.filter(every, lambda s: ~covered(s))
+        return F.when(F.size(every) > 1, let(reach, kept)).otherwise(every)
 
-    return let(F.array_distinct(spans), uncovered)
+    order = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), (-s["score"]).alias("down"), s.alias("span"))
+    return let(F.transform(F.array_sort(F.transform(F.array_distinct(spans), order)), lambda o: o["span"]), uncovered)
 
 
-def _numbered(rules: Rules) -> list[tuple[int, int, Pattern]]:
-    return [(n, i, p) for n, r in enumerate(rules) for i, p in enumerate(r.patterns)]
+def _entity_spans(text: Column, clean: Column, rules: list[Rule], known: Mapping[str, Validator], countries: Column | None) -> Column:
+    """array<SPAN> of the rules of one entity."""
+    kind, parts, scores = f"array<{SPAN}>", [], []
+    for r in rules:
+        for i, p in enumerate(r.patterns):
+            passing = F.filter(_hits(text, clean, r, p, i), lambda h, r=r: _passes(text, h, r, known))
+            spans = F.transform(passing, lambda h, r=r: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lit(r.entity).alias("entity_type"), h["score"].alias("score"), h["value"].alias("value"))).cast(kind)
+            parts.append(spans if countries is None else F.when(F.array_contains(countries, r.country), spans).otherwise(F.array().cast(kind)))
+            scores += [p.score, lifted(p.score)] if r.context else [p.score]
+    # Matches of a single pattern never overlap.
+    return parts[0] if len(parts) == 1 else merged(F.concat(*parts), scores)
 
 
 def gate(rules: Rules, own: Mapping[str, Validator] | None = None) -> str | None:
@@ -106,23 +114,44 @@ def gate(rules: Rules, own: Mapping[str, Validator] | None = None) -> str | None
     return None if None in needs else "|".join(dict.fromkeys(needs))
 
 
-def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None) -> Column:
-    """array<SPAN> of all rules, by start, end and entity; a null text has none.  Spans of different entities may share a place."""
+def row_countries(rules: Rules, countries: Column) -> Column:
+    """The countries whose rules hold for a row that names ``countries``: US if it names none, GLOBAL in place of an unknown one."""
+    known = F.array(*[F.lit(c) for c in sorted({r.country for r in rules})])
+    named = F.when(F.coalesce(F.size(countries), F.lit(0)) > 0, countries).otherwise(F.array(F.lit(DEFAULT)))
+    return F.array_distinct(F.transform(named, lambda c: F.when(F.array_contains(known, c), c).otherwise(F.lit(GLOBAL))))
+
+
+def unknown_country(rules: Rules, countries: Column) -> Column:
+    """Whether a row names a country without rules while there are no GLOBAL ones."""
+    return ~F.lit(any(r.country == GLOBAL for r in rules)) & F.array_contains(row_countries(rules, countries), GLOBAL)
+
+
+def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None, countries: Column | None = None) -> Column:
+    """array<SPAN> of all rules, by start, end and entity; a null text has none.  Spans of different entities may share a place.
+
+    With ``countries``, an array of each row's own, only rules of these hold for the row.
+    """
     rules, none = rules.enabled(), F.array().cast(f"array<{SPAN}>")
     if not rules:
         return none
     known = {**registry(as_of), **(validators or {})}
-    entities = F.array(*[F.lit(r.entity) for r in rules])
-    passing = F.filter(_scored(text, _hits(text, _numbered(rules)), rules), lambda h: _passes(text, h, rules, known))
-    spans = F.transform(passing, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.get(entities, h["rule"]).alias("entity_type"), h["score"].alias("score"), h["value"].alias("value")))
+    by_entity: dict[str, list[Rule]] = {}
+    for r in rules:
+        by_entity.setdefault(r.entity, []).append(r)
+    own = None if countries is None else row_countries(rules, countries)
+
+    def found(bound: Column) -> Column:
+        return F.array_sort(F.concat(*[_entity_spans(text, bound["clean"], rs, known, None if own is None else bound["own"]) for rs in by_entity.values()]))
+
+    bound = F.struct(without_mark(text).alias("clean"), *([] if own is None else [own.alias("own")]))
     needed = gate(rules, validators)
     worth = text.isNotNull() if needed is None else text.rlike(needed)
-    return F.when(worth, F.array_sort(merged(spans)).cast(f"array<{SPAN}>")).otherwise(none)
+    return F.when(worth, let(bound, found).cast(f"array<{SPAN}>")).otherwise(none)
 
 
-def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None, name: str = "spans") -> DataFrame:
+def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None, name: str = "spans", countries: Column | None = None) -> DataFrame:
     """Adds the spans of the text to every row."""
-    return df.withColumn(name, find_spans(F.col(text_col), rules, as_of, validators))
+    return df.withColumn(name, find_spans(F.col(text_col), rules, as_of, validators, countries))
 
 
 def detect(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "doc_id", as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None) -> DataFrame:
@@ -134,10 +163,11 @@ def detect(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "d
 
 def raw_matches(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, entity_type, pattern, start, end, base_score, score, value) before any check, threshold or merge."""
-    rules, text = rules.enabled(), F.col(text_col)
-    rows = df.select(id_col, F.explode_outer(_scored(text, _hits(text, _numbered(rules)), rules)).alias("m")).where("m is not null")
-    entity = F.get(F.array(*[F.lit(r.entity) for r in rules]), F.col("m.rule"))
-    return rows.select(id_col, entity.alias("entity_type"), "m.pattern", "m.start", "m.end", F.col("m.base").alias("base_score"), F.round("m.score", 4).alias("score"), "m.value")
+    text, rules = F.col(text_col), rules.enabled()
+    named = lambda hits, entity: F.transform(hits, lambda h: F.struct(F.lit(entity).alias("entity_type"), *[h[c].alias(c) for c in ("pattern", "start", "end", "base", "score", "value")]))
+    every = let(without_mark(text), lambda clean: F.concat(*[named(_hits(text, clean, r, p, i), r.entity) for r in rules for i, p in enumerate(r.patterns)]))
+    rows = df.select(id_col, F.explode_outer(every).alias("m")).where("m is not null")
+    return rows.select(id_col, "m.entity_type", "m.pattern", "m.start", "m.end", F.col("m.base").alias("base_score"), F.round("m.score", 4).alias("score"), "m.value")
 
 
 def known_entities(spans: DataFrame, rules_table: DataFrame) -> DataFrame:

@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTITY = "struct<start:int, `end`:int, label:string, extracted_text:string>"
+from ..sources.tables import ENTITY, parse_entities  # noqa: F401
 
 
 def straight_quotes(text: Column) -> Column:
     return F.translate(text, "‘’", "''")
 
 
-def parse_entities(text: Column) -> Column:
-    """array<ENTITY> from a printed list of dictionaries; what cannot be read is an empty array."""
-    return F.coalesce(F.from_json(F.replace(straight_quotes(text), F.lit("'"), F.lit('"')), f"array<{ENTITY}>"), F.array().cast(f"array<{ENTITY}>"))
-
-
 def response_entities(df: DataFrame, id_col: str = "row_id", details_col: str = "entityDetails") -> DataFrame:
     """(id, label, start, end, extracted_text) from a map of detail lists; details with an unreadable location are skipped."""
     each = df.select(id_col, F.explode_outer(details_col).alias("label", "details")).where("label is not null").select(id_col, "label", F.explode("details").alias("d"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, running_max
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -15,13 +15,24 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return (a_start < b_end) & (b_start < a_end)
 
 
+#: Characters of a stretch of text; spans meet by document and stretch.
+STRETCH = 1024
+
+
 def overlap_pairs(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, a_*, b_*): pairs of different spans of a document that overlap, each once; documents are the join key."""
+    """(id, a_*, b_*): pairs of different spans of a document that overlap, each once.
+
+    Spans meet in the stretches of text that they touch, and a pair counts in the one where the later of its two starts lies, so
+    the work follows the spans near each other and not the square of a document's.
+    """
     cols = ["entity_type", "start", "end"]
-    a = spans.select(F.col(id_col), *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = spans.select(F.col(id_col), *[F.col(c).alias(f"b_{c}") for c in cols])
+    stretch = lambda at: F.floor(at / STRETCH).cast("int")
+    touched = F.explode(F.sequence(stretch(F.col("start")), stretch(F.greatest(F.col("end") - 1, F.col("start"))))).alias("__stretch")
+    a = spans.select(F.col(id_col), *[F.col(c).alias(f"a_{c}") for c in cols], touched)
+    b = spans.select(F.col(id_col), *[F.col(c).alias(f"b_{c}") for c in cols], touched)
     key = lambda s: F.struct(f"{s}_start", f"{s}_end", f"{s}_entity_type")
-    return a.join(b, id_col).where(overlaps(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) & (key("a") < key("b")))
+    apart = overlaps(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end")) & (key("a") < key("b"))
+    return a.join(b, [id_col, "__stretch"]).where(apart & (F.col("__stretch") == stretch(F.greatest("a_start", "b_start")))).drop("__stretch")
 
 
 def overlap_groups(spans: DataFrame, id_col: str = "doc_id", name: str = "overlap_group") -> DataFrame:
@@ -32,17 +43,42 @@ def overlap_groups(spans: DataFrame, id_col: str = "doc_id", name: str = "overla
     return spans.withColumn("__begins", begins).withColumn(name, F.sum("__begins").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__begins")
 
 
+def greedy(spans: Column, rank: Callable[[Column, Column], Column]) -> Column:
+    """Spans taken in order of rank(span, index) unless they overlap one taken before; by start.
+
+    Only spans of one run of overlapping ones can exclude each other, so runs are decided on their own: the cost follows the
+    number of spans and the square of the longest run.
+    """
+
+    def decided(run: Column) -> Column:
+        taken = lambda acc, x: F.exists(acc, lambda t: overlaps(t["start"], t["end"], x["start"], x["end"]))
+        ordered = F.transform(F.array_sort(F.transform(run, lambda x: F.struct(x["rank"].alias("rank"), x.alias("x")))), lambda o: o["x"])
+        kept = F.aggregate(ordered, F.slice(run, 1, 0), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+        return F.when(F.size(run) == 1, run).otherwise(F.array_sort(kept))
+
+    def over(items: Column) -> Column:
+        def cut(b: Column) -> Column:
+            length = lambda k, at: F.coalesce(F.get(b["begins"], k + 1), F.size(items)) - at
+            return F.flatten(F.transform(b["begins"], lambda at, k: decided(F.slice(items, at + 1, length(k, at)))))
+
+        def begins(reach: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | (F.get(items, i)["start"] >= F.get(reach, i - 1)))
+
+        starts = let(running_max(F.transform(items, lambda x: x["end"])), begins)
+        return F.when(F.size(items) > 1, let(F.struct(starts.alias("begins")), cut)).otherwise(items)
+
+    items = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), rank(s, i).alias("rank"), s.alias("span"))))
+    return F.transform(let(items, over), lambda x: x["span"])
+
+
 def first_come(spans: Column) -> Column:
-    """Spans of an array, in its order, that overlap none taken before."""
-    taken = lambda acc, x: F.exists(acc, lambda t: overlaps(t["start"], t["end"], x["start"], x["end"]))
-    return let(spans, lambda every: F.aggregate(every, F.slice(every, 1, 0), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x)))))
+    """Spans of an array, taken in its order, that overlap none taken before; by start."""
+    return greedy(spans, lambda s, i: i)
 
 
 def best_first(spans: Column) -> Column:
     """Spans in the order of score, length (both falling), start and entity, none overlapping one taken before; by start."""
-    rank = lambda s: F.struct((-s["score"]).alias("score"), (s["start"] - s["end"]).alias("length"), s["start"].alias("start"), s["entity_type"].alias("entity_type"), s.alias("span"))
-    ordered = F.transform(F.array_sort(F.transform(spans, rank)), lambda r: r["span"])
-    return F.array_sort(first_come(ordered))
+    return greedy(spans, lambda s, i: F.struct((-s["score"]).alias("score"), (s["start"] - s["end"]).alias("length"), s["start"].alias("start"), s["entity_type"].alias("entity_type")))
 
 
 def non_overlapping(spans: DataFrame, id_col: str = "doc_id", within: Sequence[str] = (), best: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, running_sums
 from .overlap import best_first
 
 DETAIL = "struct<entity_type:string, location:string, confidence_score:double, entity_value:string, start_index:int, end_index:int>"
@@ -19,23 +20,30 @@ def redaction(text: Column, spans: Column, escape: bool = True) -> Column:
 
     Of overlapping spans the best stays.  Values come from the original text; places count the escaped characters.
     """
-    kept = best_first(spans)
     shown = html_escaped if escape else (lambda c: c)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("length"), F.array().cast("array<string>").alias("parts"), F.array().cast(f"array<{DETAIL}>").alias("details"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = shown(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
-        mark = shown(F.concat(F.lit("<"), s["entity_type"], F.lit(">")))
-        a = acc["length"] + F.length(gap)
-        b = a + F.length(mark)
-        detail = F.struct(s["entity_type"].alias("entity_type"), F.concat_ws("_", a.cast("string"), b.cast("string")).alias("location"), s["score"].alias("confidence_score"), s["value"].alias("entity_value"), a.alias("start_index"), b.alias("end_index"))
-        return F.struct(s["end"].alias("at"), b.alias("length"), F.concat(acc["parts"], F.array(gap, mark)).alias("parts"), F.concat(acc["details"], F.array(detail)).alias("details"))
+    def gap(kept: Column, s: Column, i: Column) -> Column:
+        at = F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
+        return shown(F.substring(text, at + 1, s["start"] - at))
 
-    def finish(acc: Column) -> Column:
-        tail = shown(F.substring(text, acc["at"] + 1, F.length(text)))
-        return F.struct(F.concat(F.array_join(acc["parts"], ""), tail).alias("data"), acc["details"].alias("details"))
+    def replaced(kept: Column) -> Column:
+        parts = F.transform(kept, lambda s, i: F.struct(gap(kept, s, i).alias("gap"), shown(F.concat(F.lit("<"), s["entity_type"], F.lit(">"))).alias("mark")))
 
-    return F.aggregate(kept, start, step, finish)
+        def finish(p: Column) -> Column:
+            ends = running_sums(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["mark"])))
+            tail = shown(F.substring(text, F.coalesce(F.get(kept, F.size(kept) - 1)["end"], F.lit(0)) + 1, F.length(text)))
+
+            def detail(s: Column, i: Column, e: Column) -> Column:
+                b = F.get(e, i)
+                a = b - F.length(F.get(p, i)["mark"])
+                return F.struct(s["entity_type"].alias("entity_type"), F.concat_ws("_", a.cast("string"), b.cast("string")).alias("location"), s["score"].alias("confidence_score"), s["value"].alias("entity_value"), a.alias("start_index"), b.alias("end_index"))
+
+            details = let(ends, lambda e: F.transform(kept, lambda s, i: detail(s, i, e)))
+            return F.struct(F.concat(F.array_join(F.transform(p, lambda x: F.concat(x["gap"], x["mark"])), ""), tail).alias("data"), details.cast(f"array<{DETAIL}>").alias("details"))
+
+        return let(parts, finish)
+
+    return let(best_first(spans), replaced)
 
 
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans", escape: bool = True) -> DataFrame:

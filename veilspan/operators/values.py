@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
-from ..functions.validators import canonical_label, validate_extracted
+from ..functions.text import let, running_sums
+from ..functions.validators import canonical_label, mentions_birth, validate_extracted
 from ..sources.rules import Rules
-from .overlap import first_come, overlap_groups
-
-MAX_WORDS = 8
+from .overlap import first_come, greedy, overlap_groups
 
 
 def parse_model_json(raw: Column) -> Column:
@@ -44,41 +42,52 @@ def map_values(docs: DataFrame, values: DataFrame, rules: Rules, id_col: str = "
     keys = {(r.output_key or r.entity.replace("-", "_").upper()): r.entity for r in rules.enabled()}
     entity = F.element_at(F.create_map(*[F.lit(x) for kv in keys.items() for x in kv]), F.col("label"))
     wanted = values.withColumn("entity_type", entity).where(F.col("entity_type").isNotNull() & (F.trim("value") != ""))
-    found = wanted.join(docs.select(id_col, text_col), id_col).withColumn("start", F.instr(F.col(text_col), F.col("value")) - 1).where("start >= 0")
-    spans = found.select(id_col, F.col("label_pos"), F.col("pos"), "entity_type", "start", (F.col("start") + F.length("value")).alias("end"))
-    taken = _in_list_order(spans, id_col)
-    return taken.select(id_col, "entity_type", "start", "end", F.lit(score).alias("score"))
-
-
-def _in_list_order(spans: DataFrame, id_col: str) -> DataFrame:
-    grouped = spans.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("label_pos", "pos", "start", "end", "entity_type"))).alias("spans"))
-    return grouped.select(id_col, F.explode(first_come(F.col("spans"))).alias("s")).select(id_col, "s.*")
+    # A document's values meet its text once, as one row.
+    listed = wanted.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("label_pos", "pos", "entity_type", "value"))).alias("wanted"))
+    text = F.col(text_col)
+    place = F.transform("wanted", lambda v: F.struct((F.instr(text, v["value"]) - 1).alias("start"), F.length(v["value"]).alias("length"), v["entity_type"].alias("entity_type")))
+    found = F.transform(F.filter(place, lambda p: p["start"] >= 0), lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["length"]).alias("end"), p["entity_type"].alias("entity_type")))
+    rows = listed.join(docs.select(id_col, text_col), id_col).select(id_col, F.explode_outer(first_come(found)).alias("s")).where("s is not null")
+    return rows.select(id_col, "s.entity_type", "s.start", "s.end", F.lit(score).alias("score"))
 
 
 def occurrences(text: Column, value: Column) -> Column:
     """Starts of a value in a text, in any case, left to right without overlaps."""
-    pieces = F.split(F.lower(text), F.concat(F.lit("\\Q"), F.lower(value), F.lit("\\E")), -1)
-    sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    return F.aggregate(sizes, start, lambda acc, n: F.struct((acc["at"] + n + F.length(value)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + n)).alias("found")), lambda acc: acc["found"])
+    literal = F.concat(F.lit("(?iu)\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pieces = F.split(text, literal, -1)
+    ends = running_sums(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) + F.length(value)))
+    return F.transform(ends, lambda e: e - F.length(value))
 
 
 def match_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, label, start, end, extracted_text): all valid occurrences of the values of known labels, none overlapping within a label.
 
-    Names of any length also match by subsequences of their words, longest first.
+    Names of any length also match by subsequences of their words, longest first.  A document's values meet its text once, as an
+    array; everything else happens in that row.
     """
     known = values.withColumn("canonical", canonical_label(F.col("label"))).where(F.col("canonical").isNotNull() & (F.length("value") > 2))
-    wanted = known.select(id_col, "canonical", "value").distinct().join(docs.select(id_col, F.col(text_col).alias("text")), id_col)
-    forms = F.when(F.col("canonical") == "name", subsequences_in(F.col("text"), F.col("value"))).otherwise(F.array("value"))
-    each = wanted.select(id_col, "canonical", "text", F.explode(forms).alias("form")).where(F.length("form") > 2)
-    hit = each.select(id_col, "canonical", "text", "form", F.explode(occurrences(F.col("text"), F.col("form"))).alias("start"))
-    spans = hit.withColumn("end", F.col("start") + F.length("form")).withColumn("extracted_text", F.substring(F.col("text"), F.col("start") + 1, F.length("form")))
-    fine = spans.where(validate_extracted(F.col("canonical"), F.col("extracted_text"), F.col("text")))
-    # Longer forms come before shorter ones, as they are tried first.
-    ranked = fine.select(id_col, F.col("canonical").alias("label"), (-F.length("form")).alias("start_rank"), "start", "end", "extracted_text").distinct()
-    grouped = ranked.groupBy(id_col, "label").agg(F.array_sort(F.collect_list(F.struct("start_rank", "start", "end", "extracted_text"))).alias("spans"))
-    return grouped.select(id_col, "label", F.explode(first_come(F.col("spans"))).alias("s")).select(id_col, "label", "s.start", "s.end", F.trim("s.extracted_text").alias("extracted_text"))
+    listed = known.groupBy(id_col).agg(F.collect_set(F.struct("canonical", "value")).alias("wanted"))
+    text = F.col("text")
+    fields = lambda label, start, value: F.struct(label.alias("label"), start.alias("start"), (start + F.length(value)).alias("end"), F.substring(text, start + 1, F.length(value)).alias("extracted_text"))
+
+    def spans_of(v: Column) -> Column:
+        forms = F.when(v["canonical"] == "name", subsequences_in(text, v["value"])).otherwise(F.array(v["value"]))
+        long = F.filter(forms, lambda f: F.length(f) > 2)
+        return F.flatten(F.transform(long, lambda f: F.transform(occurrences(text, f), lambda at: fields(v["canonical"], at, f))))
+
+    def kept(every: Column) -> Column:
+        # Longer forms come before shorter ones, as they are tried first.
+        rank = lambda s, i: F.struct((-F.length(s["extracted_text"])).alias("n"), s["start"].alias("start"), s["end"].alias("end"))
+        labels = F.array_distinct(F.transform(every, lambda s: s["label"]))
+        return F.flatten(F.transform(labels, lambda label: greedy(F.filter(every, lambda s: s["label"] == label), rank)))
+
+    def fine(born: Column) -> Column:
+        every = F.array_distinct(F.flatten(F.transform(F.col("wanted"), spans_of)))
+        return let(F.filter(every, lambda s: validate_extracted(s["label"], s["extracted_text"], text, born)), kept)
+
+    rows = listed.join(docs.select(id_col, F.col(text_col).alias("text")), id_col)
+    each = rows.select(id_col, F.explode_outer(let(mentions_birth(text), fine)).alias("s")).where("s is not null")
+    return each.select(id_col, "s.label", "s.start", "s.end", F.trim("s.extracted_text").alias("extracted_text"))
 
 
 def subsequences_in(text: Column, phrase: Column) -> Column:
@@ -95,16 +104,20 @@ def subsequences_in(text: Column, phrase: Column) -> Column:
     return let(F.lower(text), grown)
 
 
-def name_subsequences(phrase: Column, most: int = MAX_WORDS) -> Column:
-    """All choices of a phrase's words in their order, longest first; of a phrase of more words only the whole one."""
+def name_subsequences(phrase: Column, most: int | None = None) -> Column:
+    """All choices of a phrase's words in their order, longest first: 2**n - 1 for n words.
+
+    With ``most``, a phrase of more words gives the whole one only.  To find choices in texts, subsequences_in() needs no list.
+    """
     words = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
     n = F.size(words)
-    masks = F.sequence(F.lit(1), F.greatest(F.pow(F.lit(2), F.least(n, F.lit(most))).cast("int") - 1, F.lit(1)))
+    masks = F.sequence(F.lit(1).cast("long"), F.greatest(F.pow(F.lit(2), n).cast("long") - 1, F.lit(1).cast("long")))
     # F.pmod(mask div 2**i, 2): the i-th bit from the right says whether word i is taken.
     pick = lambda mask: F.array_join(F.filter(words, lambda w, i: F.pmod(F.floor(mask / F.pow(F.lit(2), i)), F.lit(2)) == 1), " ")
     choices = F.array_distinct(F.transform(masks, pick))
     ordered = F.transform(F.array_sort(F.transform(choices, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c")))), lambda s: s["c"])
-    return F.when(n == 0, F.array().cast("array<string>")).when(n > most, F.array(F.array_join(words, " "))).otherwise(ordered)
+    whole = F.when(n == 0, F.array().cast("array<string>"))
+    return (whole if most is None else whole.when(n > most, F.array(F.array_join(words, " ")))).otherwise(ordered)
 
 
 def judged(spans: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -45,7 +45,7 @@ US_RULES = (
     Rule("US_SSN", "us-ssn", ID, (Pattern(r"(?i)\b[0-9]{3}-?[0-9]{2}-?[0-9]{4}\b", 0.5, FOUR),), ("ssn", "social security", "taxpayer id", "social security number"), "ssn", True, output_key="SSN"),
     Rule("US_DRIVER_LICENSE", "us-drivers-license", ID, (Pattern(r"(?i)\b[A-Z0-9]{7,12}\b", 0.5, "[A-Za-z0-9]{7}", ("driver_license", "[0-9](?:[A-Za-z]{0,4}[0-9]){3}")),), ("driver", "license", "dl", "driver's license"), "driver_license", True, output_key="DRIVER_LICENSE_NUMBER"),
     Rule("US_BANK_NUMBER", "us-bank-account-number", MONEY, (Pattern(r"(?i)\b[0-9]{6,17}\b", 0.5, FOUR),), ("bank account", "account number", "checking", "savings"), "bank_account", True, output_key="US_BANK_NUMBER"),
-    Rule("ROUTING_NUMBER", "bank-routing-number", MONEY, (Pattern(r"(?i)\b[0-9]{9}\b", 0.5, FOUR),), ("routing", "aba", "routing number"), output_key="BANK_ROUTING_NUMBER"),
+    Rule("ROUTING_NUMBER", "bank-routing-number", MONEY, (Pattern(r"(?i)\b[0-9]{9}\b", 0.5, FOUR),), ("routing", "aba", "routing number"), "no_digit_run", output_key="BANK_ROUTING_NUMBER"),
     Rule("EMAIL_ADDRESS", "email-address", CONTACT, (Pattern(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)*\.[A-Z]{2,}", 1.0, "@"),), ("email", "contact", "email address", "contact email"), "email", output_key="EMAIL"),
     Rule("PHONE_NUMBER", "phone-number", CONTACT, (Pattern(r"(?i)\+[0-9]{1,3}[-. ]?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.6, FOUR), Pattern(r"(?i)\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.5, FOUR)), ("phone", "call", "contact", "mobile", "cell", "telephone", "reach at"), "phone", True, output_key="PHONE_NUMBER"),
     Rule("DATE_OF_BIRTH", "date-of-birth", ID, (Pattern(r"(?i)\b(?:0[1-9]|[12][0-9]|3[01])[-/.](?:0[1-9]|1[0-2])[-/.][12][0-9]{3}\b", 0.85, FOUR), Pattern(r"(?i)\b[12][0-9]{3}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])\b", 0.85, FOUR)), ("born on", "dob", "date of birth", "birthday", "age", "born", "birth date", "born in"), "dob"),

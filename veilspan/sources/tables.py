@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTITY = "struct<start:int, `end`:int, label:string, extracted_text:string>"
@@ -40,16 +40,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def planted_records(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFrame:
     """(doc_id, text, planted values): one record per customer."""
-    values = table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.col("c_custkey").alias("doc_id"), *[F.expr(x).alias(k) for k, x in PLANTED.items()])
+    # Keys alone are dealt to all cores: a small file is a single partition, and what follows is work for the processor.
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition(2 * spark.sparkContext.defaultParallelism, "c_custkey")
+    values = keys.select(F.col("c_custkey"), F.col("c_custkey").alias("doc_id"), *[F.expr(x).alias(k) for k, x in PLANTED.items()])
     text = F.expr(f"concat({RECORD}, {MORE})" if more else RECORD)
     # A generated row is computed once; a projected text would be put together anew wherever a later expression reads it.
     return values.select("doc_id", F.explode(F.array(text)).alias("text"), *PLANTED)
 
 
+def parse_entities(text: Column) -> Column:
+    """array<ENTITY> from a printed list of dictionaries, curly quotes or not; what cannot be read is an empty array."""
+    return F.coalesce(F.from_json(F.translate(text, "‘’'", '"""'), f"array<{ENTITY}>"), F.array().cast(f"array<{ENTITY}>"))
+
+
 def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = LABELLED) -> DataFrame:
-    """Texts with their gold entities, as Parquet, JSON or CSV."""
-    reader = spark.read.format(fmt)
-    return (reader.schema(schema) if schema and fmt != "parquet" else reader).options(**({"header": "true"} if fmt == "csv" else {})).load(path)
+    """Texts with their gold entities, as Parquet, JSON or CSV with a header line, under the schema (None: the files' own).
+
+    A CSV file has no arrays: there the entities are printed lists, which are parsed.
+    """
+    if not schema:
+        return spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).load(path)
+    fields = spark.createDataFrame([], schema).schema.fields
+    if fmt != "csv":
+        return spark.read.schema(schema).format(fmt).load(path)
+    nested = {f.name for f in fields if f.dataType.typeName() == "array"}
+    flat = ", ".join(f"`{f.name}` {'string' if f.name in nested else f.dataType.simpleString()}" for f in fields)
+    rows = spark.read.schema(flat).options(header="true", multiLine="true", quote='"', escape='"').csv(path)
+    return rows.withColumns({c: parse_entities(F.col(c)) for c in nested})
 
 
 def read_json_corpus(spark: SparkSession, path: str) -> DataFrame:
