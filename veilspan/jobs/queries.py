@@ -41,7 +41,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REC = S.records(more=True)
-_BASE = f"WITH {REC}, {S.checked('rec', RULES)} "
+_BASE = f"WITH {REC}, {S.checked('rec', S.COUNTRY)} "
 
 
 def _detection(rules: Rules, source: str) -> Query:
@@ -53,20 +53,20 @@ def _detection(rules: Rules, source: str) -> Query:
 
 for _r in RULES:
     _n = f"detect_{_r.entity.lower()}_rec"
-    QUERIES[_n], ORACLES[_n] = _detection(RULES.only(_r.entity), "rec"), S.detection("rec", RULES.only(_r.entity), REC)
+    QUERIES[_n], ORACLES[_n] = _detection(RULES.only(_r.entity), "rec"), S.detection("rec", [_r.entity], REC)
 for _e, _n in (("EMAIL_ADDRESS", "detect_email_docs"), ("PHONE_NUMBER", "detect_phone_docs")):
-    QUERIES[_n], ORACLES[_n] = _detection(RULES.only(_e), "documents"), S.detection("documents", RULES.only(_e))
+    QUERIES[_n], ORACLES[_n] = _detection(RULES.only(_e), "documents"), S.detection("documents", [_e])
 _TOKENS = Rules(r for r in SECRETS if r.group == "secrets")
-QUERIES["detect_secrets_rec"], ORACLES["detect_secrets_rec"] = _detection(_TOKENS, "rec"), S.detection("rec", _TOKENS, REC)
+QUERIES["detect_secrets_rec"], ORACLES["detect_secrets_rec"] = _detection(_TOKENS, "rec"), S.detection("rec", S.SECRETS, REC)
 
 
-@query(f"WITH {REC}, {S.checked('rec', RULES)} SELECT entity_type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs, CAST(sum(start_) AS BIGINT) AS sum_start FROM spans GROUP BY entity_type")
+@query(f"WITH {REC}, {S.checked('rec', S.COUNTRY)} SELECT entity_type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs, CAST(sum(start_) AS BIGINT) AS sum_start FROM spans GROUP BY entity_type")
 def classify_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = D.detect(_records(spark, sf_dir), RULES)
     return spans.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_spans"), F.count_distinct("doc_id").alias("n_docs"), F.sum("start").alias("sum_start"))
 
 
-@query(f"WITH {REC}, raw_ AS ({S.raw('rec', RULES)}) SELECT entity_type, pattern, base_score, score, count(*) AS n FROM raw_ GROUP BY ALL")
+@query(f"WITH {REC}, raw_ AS ({S.raw('rec', S.COUNTRY)}) SELECT entity_type, pattern, base_score, score, count(*) AS n FROM raw_ GROUP BY ALL")
 def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.raw_matches(_records(spark, sf_dir), RULES).groupBy("entity_type", "pattern", "base_score", "score").agg(F.count(F.lit(1)).alias("n"))
 
@@ -74,16 +74,15 @@ def context_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAST = "(VALUES " + ", ".join(f"({S.quoted(r.entity)}, CAST({r.min_confidence} AS DOUBLE))" for r in RULES) + ") AS t(entity_type, least)"
 
 
-@query(f"WITH {REC}, raw_ AS ({S.raw('rec', RULES)}) SELECT doc_id, entity_type, start_ AS start, score FROM raw_ JOIN {_LEAST} USING (entity_type) WHERE score >= least")
+@query(f"WITH {REC}, raw_ AS ({S.raw('rec', S.COUNTRY)}) SELECT doc_id, entity_type, start_ AS start, score FROM raw_ JOIN {_LEAST} USING (entity_type) WHERE score >= least")
 def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = D.above_threshold(D.raw_matches(_records(spark, sf_dir), RULES), RULES.table(spark))
     return D.known_entities(kept, RULES.table(spark)).select("doc_id", "entity_type", "start", "score")
 
 
 @query(
-    f"WITH {REC}, raw_ AS ({S.raw('rec', RULES.only('US_BANK_NUMBER', 'PHONE_NUMBER'))}) SELECT doc_id, entity_type, start_ AS start, "
-    "NOT (regexp_matches(substring(text, start_, 1), '[0-9]') OR (substring(text, start_, 1) = '.' AND regexp_matches(substring(text, start_ - 1, 1), '[0-9]')) "
-    "OR regexp_matches(substring(text, end_ + 1, 1), '[0-9]') OR (substring(text, end_ + 1, 1) = '.' AND regexp_matches(substring(text, end_ + 2, 1), '[0-9]'))) AS whole FROM raw_"
+    f"WITH {REC}, raw_ AS ({S.raw('rec', ['US_BANK_NUMBER', 'PHONE_NUMBER'])}) SELECT doc_id, entity_type, start_ AS start, "
+    f"NOT {S.IN_DECIMAL} AS whole FROM raw_"
 )
 def decimal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
@@ -171,8 +170,7 @@ def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _greedy(order: str) -> str:
-    taken = "list_reduce(list_prepend([], list_transform(list_sort(l), lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda t: t.s < x[1].e AND x[1].s < t.e)) > 0 THEN acc ELSE list_concat(acc, x) END)"
-    return _BASE.rstrip() + f", l AS (SELECT doc_id, list({order}) AS l FROM spans GROUP BY doc_id), k AS (SELECT doc_id, unnest({taken}) AS x FROM l) SELECT doc_id, x.t AS entity_type, x.s AS start, x.e AS \"end\" FROM k"
+    return _BASE.rstrip() + f", {S.kept(order)} SELECT doc_id, x.t AS entity_type, x.s AS start, x.e AS \"end\" FROM k"
 
 
 @query(_greedy("{'s': start_, 'e': end_, 't': entity_type}"))
@@ -180,12 +178,12 @@ def non_overlap_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.non_overlapping(D.detect(_records(spark, sf_dir), RULES)).select("doc_id", "entity_type", "start", "end")
 
 
-@query(_greedy("{'a': -score, 'b': start_ - end_, 's': start_, 't': entity_type, 'e': end_}"))
+@query(_greedy(S.BEST))
 def non_overlap_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.non_overlapping(D.detect(_records(spark, sf_dir), RULES), best=True).select("doc_id", "entity_type", "start", "end")
 
 
-@query()
+@query(_BASE.rstrip() + f", {S.redaction('rec')} SELECT doc_id, data, CAST(n AS INTEGER) AS n_spans FROM whole")
 def redact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = redact(D.with_spans(_records(spark, sf_dir).select("doc_id", "text"), RULES))
     return out.select("doc_id", "data", F.size("details").alias("n_spans"))
@@ -196,7 +194,7 @@ _EMAIL = RULES.only("EMAIL_ADDRESS")
 
 @query(
     "SELECT doc_id, replace(replace(regexp_replace(replace(replace(text, '<', chr(1)), '>', chr(2)), "
-    + S.quoted(_EMAIL[0].patterns[0].regex)
+    + S.quoted(S.SAID["EMAIL_ADDRESS"][0][0][0])
     + ", '&lt;EMAIL_ADDRESS&gt;', 'g'), chr(1), '&lt;'), chr(2), '&gt;') AS data FROM documents"
 )
 def redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
