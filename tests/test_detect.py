@@ -1,3 +1,6 @@
+import random
+import re
+import time
 from dataclasses import replace
 
 import pytest
@@ -152,3 +155,31 @@ def test_own_recognizers_and_checks_are_not_gated(spark):
     assert found(load_rules().with_recognizer("CODE", [(r"\bzebra\b", 0.9)])) == [(1, "zebra")]
     mine = {"driver_license": lambda v, t: v == "ABCDEFGH"}
     assert found(load_rules().only("US_DRIVER_LICENSE"), validators=mine) == [(2, "ABCDEFGH")]
+
+
+def test_texts_with_many_matches(spark):
+    """Few and many matches of a pattern are placed in two ways; both agree with Python's, and cost follows the text."""
+    piece = "é call 212-555-0143, or user{0}@mail.example.com; 🙂 rate 1.{0}212555 "
+    texts = ["".join(piece.format(i + 100) for i in range(n)) for n in (1, 32, 33, 700)]
+    rules = load_rules().only("EMAIL_ADDRESS", "PHONE_NUMBER")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in D.detect(df, rules).collect():
+        got.setdefault((r["doc_id"], r["entity_type"]), []).append((r["start"], r["end"], r["value"]))
+    for i, t in enumerate(texts):
+        for entity, shape in (("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), ("PHONE_NUMBER", r"[0-9]{3}-[0-9]{3}-[0-9]{4}")):
+            assert sorted(got[i, entity]) == [(m.start(), m.end(), m.group()) for m in re.finditer(shape, t)]
+    long = spark.createDataFrame([(1, "call 212-555-0143, ref 1 " * 8000)], "doc_id long, text string")
+    began = time.time()
+    assert D.detect(long, load_rules()).where("entity_type = 'PHONE_NUMBER'").count() == 8000
+    assert time.time() - began < 30
+
+
+def test_merging_many_spans_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, [(a := rng.randrange(300), a + rng.randrange(1, 40), rng.choice("AB"), rng.choice([0.5, 0.85, 1.0]), "") for _ in range(n)]) for i, n in enumerate((0, 1, 2, 9, 60, 200))]
+    df = spark.createDataFrame(rows, f"doc_id int, s array<{D.SPAN}>")
+    for r in df.select("doc_id", D.merged(F.col("s"), [0.5, 0.85, 1.0]).alias("m")).collect():
+        every = set(rows[r["doc_id"]][1])
+        inside = lambda s, t: t[2] == s[2] and t[0] <= s[0] and t[1] >= s[1] and ((t[1] - t[0] > s[1] - s[0] and t[3] >= s[3]) or (t[:2] == s[:2] and t[3] > s[3]))
+        assert sorted(map(tuple, r["m"])) == sorted(s for s in every if not any(inside(s, t) for t in every))

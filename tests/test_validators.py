@@ -18,6 +18,7 @@ CASES = [
     ("name", lambda v, t: V.valid_name(v), ["Jane Doe"], ["Jane", "R2D2 C3PO"]),
     ("key", lambda v, t: V.valid_api_key(v), ["abcdefg1"], ["abcdefgh", "abc1"]),
     ("birth", lambda v, t: V.valid_birth_date(v, F.lit("Geburtsdatum: x")), ["21/05/1994", "May 15, 1990"], ["1/2/94", "not a date"]),
+    *[(f"birth {w}", lambda v, t, w=w: V.valid_birth_date(v, F.lit(w)), ["21/05/1994"], []) for w in ("Né(e) le 3", "GEB. DATUM", "F.N.", "syntymäpäivä", "Född  den", "D.O.B.", "Date de naissance")],
     ("birth text", lambda v, t: V.valid_birth_date(v, F.lit("meeting")), [], ["21/05/1994"]),
     ("iso", lambda v, t: V.valid_mod_11_10(v), ["86095742719"], ["86095742718", "8609574271", "x6095742719"]),
     ("licence", lambda v, t: V.valid_document_id(F.lit("driver_license_number"), v), ["DL120480"], ["DL12048", "ABCDEF12", "12345678", "ABCDEFGH"]),

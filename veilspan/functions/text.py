@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,39 +61,52 @@ def pieces_of(clean: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
-def matches(text: Column, clean: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
-    """array<struct<start, end, value, left, right>> of the leftmost matches of a pattern that never matches the empty string.
+HIT = "struct<k:int, start:int, `end`:int, value:string, left:string, right:string>"
+#: A text with so many matches of a pattern takes each one's place from all that lies before it; with more, from running sums.
+FEW = 32
+
+
+def matches(text: Column, clean: Column, patterns: Sequence[str], before: int = 0, after: int = 0) -> Column:
+    """array<HIT> of the leftmost matches of each of some patterns that never match the empty string; ``k`` counts patterns from 0.
 
     Offsets are half-open and count code points from 0: matches and the pieces between them alternate, so their lengths add up to
-    the positions.  ``left`` and ``right`` are up to ``before`` and ``after`` characters of the text next to the match; they come
-    from the pieces around it, so no match walks the text again.
+    the positions.  ``left`` and ``right`` are up to ``before`` and ``after`` characters of the text next to the match.  Only the
+    pieces differ by pattern; what follows is one expression for all, which keeps the plan small.
     """
-    kind = "array<struct<start:int,`end`:int,value:string,left:string,right:string>>"
-    none = F.array().cast(kind)
+    none = F.array().cast(f"array<{HIT}>")
 
-    def near(parts: Column, first: Column, n: Column) -> Column:
+    def joined(parts: Column, first: Column | int, n: Column | int) -> Column:
         return F.array_join(F.slice(parts, first, n), "")
 
-    def placed(p: Column) -> Column:
+    def hit(k: Column, start: Column, value: Column, left: Column, right: Column) -> Column:
+        own = F.when(F.contains(value, F.lit(STAND_IN)), F.substring(text, start + 1, F.length(value))).otherwise(value)
+        return F.struct(k.alias("k"), start.alias("start"), (start + F.length(value)).alias("end"), own.alias("value"), left.alias("left"), right.alias("right"))
+
+    def places(p: Column) -> Column:
+        return F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 2).cast("int") - 1)
+
+    def few(f: Column) -> Column:
+        p = f["p"]
+        right = lambda i: F.left(joined(p, 2 * i + 3, 2 * after), F.lit(after)) if after else F.lit("")
+
+        def one(i: Column) -> Column:
+            return let(joined(p, 1, 2 * i + 1), lambda head: hit(f["k"], F.length(head), F.get(p, 2 * i + 1), F.right(head, F.lit(before)) if before else F.lit(""), right(i)))
+
+        return F.transform(places(p), one)
+
+    def many(f: Column) -> Column:
         # A piece before or after may be empty, a match isn't: so many parts hold so many characters at least.
-        reach = 2 * before
-        left_of = lambda tails, i: F.right(near(tails, F.greatest(2 * i + 2 - reach, F.lit(1)), F.least(2 * i + 1, F.lit(reach))), F.lit(before)) if before else F.lit("")
-        right_of = lambda heads, i: F.left(near(heads, 2 * i + 3, F.lit(2 * after)), F.lit(after)) if after else F.lit("")
+        p, reach = f["p"], 2 * before
         tails = F.transform(p, lambda x: F.right(x, F.lit(before))) if before else F.array().cast("array<string>")
         heads = F.transform(p, lambda x: F.left(x, F.lit(after))) if after else F.array().cast("array<string>")
+        left_of = lambda b, i: F.right(joined(b["tails"], F.greatest(2 * i + 2 - reach, F.lit(1)), F.least(2 * i + 1, F.lit(reach))), F.lit(before)) if before else F.lit("")
+        right_of = lambda b, i: F.left(joined(b["heads"], 2 * i + 3, 2 * after), F.lit(after)) if after else F.lit("")
         bound = F.struct(running_sums(F.transform(p, F.length)).alias("at"), tails.alias("tails"), heads.alias("heads"))
+        return let(bound, lambda b: F.transform(places(p), lambda i: hit(f["k"], F.get(b["at"], 2 * i), F.get(p, 2 * i + 1), left_of(b, i), right_of(b, i))))
 
-        def every(b: Column) -> Column:
-            def one(i: Column) -> Column:
-                start, end, value = F.get(b["at"], 2 * i), F.get(b["at"], 2 * i + 1), F.get(p, 2 * i + 1)
-                own = F.when(F.contains(value, F.lit(STAND_IN)), F.substring(text, start + 1, F.length(value))).otherwise(value)
-                return F.struct(start.alias("start"), end.alias("end"), own.alias("value"), left_of(b["tails"], i).alias("left"), right_of(b["heads"], i).alias("right"))
-
-            return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / 2).cast("int") - 1), one)
-
-        return let(bound, every)
-
-    return let(pieces_of(clean, pattern), lambda p: F.when(F.size(p) > 1, placed(p).cast(kind)).otherwise(none))
+    found = F.array(*[F.struct(F.lit(k).alias("k"), pieces_of(clean, rx).alias("p")) for k, rx in enumerate(patterns)])
+    every = lambda f: F.when(F.size(f["p"]) > 2 * FEW + 1, many(f)).when(F.size(f["p"]) > 1, few(f)).otherwise(none)
+    return F.flatten(F.transform(found, every))
 
 
 def char_at(text: Column, index: Column) -> Column:

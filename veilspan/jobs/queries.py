@@ -97,16 +97,16 @@ def entity_counts_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("(all)")).alias("doc"), F.coalesce("entity_type", F.lit("(all)")).alias("entity"), "n")
 
 
-_NAMED = "CASE entity_type " + " ".join(f"WHEN {S.quoted(k)} THEN {S.quoted(v)}" for k, v in NAMES.items()) + " ELSE entity_type END"
+NAMED = "CASE entity_type " + " ".join(f"WHEN {S.quoted(k)} THEN {S.quoted(v)}" for k, v in NAMES.items()) + " ELSE entity_type END"
 
 
-@query(_BASE + f"SELECT doc_id, {_NAMED} AS entity, concat(start_, '_', end_) AS location, score AS confidence_score, value AS entity_value, start_ AS start_index, end_ AS end_index FROM spans")
+@query(_BASE + f"SELECT doc_id, {NAMED} AS entity, concat(start_, '_', end_) AS location, score AS confidence_score, value AS entity_value, start_ AS start_index, end_ AS end_index FROM spans")
 def entity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = C.entity_details(C.classify(_records(spark, sf_dir).select("doc_id", "text"), rules=RULES))
     return out.withColumn("confidence_score", F.round("confidence_score", 4))
 
 
-@query(_BASE + f"SELECT {_NAMED} AS entity, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY entity ORDER BY n_spans DESC, entity LIMIT 5")
+@query(_BASE + f"SELECT {NAMED} AS entity, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY entity ORDER BY n_spans DESC, entity LIMIT 5")
 def topk_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.corpus_counts(D.detect(_records(spark, sf_dir), RULES), RULES).orderBy(F.desc("n_spans"), "entity").limit(5)
 
@@ -201,12 +201,6 @@ def redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(D.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), _EMAIL)).select("doc_id", "data")
 
 
-@query()
-def classify_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The API-shaped result over all documents, redacted, as rows of details."""
-    return C.entity_details(C.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=SECRETS, anonymize=True))
-
-
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
     pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("label"), F.col(k).alias("value")) for k, name in GOLD.items()]))
@@ -224,7 +218,7 @@ _EVAL = (
     _BASE.rstrip()
     + ", gold AS ("
     + " UNION ALL ".join(f"SELECT doc_id AS row_id, '{name}' AS label, {k} AS value, strpos(text, {k}) - 1 AS s, strpos(text, {k}) - 1 + length({k}) AS e FROM rec" for k, name in GOLD.items())
-    + f"), pred AS (SELECT doc_id AS row_id, {_NAMED} AS label, value, start_ AS s, end_ AS e FROM spans WHERE {_NAMED} IN {S.listed(list(GOLD.values()))}), "
+    + f"), pred AS (SELECT doc_id AS row_id, {NAMED} AS label, value, start_ AS s, end_ AS e FROM spans WHERE {NAMED} IN {S.listed(list(GOLD.values()))}), "
     "m AS (SELECT coalesce(g.row_id, p.row_id) AS row_id, coalesce(g.label, p.label) AS label, coalesce(g.value, p.value) AS value, g.row_id IS NOT NULL AS g, p.row_id IS NOT NULL AS p "
     "FROM (SELECT DISTINCT row_id, label, value FROM gold) g FULL JOIN (SELECT DISTINCT row_id, label, value FROM pred) p ON g.row_id = p.row_id AND g.label = p.label AND g.value = p.value), "
     "n AS (SELECT label AS entity_type, count(*) FILTER (g) AS actual_count, count(DISTINCT row_id) FILTER (g) AS support, count(*) FILTER (g AND p) AS correct, count(*) FILTER (NOT g AND p) AS extra, count(*) FILTER (g AND NOT p) AS missed, CAST(0 AS BIGINT) AS wrong FROM m GROUP BY label), "
@@ -310,7 +304,7 @@ def parse_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("row_id", "e.label", F.col("e.extracted_text").alias("value"), "e.start")
 
 
-@query(_BASE + f"SELECT doc_id AS row_id, {_NAMED} AS label, start_ AS start, end_ AS \"end\", value AS extracted_text FROM spans")
+@query(_BASE + f"SELECT doc_id AS row_id, {NAMED} AS label, start_ AS start, end_ AS \"end\", value AS extracted_text FROM spans")
 def parse_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = C.classify(_records(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text"), rules=RULES)
     return E.response_entities(out)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import char_at, let, matches, running_max, without_mark
+from ..functions.text import FEW, char_at, let, matches, running_max, without_mark
 from ..functions.validators import Validator, registry
-from ..sources.rules import Pattern, Rule, Rules
+from ..sources.rules import Rules
 
 SPAN = "struct<start:int, `end`:int, entity_type:string, score:double, value:string>"
 AS_OF = "2024-01-01"
@@ -30,13 +31,6 @@ def lifted(score: float) -> float:
     return min(1.0, max(score + BOOST, FLOOR))
 
 
-def boosted(score: float, left: Column, words: tuple[str, ...]) -> Column:
-    """The score, lifted if one of the words stands in the text before."""
-    if not words:
-        return F.lit(score)
-    return F.when(F.lower(left).rlike(context_regex(words)), F.lit(lifted(score))).otherwise(F.lit(score))
-
-
 def not_in_decimal(text: Column, start: Column, end: Column) -> Column:
     """Neither a digit nor a point after or before a digit touches the value; outside the text there are no digits."""
     digit = lambda i: char_at(text, i).rlike("[0-9]")
@@ -49,59 +43,103 @@ def whole_number(left: Column, right: Column) -> Column:
     return ~(left.rlike("[0-9][.]?$") | right.rlike("^[.]?[0-9]"))
 
 
-def _hits(text: Column, clean: Column, r: Rule, p: Pattern, i: int) -> Column:
-    """array<struct<pattern, base, score, start, end, value, left, right>> of one pattern of a rule."""
-    before = WINDOW if r.context else 2 if r.guard_decimals else 0
-    found = matches(text, clean, p.regex, before, 2 if r.guard_decimals else 0)
-    fields = ("start", "end", "value", "left", "right")
-    return F.transform(found, lambda h: F.struct(F.lit(i).alias("pattern"), F.lit(p.score).alias("base"), boosted(p.score, h["left"], r.context).alias("score"), *[h[c].alias(c) for c in fields]))
-
-
-def _passes(text: Column, h: Column, r: Rule, validators: Mapping[str, Validator]) -> Column:
-    """Score, threshold, decimal guard and check of a hit's rule; a check that gives null fails the hit, not the job."""
-    fine = (h["score"] > 0) & (h["score"] >= r.min_confidence)
-    if r.guard_decimals:
-        fine = fine & whole_number(h["left"], h["right"])
-    if r.validator:
-        if r.validator not in validators:
-            raise ValueError(f"{r.entity}: no validator named {r.validator}")
-        fine = fine & F.coalesce(validators[r.validator](h["value"], text), F.lit(False))
-    return fine
+class _Patterns:
+    """The patterns of all rules in order, each with its place k, and what a hit's k says."""
+
+    def __init__(self, rules: Rules, validators: Mapping[str, Validator]):
+        self.rules, self.validators = list(rules), validators
+        self.flat = [(n, i, p) for n, r in enumerate(rules) for i, p in enumerate(r.patterns)]
+
+    def hits(self, text: Column, clean: Column) -> Column:
+        before = WINDOW if any(r.context for r in self.rules) else 2
+        return matches(text, clean, [p.regex for _, _, p in self.flat], before, 2 if any(r.guard_decimals for r in self.rules) else 0)
+
+    def of(self, k: Column, values: list) -> Column:
+        """The one of a list of values, one for each pattern, that belongs to k."""
+        return F.get(F.array(*map(F.lit, values)), k)
+
+    def by_rule(self, k: Column, branches: list[Column | None], default: bool) -> Column:
+        """The condition, one for each rule, that belongs to k."""
+        out, end = None, 0
+        for r, branch in zip(self.rules, branches, strict=True):
+            end += len(r.patterns)
+            value = F.lit(default) if branch is None else branch
+            out = F.when(k < end, value) if out is None else out.when(k < end, value)
+        return out.otherwise(F.lit(default))
+
+    def score(self, h: Column) -> Column:
+        """The score of the pattern, lifted if one of the rule's words stands in the text before."""
+        base = self.of(h["k"], [float(p.score) for _, _, p in self.flat])
+        if not any(r.context for r in self.rules):
+            return base
+        near = self.by_rule(h["k"], [F.lower(h["left"]).rlike(context_regex(r.context)) if r.context else None for r in self.rules], False)
+        return F.when(near, self.of(h["k"], [lifted(p.score) if self.rules[n].context else float(p.score) for n, _, p in self.flat])).otherwise(base)
+
+    def fine(self, text: Column, h: Column, countries: Column | None) -> Column:
+        """Decimal guard, check and country of a hit's rule; a check that gives null fails the hit, not the job."""
+        branches = []
+        for r in self.rules:
+            if r.validator and r.validator not in self.validators:
+                raise ValueError(f"{r.entity}: no validator named {r.validator}")
+            parts = [whole_number(h["left"], h["right"])] if r.guard_decimals else []
+            parts += [F.coalesce(self.validators[r.validator](h["value"], text), F.lit(False))] if r.validator else []
+            parts += [F.array_contains(countries, r.country)] if countries is not None else []
+            branches.append(reduce(lambda a, b: a & b, parts) if parts else None)
+        return F.lit(True) if not any(b is not None for b in branches) else self.by_rule(h["k"], branches, True)
+
+    def spans(self, text: Column, clean: Column, countries: Column | None) -> Column:
+        """array<SPAN> of all hits that pass."""
+        fine = F.filter(self.hits(text, clean), lambda h: self.fine(text, h, countries))
+        entity = lambda h: self.of(h["k"], [self.rules[n].entity for n, _, _ in self.flat])
+        span = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), entity(h).alias("entity_type"), self.score(h).alias("score"), h["value"].alias("value"), self.of(h["k"], [float(self.rules[n].min_confidence) for n, _, _ in self.flat]).alias("least"))
+        passing = F.filter(F.transform(fine, span), lambda s: (s["score"] > 0) & (s["score"] >= s["least"]))
+        return F.transform(passing, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "entity_type", "score", "value")]))
+
+    def scores(self) -> list[float]:
+        return [x for n, _, p in self.flat for x in ([float(p.score), lifted(p.score)] if self.rules[n].context else [float(p.score)])]
+
+    def alone(self) -> bool:
+        """Whether each entity has a single pattern, whose matches never overlap."""
+        entities = [self.rules[n].entity for n, _, _ in self.flat]
+        return len(entities) == len(set(entities))
 
 
 def merged(spans: Column, scores: list[float]) -> Column:
-    """Spans of one entity, one for each place with its best score, without those inside a span of no lower score; by start.
+    """Of each entity's spans one for each place with its best score, without those inside a span of no lower score.
 
-    In order of start, the longer first, whatever holds a span comes before it; so it is inside another if the farthest end so far
-    among those of its score at least, one for each of the possible ``scores``, reaches its own.
+    A few are held against each other.  Of more, in order of start, the longer first, whatever holds a span comes before it; so it is
+    inside another if the farthest end so far among those of its score at least, one for each of the possible ``scores``,
+    reaches its own.
     """
     levels = sorted(set(scores))
 
-    def uncovered(every: Column) -> Column:
-        reach = F.array(*[running_max(F.transform(every, lambda s, v=v: F.when(s["score"] >= v, s["end"]).otherwise(F.lit(-1)))) for v in levels])
+    def holds(t: Column, s: Column) -> Column:
+        longer = t["end"] - t["start"] > s["end"] - s["start"]
+        return (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & ((longer & (t["score"] >= s["score"])) | (~longer & (t["score"] > s["score"])))
+
+    def reach_of(every: Column, least: float) -> Column:
+        return running_max(F.transform(every, lambda s: F.when(s["score"] >= least, s["end"]).otherwise(F.lit(-1))))
+
+    def swept(every: Column) -> Column:
+        reach = F.array(*[reach_of(every, v) for v in levels])
 
         def kept(reached: Column) -> Column:
-            level = lambda s: sum((F.when(s["score"] > v, 1).otherwise(0) for v in levels[1:]), F.when(s["score"] > levels[0], 1).otherwise(0))
+            level = lambda s: F.size(F.filter(F.array(*map(F.lit, levels[1:])).cast("array<double>"), lambda v: s["score"] >= v))
             farthest = lambda s, i: F.coalesce(F.get(F.get(reached, level(s)), i - 1), F.lit(-1))
             return F.filter(every, lambda s, i: farthest(s, i) < s["end"])
 
-        return F.when(F.size(every) > 1, let(reach, kept)).otherwise(every)
+        return let(reach, kept)
 
     order = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), (-s["score"]).alias("down"), s.alias("span"))
-    return let(F.transform(F.array_sort(F.transform(F.array_distinct(spans), order)), lambda o: o["span"]), uncovered)
+    by_start = lambda own: F.transform(F.sort_array(F.transform(own, order)), lambda o: o["span"])
+    few = lambda own: F.filter(own, lambda s: ~F.exists(own, lambda t: holds(t, s)))
+    one_entity = lambda own: F.when(F.size(own) < 2, own).when(F.size(own) <= FEW, few(own)).otherwise(let(by_start(own), swept))
 
+    def each(every: Column) -> Column:
+        names = F.array_distinct(F.transform(every, lambda s: s["entity_type"]))
+        return F.flatten(F.transform(names, lambda n: let(F.filter(every, lambda s: s["entity_type"] == n), one_entity)))
 
-def _entity_spans(text: Column, clean: Column, rules: list[Rule], known: Mapping[str, Validator], countries: Column | None) -> Column:
-    """array<SPAN> of the rules of one entity."""
-    kind, parts, scores = f"array<{SPAN}>", [], []
-    for r in rules:
-        for i, p in enumerate(r.patterns):
-            passing = F.filter(_hits(text, clean, r, p, i), lambda h, r=r: _passes(text, h, r, known))
-            spans = F.transform(passing, lambda h, r=r: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lit(r.entity).alias("entity_type"), h["score"].alias("score"), h["value"].alias("value"))).cast(kind)
-            parts.append(spans if countries is None else F.when(F.array_contains(countries, r.country), spans).otherwise(F.array().cast(kind)))
-            scores += [p.score, lifted(p.score)] if r.context else [p.score]
-    # Matches of a single pattern never overlap.
-    return parts[0] if len(parts) == 1 else merged(F.concat(*parts), scores)
+    return F.when(F.size(spans) < 2, spans).otherwise(let(F.array_distinct(spans), each))
 
 
 def gate(rules: Rules, own: Mapping[str, Validator] | None = None) -> str | None:
@@ -134,14 +172,12 @@ def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mappi
     rules, none = rules.enabled(), F.array().cast(f"array<{SPAN}>")
     if not rules:
         return none
-    known = {**registry(as_of), **(validators or {})}
-    by_entity: dict[str, list[Rule]] = {}
-    for r in rules:
-        by_entity.setdefault(r.entity, []).append(r)
+    patterns = _Patterns(rules, {**registry(as_of), **(validators or {})})
     own = None if countries is None else row_countries(rules, countries)
 
     def found(bound: Column) -> Column:
-        return F.array_sort(F.concat(*[_entity_spans(text, bound["clean"], rs, known, None if own is None else bound["own"]) for rs in by_entity.values()]))
+        spans = patterns.spans(text, bound["clean"], None if own is None else bound["own"])
+        return F.sort_array(spans if patterns.alone() else let(spans, lambda s: merged(s, patterns.scores())))
 
     bound = F.struct(without_mark(text).alias("clean"), *([] if own is None else [own.alias("own")]))
     needed = gate(rules, validators)
@@ -163,9 +199,10 @@ def detect(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "d
 
 def raw_matches(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, entity_type, pattern, start, end, base_score, score, value) before any check, threshold or merge."""
-    text, rules = F.col(text_col), rules.enabled()
-    named = lambda hits, entity: F.transform(hits, lambda h: F.struct(F.lit(entity).alias("entity_type"), *[h[c].alias(c) for c in ("pattern", "start", "end", "base", "score", "value")]))
-    every = let(without_mark(text), lambda clean: F.concat(*[named(_hits(text, clean, r, p, i), r.entity) for r in rules for i, p in enumerate(r.patterns)]))
+    text, patterns = F.col(text_col), _Patterns(rules.enabled(), {})
+    of = lambda h, at: patterns.of(h["k"], at)
+    fields = lambda h: F.struct(of(h, [patterns.rules[n].entity for n, _, _ in patterns.flat]).alias("entity_type"), of(h, [i for _, i, _ in patterns.flat]).alias("pattern"), h["start"].alias("start"), h["end"].alias("end"), of(h, [float(p.score) for _, _, p in patterns.flat]).alias("base"), patterns.score(h).alias("score"), h["value"].alias("value"))
+    every = F.transform(let(without_mark(text), lambda clean: patterns.hits(text, clean)), fields)
     rows = df.select(id_col, F.explode_outer(every).alias("m")).where("m is not null")
     return rows.select(id_col, "m.entity_type", "m.pattern", "m.start", "m.end", F.col("m.base").alias("base_score"), F.round("m.score", 4).alias("score"), "m.value")
 

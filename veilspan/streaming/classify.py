@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..jobs.classification import classify
 
 
-def read_texts(spark: SparkSession, path: str, schema: str = "doc_id long, text string", fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the files that appear in a folder."""
+def read_texts(spark: SparkSession, path: str, schema: str = "doc_id long, text string", fmt: str = "parquet", files_per_trigger: int | None = None, name: str | None = None) -> DataFrame:
+    """A stream of the files that appear in a folder, of those that fit ``name`` (a glob) if it is given."""
     reader = spark.readStream.format(fmt).schema(schema)
+    reader = reader.option("pathGlobFilter", name) if name else reader
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
