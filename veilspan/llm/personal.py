@@ -24,7 +24,7 @@ CANDIDATES = {
     "number": r"[(]?[0-9](?:[\x20().:/-]{0,2}+[0-9])++",
 }
 CANDIDATE_GATES = {"address": r"@|[(\[]at[)\]]", "number": r"[0-9][\x20().:/-]{0,2}[0-9]"}
-#: Characters before an identifier that its context is taken from.
+#: Characters before and after an identifier that its contexts are taken from.
 CONTEXT = 48
 #: Different identifiers of a kind that a context must have, share of those among all it has, most rounds of scoring (None: until settled).
 SUPPORT, CONFIDENCE, ROUNDS = 8, 0.8, None
@@ -33,14 +33,15 @@ SETTLED = 1e-6
 
 
 def matches(text: Column, pattern: str, gate: str) -> Column:
-    """array<struct<start, end, value, left>> of a pattern's leftmost matches, in code points, with the text just before."""
-    kind = "array<struct<start:int,end:int,value:string,left:string>>"
+    """array<struct<start, end, value, left, right>> of a pattern's leftmost matches, in code points, with the text next to them."""
+    kind = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
     def place(m: Column) -> Column:
-        pieces = F.slice(m["between"], 1, F.size(m["found"]))
+        pieces, rest = F.slice(m["between"], 1, F.size(m["found"])), F.slice(m["between"], 2, F.size(m["found"]))
+        sides = F.zip_with(pieces, rest, lambda a, b: F.struct(F.right(a, F.lit(CONTEXT)).alias("left"), F.left(b, F.lit(CONTEXT)).alias("right")))
         ends = running_sums(F.zip_with(m["found"], pieces, lambda value, before: F.length(value) + F.length(before)))
         spans = F.zip_with(m["found"], ends, lambda value, end: F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
-        return F.zip_with(spans, pieces, lambda s, before: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.right(before, F.lit(CONTEXT)).alias("left")))
+        return F.zip_with(spans, sides, lambda s, x: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
 
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
     return F.when(F.regexp_like(text, F.lit(gate)), let(found, place)).otherwise(F.array()).cast(kind)
@@ -63,8 +64,8 @@ def valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start, kind, end, value, left>> of all kinds, by start, then kind (its place in KINDS)."""
-    of = lambda k, kind: F.transform(F.filter(matches(text, PATTERNS[kind], GATES[kind]), lambda m: valid(kind, m["value"])), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left")))
+    """array<struct<start, kind, end, value, left, right>> of all kinds, by start, then kind (its place in KINDS)."""
+    of = lambda k, kind: F.transform(F.filter(matches(text, PATTERNS[kind], GATES[kind]), lambda m: valid(kind, m["value"])), lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right")))
     return F.array_sort(F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)]))
 
 
@@ -77,11 +78,16 @@ def plausible(value: Column) -> Column:
     return F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in options]), lambda k: k.isNotNull())
 
 
-def context_of(left: Column) -> Column:
-    """The last two words before, lower-cased, numbers as 0; null if there is no letter."""
-    words = F.regexp_replace(F.lower(F.regexp_extract(left, r"(?:(?:^|\s)(\S+)\s+)?(\S+)\s*$", 0)), "[0-9]+", "0")
-    words = F.trim(F.regexp_replace(words, r"\s+", " "))
-    return F.when(F.regexp_like(words, F.lit(r"\p{L}")), words)
+def contexts_of(left: Column, right: Column) -> Column:
+    """The last two words before, marked <, and the first two after, marked >; lower-cased, numbers as 0; none without a letter."""
+
+    def plain(mark: str, words: Column) -> Column:
+        words = F.regexp_replace(F.regexp_replace(F.lower(F.trim(words)), "[0-9]+", "0"), r"\s+", " ")
+        return F.when(F.regexp_like(words, F.lit(r"\p{L}")), F.concat(F.lit(mark), words))
+
+    before = F.regexp_extract(left, r"(?:(?:^|\s)(\S+)\s+)?(\S+)\s*$", 0)
+    after = F.regexp_extract(right, r"^\s*(\S+)(?:\s+(\S+))?", 0)
+    return F.filter(F.array(plain("<", before), plain(">", after)), lambda c: c.isNotNull())
 
 
 def shown(spans: Column) -> Column:
@@ -133,27 +139,29 @@ def learned_mentions(mentions: DataFrame, support: int = SUPPORT, confidence: fl
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = ROUNDS) -> DataFrame:
-    """(id_col, base, found) for every row: arrays of spans (start, kind, end, value, ...) by start, then kind.
+    """(id_col, base, found) for every row: arrays of spans (start, kind, end, value) by start, then kind.
 
     ``base`` are the matches of the fixed patterns, overlaps between kinds included; ``found`` adds candidates that overlap none
     of them and that learned_mentions() vouches for.  A null text is empty.  Equal rows are treated alike, an empty table gives an
     empty result, other columns are not read.  Texts never leave the first scan: tables hold spans and their contexts.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.when(F.regexp_like(text, F.lit("[0-9@]")), base_spans(text)).otherwise(F.array()).cast("array<struct<start:int,kind:int,end:int,value:string,left:string>>")
+    base = F.when(F.regexp_like(text, F.lit("[0-9@]")), base_spans(text)).otherwise(F.array()).cast("array<struct<start:int,kind:int,end:int,value:string,left:string,right:string>>")
     first = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"), base.alias("base"))
     every = F.concat(*[matches(F.col("text"), CANDIDATES[c], CANDIDATE_GATES[c]) for c in CANDIDATES])
     fresh = F.filter(every, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])) & (F.size(plausible(m["value"])) > 0))
-    spans = lambda of: F.transform(of, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["value"].alias("value"), context_of(m["left"]).alias("context")))
-    more = F.transform(fresh, lambda m: F.struct(m["start"].alias("start"), F.lit(None).cast("int").alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left")))
+    spans = lambda of: F.transform(of, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["value"].alias("value"), contexts_of(m["left"], m["right"]).alias("contexts")))
+    more = F.transform(fresh, lambda m: F.struct(m["start"].alias("start"), F.lit(None).cast("int").alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right")))
     rows = written(first.select("id", "row", spans(F.col("base")).alias("base"), spans(more).alias("more")))
-    mentions = rows.select(F.explode(F.concat("base", "more")).alias("m")).select("m.context", F.lower("m.value").alias("value"), "m.kind", plausible(F.col("m.value")).alias("options"))
+    mentions = rows.select(F.explode(F.concat("base", "more")).alias("m")).select(F.explode("m.contexts").alias("context"), F.lower("m.value").alias("value"), "m.kind", plausible(F.col("m.value")).alias("options"))
     learned = learned_mentions(mentions, support, confidence, rounds).withColumnRenamed("kind", "new_kind")
-    new = rows.select("id", "row", F.explode("more").alias("m")).select("id", "row", "m.context", F.lower("m.value").alias("value"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("shown"))
-    new = new.join(learned, ["context", "value"]).groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("start", F.col("new_kind").alias("kind"), "end", F.col("shown").alias("value"), "context"))).alias("found"))
+    new = rows.select("id", "row", F.explode("more").alias("m")).select("id", "row", F.explode("m.contexts").alias("context"), F.lower("m.value").alias("value"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("shown"))
+    # A value has one learned kind, so a span that both of its contexts vouch for is the same twice.
+    new = new.join(learned, ["context", "value"]).groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("start", F.col("new_kind").alias("kind"), "end", F.col("shown").alias("value")))).alias("found"))
     new = new.select(F.col("id").alias("n_id"), F.col("row").alias("n_row"), "found")
     got = rows.join(new, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("row") == F.col("n_row")), "left")
-    return got.select(F.col("id").alias(id_col), "base", F.coalesce("found", F.array().cast(rows.schema["base"].dataType)).alias("found"))
+    bare = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")]))
+    return got.select(F.col("id").alias(id_col), bare.alias("base"), F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")).alias("found"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
