@@ -1,6 +1,9 @@
 import html
+import random
 import re
+from collections import Counter
 
+from veilspan.llm import html_text
 from veilspan.llm.html_text import extract, main_text
 
 RUN = "the cat of the house and a dog is in the garden for it was late and the sun was on the hill with a bird "
@@ -21,6 +24,67 @@ def test_pages_of_the_table(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def found_and_wanted(rows):
+    """Share of blocks found that are wanted, and of wanted ones that are found, on pages whose tags and classes tell nothing."""
+    hits = found = wanted = 0
+    for r in rows:
+        plain = re.sub("<(/?)(article|nav|footer)>", r"<\1div>", r["html"]).replace(' class="ad"', "")
+        want, got = Counter(gold(r["html"]).split("\n\n")), Counter(main_text(plain).split("\n\n"))
+        hits, found, wanted = hits + (want & got).total(), found + got.total(), wanted + want.total()
+    return hits / found, hits / wanted
+
+
+def test_rules_decide_where_tags_tell_nothing(spark, monkeypatch):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r["html"]]
+    assert min(found_and_wanted(rows)) > 0.97
+    for name, value, most in (("LINKS", 2, 0.7), ("SHORT", 10**9, 0.95)):
+        with monkeypatch.context() as m:
+            m.setattr(html_text, name, value)
+            if name == "SHORT":
+                m.setattr(html_text, "LONG", value)
+            assert min(found_and_wanted(rows)) < most, name
+
+
+def test_first_pass_by_hand():
+    dense, sparse = "the cat of the house " * 20, "quartz river stone amber " * 20
+    cases = [(dense, 0, True), (dense[:60], 0, None), (dense, len(dense), False), (sparse, 0, False), (sparse[:150], 0, None), (dense[:100], 0, True), ("© " + dense, 0, False)]
+    for text, linked, want in cases:
+        assert html_text.decide(html_text.Block(text, linked, False, 1, False, False)) is want
+    assert html_text.decide(html_text.Block(sparse, 0, False, 1, True, False)) is None
+    assert html_text.decide(html_text.Block(dense, 0, True, 1, False, False)) is False
+    assert html_text.decide(html_text.Block(dense, 0, False, 1, False, True)) is None
+    assert html_text.decide(html_text.Block(sparse, 0, False, 1, False, False), unknown=True) is True
+
+
+def test_second_pass_against_brute_force(monkeypatch):
+    rng = random.Random(5)
+    decisions = {"main": True, "other": False, "short": None}
+    monkeypatch.setattr(html_text, "decide", lambda b, unknown: decisions[b.text])
+    for _ in range(400):
+        articles = set(rng.sample(range(4), rng.randrange(3)))
+        blocks = []
+        for h in sorted(rng.randrange(4) for _ in range(rng.randrange(1, 14))):
+            blocks.append(html_text.Block(rng.choice(["main", "other", "short", "short"]), 0, False, h, h in articles, False))
+        html_text.label(blocks)
+        first = [decisions[b.text] for b in blocks]
+        decided = [i for i, x in enumerate(first) if x is not None]
+        for i, b in enumerate(blocks):
+            inner = [j for j in decided if blocks[j].inner]
+            own = [j for j in decided if blocks[j].holder == b.holder]
+            nearest = lambda among, i=i: any(first[j] for j in among if abs(i - j) == min(abs(i - k) for k in among))
+            if first[i] is not None:
+                want = first[i]
+            elif not any(first[j] for j in decided):
+                want = b.inner or not any(x.inner for x in blocks)
+            elif own:
+                want = nearest(own)
+            elif b.inner:
+                want = not any(first[j] for j in inner) or nearest(inner)
+            else:
+                want = nearest(decided) and not any(x.inner for x in blocks)
+            assert b.label == want
+
+
 def test_parts_outside_the_main_text():
     page = f"""<html><body class="home menu-open"><header><h1>Site</h1><p>{RUN * 3}</p></header><nav><a href=/>the</a></nav>
     <div class="cookie-notice"><p>{RUN * 3}</p></div><main><article><h1>A title</h1><p>{RUN * 3}&eacute;&nbsp;x &lt;b&gt;</p><p>Yes.</p>

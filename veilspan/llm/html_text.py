@@ -182,7 +182,7 @@ def decide(block: Block, unknown: bool = False) -> bool | None:
     if block.outer:
         return False
     size = len(block.text)
-    if block.linked > LINKS * size:
+    if block.linked > LINKS * size or block.text[0] == "©":
         return False
     density = stop_share(block.text)
     if density is None:
@@ -199,8 +199,9 @@ def decide(block: Block, unknown: bool = False) -> bool | None:
 def label(blocks: list[Block]) -> None:
     """Second pass: what is undecided takes the label of the nearest decided block, in its own holder if there is one.
 
-    Of two equally near, main text wins within a holder that has it on both sides or is an article; a page where no block is decided
-    to be main text keeps the undecided blocks of its article, or all of them if it has none.
+    Without one in its holder, a block of an article looks among those of articles, any other among all; of two equally near, main
+    text wins.  Undecided blocks outside stay out on a page that has an article.  Where no block of the article is decided to be
+    main text, its undecided ones stay, and where none of the page is, all that are undecided.
     """
     unknown = unknown_language(blocks)
     first = [decide(b, unknown) for b in blocks]
@@ -209,8 +210,8 @@ def label(blocks: list[Block]) -> None:
         if first[i] is not None:
             groups.setdefault(b.holder, []).append(i)
     everywhere = [i for i, x in enumerate(first) if x is not None]
-    inside = {b.holder for b in blocks if b.inner}
-    some = any(first)
+    article = [i for i in everywhere if blocks[i].inner]
+    has_article, told, any_main = any(b.inner for b in blocks), any(first[i] for i in article), any(first)
 
     def nearest(i: int, among: list[int]) -> bool:
         at = bisect_left(among, i)
@@ -220,16 +221,14 @@ def label(blocks: list[Block]) -> None:
     for i, b in enumerate(blocks):
         if first[i] is not None:
             b.label = first[i]
-        elif not some:
-            b.label = b.inner or not inside
+        elif not any_main:
+            b.label = b.inner or not has_article
         elif b.holder in groups:
             b.label = nearest(i, groups[b.holder])
-        elif b.holder in inside and any(first[j] for j in everywhere if blocks[j].inner):
-            b.label = nearest(i, [j for j in everywhere if blocks[j].inner])
         elif b.inner:
-            b.label = True
+            b.label = not told or nearest(i, article)
         else:
-            b.label = nearest(i, everywhere) and not inside
+            b.label = nearest(i, everywhere) and not has_article
 
 
 def main_text(html: str | None) -> str:
@@ -242,8 +241,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, text and n_chars (its code points) for every row.
 
-    The text is empty for a null or empty page and where no block is main text.  Repeated rows are treated alike; an empty table
-    gives an empty result; columns besides ``keep`` and the page are not read.
+    The text is empty for a null or empty page and where no block is main text.  A page of any length is read whole, in one pass.  Of two
+    decided blocks equally near to an undecided one, main text wins.  Repeated rows are treated alike; an empty table gives an
+    empty result; columns besides ``keep`` and the page are not read.
     """
 
     @F.arrow_udf("string")
