@@ -100,3 +100,18 @@ def test_pieces_of_repeated_rows(spark):
     docs = spark.range(3).select(F.lit(5).cast("long").alias("doc_id"), F.lit("one two").alias("text"))
     rows = packing.pack_documents(docs).collect()
     assert len(rows) == 3 and sorted(r["offset"] for r in rows) == [0, 3, 6]
+
+
+def test_pieces_that_never_fill_a_sequence(spark, monkeypatch):
+    """All of one length that leaves a gap, among a few short ones: no group grows with the corpus, and the bound is reached."""
+    lengths = [1500] * 2000 + [300] * 200 + [248] * 100
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "id long, piece int, start long, length long, ids_crc32 long")
+    groups, inner = [], packing._pack_group
+    monkeypatch.setattr(packing, "_pack_group", lambda capacity, carry: groups.append(carry) or inner(capacity, carry))
+    got = packing.pack(rows, 2048, shard_rows=128, fan_in=4).collect()
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert sorted(r["id"] for r in got) == list(range(len(lengths))) and max(fill.values()) <= 2048
+    assert len(fill) == 2000  # every long piece needs a sequence of its own, and the short ones fit beside them
+    assert set(groups) == {32, 0}  # a shard passes on a quarter of a shard, so four of them form one of the same size
