@@ -14,42 +14,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of sources takes; nulls have size 0, a null source is its own, equal rows count each."""
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every url, null ones included; repeated rows stay, long urls are read whole."""
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the fixed patterns, and all spans with the learned ones."""
     return personal.report(_table(spark, sf_dir, "documents"))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every hundredth; unusable vectors take no part."""
     return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, null and empty ones included, as pieces placed in sequences of 2048 tokens at most."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of encoded lengths with totals and quantiles for every context limit."""
     return token_counts.length_histogram(_table(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, `und` without letters; learned from documents that are not held out."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal normalised texts of every document and which one stays."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every whole page; empty where there is none."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the smallest id that links reach from it."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 

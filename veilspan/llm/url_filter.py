@@ -70,7 +70,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, url_col: str =
     are sorted together, bucket by bucket; at each boundary stands the stack of rules that are active from there on,
     and a row takes the last stack before it.  Bounds are drawn from a sample of the rows' own keys: one that takes
     many rows occurs often among them, and its rows are spread over as many buckets.  Columns of pages that are named
-    host, path, rule or verdict are replaced.  An empty table gives an empty result.
+    host, path, rule or verdict are replaced.  Repeated rows are each judged, urls of any length are read whole.  An empty table gives
+    an empty result.
     """
     spark = pages.sparkSession
     if rules is None:
