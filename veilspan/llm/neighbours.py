@@ -156,6 +156,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100,
     want = int(min(total, max(np.ceil(probe * total), SEEN_PER_NEIGHBOUR * k)))
     asked = given.where(F.col("id") % query_every == 0)
     groups = max(1, -(-asked.count() // QUERIES))
+    # Few bytes, much work: a stated number of tasks keeps Spark from joining partitions by their size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     @F.pandas_udf("int")
     def block_of(a: pd.Series, b: pd.Series, h: pd.Series) -> pd.Series:
@@ -199,10 +201,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100,
                     if found:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (rows.schema.field("id").type, rows.schema.field("id").type, pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).repartition(F.col("id"))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).repartition(tasks, "id")
     asked = asked.mapInArrow(plan, f"id {kind}, v array<double>, part int, reach double, block int").withColumn("asks", F.lit(1))
     dealt = index.withColumn("block", block_of("c1", "c2", F.pmod(F.xxhash64("v"), F.lit(1 << 30)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("asks", F.lit(0))
-    meet = dealt.unionByName(asked, allowMissingColumns=True).repartition("block", "part").sortWithinPartitions("block", "part", "asks")
+    meet = dealt.unionByName(asked, allowMissingColumns=True).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "asks")
     found = meet.mapInArrow(rerank, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
