@@ -16,7 +16,7 @@ from veilspan.sources.rules import load_rules
 from veilspan.sources.tables import concat_datasets, planted_records, read_json_corpus, read_labelled, write_results
 from veilspan.streaming.classify import classify_stream, read_texts
 
-SLIM = ["detect_us_ssn_rec", "detect_phone_number_rec", "detect_secrets_rec", "decimal_guard", "validators_matrix", "check_digits", "overlap_groups", "non_overlap_best", "redact_docs", "concat_sets", "null_profile", "parse_gold", "parse_model_json", "map_values", "match_values", "name_subsequences", "eval_metrics", "missed_rows", "detect_all_docs", "classify_response", "redact_all_docs", "redacted_places", "row_countries", "enabled_methods", "missing_text", "own_recognizer", "checks_by_label", "gold_pairs", "relabelled", "labelled_tables", "stream_details", "match_names"]
+SLIM = ["detect_us_ssn_rec", "detect_phone_number_rec", "detect_secrets_rec", "decimal_guard", "validators_matrix", "check_digits", "overlap_groups", "non_overlap_best", "redact_docs", "concat_sets", "null_profile", "parse_gold", "parse_model_json", "map_values", "match_values", "name_subsequences", "eval_metrics", "missed_rows", "detect_all_docs", "classify_response", "redact_all_docs", "redacted_places", "row_countries", "enabled_methods", "missing_text", "own_recognizer", "checks_by_label", "gold_pairs", "relabelled", "labelled_tables", "json_corpus", "stream_details", "match_names"]
 
 
 @pytest.fixture(scope="module")

@@ -13,7 +13,7 @@ from ..operators import evaluate as E
 from ..operators import values as X
 from ..sources.folders import new_folder
 from ..sources.rules import Rules
-from ..sources.tables import ENTITY, planted_records, read_labelled, table, write_results
+from ..sources.tables import ENTITY, planted_records, read_json_corpus, read_labelled, table, write_results
 from ..streaming.classify import classify_stream, read_texts
 from . import classification as C
 from . import oracle as S
@@ -181,6 +181,16 @@ def labelled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"WITH {REC} SELECT text, label, value FROM rec, LATERAL (SELECT 'SSN' AS label, ssn AS value UNION ALL SELECT 'EMAIL', email)")
+def json_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in files of a hundred, each one JSON list, read as a corpus."""
+    entities = F.array(_entity("SSN", F.col("ssn")), _entity("EMAIL", F.col("email"))).cast(f"array<{ENTITY}>")
+    items = planted_records(spark, sf_dir, more=True).select(F.floor(F.col("doc_id") / 100).alias("part"), F.struct(F.col("text").alias("Text"), entities.alias("Entities")).alias("item"))
+    path = new_folder(spark)
+    items.groupBy("part").agg(F.to_json(F.collect_list("item")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_corpus(spark, path).select("text", F.explode("mapped_output").alias("e")).select("text", "e.label", F.col("e.extracted_text").alias("value"))
+
+
 @query(f"WITH {S.checked('documents', ['EMAIL_ADDRESS', 'PHONE_NUMBER'])} SELECT doc_id, {NAMED} AS entity, concat(start_, '_', end_) AS location, score AS confidence_score, value AS entity_value, start_ AS start_index, end_ AS end_index FROM spans")
 def stream_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents classified as they arrive, read from the table that the stream appends to."""
