@@ -17,7 +17,7 @@ PRIMES = (1957294168273505681, 2108354871540229841)
 #: Characters of a chunk; longer texts are hashed and compared in several chunks by several tasks.
 CHUNK = 65_536
 #: Members of a group of copies that are compared with one copy of the group's representative.
-SALT_ROWS = 1024
+SALT_ROWS = 64
 
 _KEY = ["n_bytes", "fp1", "fp2"]
 
