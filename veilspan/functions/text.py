@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A code point that is no character and does not occur in exchanged text; where it does, matching sees another in its place.
 MARK, STAND_IN = "﷐", "﷑"
+#: Another one, for the end of a match.
+CLOSE = "\ufdd2"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -56,9 +58,15 @@ def without_mark(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, STAND_IN)).otherwise(text)
 
 
-def pieces_of(clean: Column, pattern: str) -> Column:
-    """What lies between the leftmost matches of a pattern, and the matches, by turns; one pass of the pattern over without_mark()."""
-    return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+def pieces_of(clean: Column, pattern: str, solid: bool = True) -> Column:
+    """What lies between the leftmost matches of a pattern, and the matches, by turns; one pass of the pattern over without_mark().
+
+    A ``solid`` pattern never matches the empty string.  Of another, empty matches are taken out: they open and close at one place.
+    """
+    if solid:
+        return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    marked = F.regexp_replace(F.translate(clean, CLOSE, STAND_IN), F.lit(pattern), F.lit(f"{MARK}$0{CLOSE}"))
+    return F.split(F.replace(F.replace(marked, F.lit(MARK + CLOSE), F.lit("")), F.lit(CLOSE), F.lit(MARK)), MARK, -1)
 
 
 HIT = "struct<k:int, start:int, `end`:int, value:string, left:string, right:string>"
@@ -66,8 +74,10 @@ HIT = "struct<k:int, start:int, `end`:int, value:string, left:string, right:stri
 FEW = 32
 
 
-def matches(text: Column, clean: Column, patterns: Sequence[str], before: int = 0, after: int = 0) -> Column:
-    """array<HIT> of the leftmost matches of each of some patterns that never match the empty string; ``k`` counts patterns from 0.
+def matches(text: Column, clean: Column, patterns: Sequence[str], before: int = 0, after: int = 0, solid: Sequence[bool] | None = None) -> Column:
+    """array<HIT> of the leftmost matches of each of some patterns, without empty ones; ``k`` counts patterns from 0.
+
+    ``solid`` says which patterns never match the empty string (None: all), which spares the search for such matches.
 
     Offsets are half-open and count code points from 0: matches and the pieces between them alternate, so their lengths add up to
     the positions.  ``left`` and ``right`` are up to ``before`` and ``after`` characters of the text next to the match.  Only the
@@ -104,7 +114,7 @@ def matches(text: Column, clean: Column, patterns: Sequence[str], before: int =
         bound = F.struct(running_sums(F.transform(p, F.length)).alias("at"), tails.alias("tails"), heads.alias("heads"))
         return let(bound, lambda b: F.transform(places(p), lambda i: hit(f["k"], F.get(b["at"], 2 * i), F.get(p, 2 * i + 1), left_of(b, i), right_of(b, i))))
 
-    found = F.array(*[F.struct(F.lit(k).alias("k"), pieces_of(clean, rx).alias("p")) for k, rx in enumerate(patterns)])
+    found = F.array(*[F.struct(F.lit(k).alias("k"), pieces_of(clean, rx, solid is None or solid[k]).alias("p")) for k, rx in enumerate(patterns)])
     every = lambda f: F.when(F.size(f["p"]) > 2 * FEW + 1, many(f)).when(F.size(f["p"]) > 1, few(f)).otherwise(none)
     return F.flatten(F.transform(found, every))
 

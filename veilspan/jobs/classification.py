@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..functions.validators import Validator
-from ..operators.detect import AS_OF, SPAN, find_spans, unknown_country
+from ..operators.detect import AS_OF, SPAN, find_spans, unknown_country, with_spans
+from ..operators.overlap import with_disjoint
 from ..operators.redact import redaction
 from ..sources.rules import Rules, load_rules
 
@@ -43,13 +44,14 @@ def details_by_name(details: Column, rules: Rules) -> Column:
     return let(F.transform(details, lambda d: F.struct(display_name(d["entity_type"], rules).alias("name"), *[d[c].alias(c) for c in fields])), by_name)
 
 
-def classify(df: DataFrame, text_col: str = "text", countries: list[str] | Column | None = None, anonymize: bool | Column = False, rules: Rules | None = None, as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None) -> DataFrame:
+def classify(df: DataFrame, text_col: str = "text", countries: list[str] | Column | None = None, anonymize: bool | Column = False, rules: Rules | None = None, as_of: str = AS_OF, validators: Mapping[str, Validator | object] | None = None, dense: bool = False) -> DataFrame:
     """Adds status, data and entityDetails to every row, without a shuffle.
 
     With anonymize, data is the redacted text and locations are places in it; without, data is empty and they are places in
     the text.  A row without a text gets status 400, empty data and an empty map.  ``countries`` names the countries whose rules
     hold, for all rows or, as an array column, for each row; a row that names one without rules, while there are no GLOBAL
-    ones, gets status 400 as well.
+    ones, gets status 400 as well.  ``dense`` is for texts with many thousands of spans that overlap in chains: which of them stay is then
+    decided by an interval set in Python, with the same result.
     """
     by_row = countries if isinstance(countries, Column) else None
     rules = rules if rules is not None else load_rules(None if by_row is not None else countries)
@@ -57,10 +59,17 @@ def classify(df: DataFrame, text_col: str = "text", countries: list[str] | Colum
     out = split_valid(df, text_col)
     if by_row is not None:
         out = out.withColumn("status", F.when(unknown_country(rules.enabled(), by_row), 400).otherwise(F.col("status")))
-    out = out.withColumn("__spans", F.when(F.col("status") == 200, find_spans(F.col(text_col), rules, as_of, validators, by_row)).otherwise(F.array().cast(f"array<{SPAN}>")))
-    out = out.withColumn("__r", F.when(F.coalesce(hide, F.lit(False)) & (F.col("status") == 200), redaction(F.col(text_col), F.col("__spans"))))
+    none = F.array().cast(f"array<{SPAN}>")
+    if validators:
+        out = with_spans(out, rules, text_col, as_of, validators, "__all", by_row).withColumn("__spans", F.when(F.col("status") == 200, F.col("__all")).otherwise(none)).drop("__all")
+    else:
+        out = out.withColumn("__spans", F.when(F.col("status") == 200, find_spans(F.col(text_col), rules, as_of, None, by_row)).otherwise(none))
+    kept = F.col("__spans")
+    if dense:
+        out, kept = with_disjoint(out, "__spans", "__kept", best=True), F.col("__kept")
+    out = out.withColumn("__r", F.when(F.coalesce(hide, F.lit(False)) & (F.col("status") == 200), redaction(F.col(text_col), kept, disjoint=dense)))
     details = F.coalesce(F.col("__r.details"), span_details(F.col("__spans")))
-    return out.withColumn("data", F.coalesce("__r.data", F.lit(""))).withColumn("entityDetails", details_by_name(details, rules)).drop("__spans", "__r")
+    return out.withColumn("data", F.coalesce("__r.data", F.lit(""))).withColumn("entityDetails", details_by_name(details, rules)).drop("__spans", "__kept", "__r")
 
 
 def entity_details(classified: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from ..sources.tables import MORE, PLANTED, RECORD
+from ..sources.tables import MORE, NOTE, PLANTED, PLANTED_TEXT, RECORD
 
 # Fixed values, apart from those of the rule table: shapes with scores, context words, check, decimal guard, threshold.
 SAID: dict[str, tuple[list[tuple[str, float]], str, str | None, bool, float]] = {
@@ -94,6 +94,12 @@ def records(more: bool = False) -> str:
     return f"v AS (SELECT c_custkey, c_custkey AS doc_id, {values} FROM customer), rec AS (SELECT *, {text} AS text FROM v)"
 
 
+def planted(source: str, number: str, text: str) -> str:
+    """CTE src (doc_id, text): planted_texts() of a table."""
+    values = ", ".join(f"{x} AS {k}" for k, x in PLANTED.items())
+    return f"pv AS (SELECT *, {values} FROM (SELECT {number} AS c_custkey, {text} AS raw FROM {source})), pn AS (SELECT *, {NOTE} AS note FROM pv), src AS (SELECT c_custkey AS doc_id, {PLANTED_TEXT} AS text FROM pn)"
+
+
 def hits(source: str, shape: str, score: float, words: str, entity: str, i: int) -> str:
     """(doc_id, text, entity_type, pattern, start_, end_, base_score, score, value) of one shape."""
     rx = quoted(shape)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FEW, char_at, let, matches, running_max, without_mark
+from ..functions.text import FEW, HIT, char_at, let, matches, running_max, without_mark
 from ..functions.validators import Validator, registry
 from ..sources.rules import Rules
+from .checks import as_python, lenient, python_verdicts
 
 SPAN = "struct<start:int, `end`:int, entity_type:string, score:double, value:string>"
 AS_OF = "2024-01-01"
@@ -46,13 +47,13 @@ def whole_number(left: Column, right: Column) -> Column:
 class _Patterns:
     """The patterns of all rules in order, each with its place k, and what a hit's k says."""
 
-    def __init__(self, rules: Rules, validators: Mapping[str, Validator]):
-        self.rules, self.validators = list(rules), validators
+    def __init__(self, rules: Rules, validators: Mapping[str, Validator], apart: Mapping[str, object] | None = None):
+        self.rules, self.validators, self.apart = list(rules), validators, apart or {}  # apart: checks that stand in steps of their own
         self.flat = [(n, i, p) for n, r in enumerate(rules) for i, p in enumerate(r.patterns)]
 
     def hits(self, text: Column, clean: Column) -> Column:
         before = WINDOW if any(r.context for r in self.rules) else 2
-        return matches(text, clean, [p.regex for _, _, p in self.flat], before, 2 if any(r.guard_decimals for r in self.rules) else 0)
+        return matches(text, clean, [p.regex for _, _, p in self.flat], before, 2 if any(r.guard_decimals for r in self.rules) else 0, [p.solid for _, _, p in self.flat])
 
     def of(self, k: Column, values: list) -> Column:
         """The one of a list of values, one for each pattern, that belongs to k."""
@@ -79,17 +80,21 @@ class _Patterns:
         """Decimal guard, check and country of a hit's rule; a check that gives null fails the hit, not the job."""
         branches = []
         for r in self.rules:
-            if r.validator and r.validator not in self.validators:
+            own = r.validator if r.validator not in self.apart else None
+            if own and own not in self.validators:
                 raise ValueError(f"{r.entity}: no validator named {r.validator}")
             parts = [whole_number(h["left"], h["right"])] if r.guard_decimals else []
-            parts += [F.coalesce(self.validators[r.validator](h["value"], text), F.lit(False))] if r.validator else []
+            parts += [F.coalesce(self.validators[own](h["value"], text), F.lit(False))] if own else []
             parts += [F.array_contains(countries, r.country)] if countries is not None else []
             branches.append(reduce(lambda a, b: a & b, parts) if parts else None)
         return F.lit(True) if not any(b is not None for b in branches) else self.by_rule(h["k"], branches, True)
 
-    def spans(self, text: Column, clean: Column, countries: Column | None) -> Column:
-        """array<SPAN> of all hits that pass."""
-        fine = F.filter(self.hits(text, clean), lambda h: self.fine(text, h, countries))
+    def passing(self, text: Column, clean: Column, countries: Column | None) -> Column:
+        """The hits that pass guard, check and country."""
+        return F.filter(self.hits(text, clean), lambda h: self.fine(text, h, countries))
+
+    def spans(self, fine: Column) -> Column:
+        """array<SPAN> of hits, where their score reaches the rule's threshold."""
         entity = lambda h: self.of(h["k"], [self.rules[n].entity for n, _, _ in self.flat])
         span = lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), entity(h).alias("entity_type"), self.score(h).alias("score"), h["value"].alias("value"), self.of(h["k"], [float(self.rules[n].min_confidence) for n, _, _ in self.flat]).alias("least"))
         passing = F.filter(F.transform(fine, span), lambda s: (s["score"] > 0) & (s["score"] >= s["least"]))
@@ -164,30 +169,75 @@ def unknown_country(rules: Rules, countries: Column) -> Column:
     return ~F.lit(any(r.country == GLOBAL for r in rules)) & F.array_contains(row_countries(rules, countries), GLOBAL)
 
 
+def _where_worth(text: Column, rules: Rules, countries: Column | None, validators: Mapping[str, Validator] | None, found: Callable[[Column], Column]) -> Column:
+    """found(clean text and the row's countries) of the texts that can hold something; null for others."""
+    own = None if countries is None else row_countries(rules, countries)
+    bound = F.struct(without_mark(text).alias("clean"), *([] if own is None else [own.alias("own")]))
+    needed = gate(rules, validators)
+    worth = text.isNotNull() if needed is None else text.rlike(needed)
+    return F.when(worth, let(bound, found))
+
+
 def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None, countries: Column | None = None) -> Column:
     """array<SPAN> of all rules, by start, end and entity; a null text has none.  Spans of different entities may share a place.
 
-    With ``countries``, an array of each row's own, only rules of these hold for the row.
+    With ``countries``, an array of each row's own, only rules of these hold for the row.  As everything is one column, the user's
+    ``validators`` must be functions of columns, and what they raise ends the job; with_spans() has neither limit.
     """
     rules, none = rules.enabled(), F.array().cast(f"array<{SPAN}>")
     if not rules:
         return none
+    python = [k for k, v in (validators or {}).items() if as_python(v) is not None]
+    if any(r.validator in python for r in rules):
+        raise ValueError(f"{', '.join(python)}: Python checks need a step of their own, which with_spans(), detect() and classify() make")
     patterns = _Patterns(rules, {**registry(as_of), **(validators or {})})
-    own = None if countries is None else row_countries(rules, countries)
 
     def found(bound: Column) -> Column:
-        spans = patterns.spans(text, bound["clean"], None if own is None else bound["own"])
-        return F.sort_array(spans if patterns.alone() else let(spans, lambda s: merged(s, patterns.scores())))
+        return _sorted_spans(patterns, patterns.passing(text, bound["clean"], None if countries is None else bound["own"]))
+
+    return F.coalesce(_where_worth(text, rules, countries, validators, found).cast(f"array<{SPAN}>"), none)
 
-    bound = F.struct(without_mark(text).alias("clean"), *([] if own is None else [own.alias("own")]))
-    needed = gate(rules, validators)
-    worth = text.isNotNull() if needed is None else text.rlike(needed)
-    return F.when(worth, let(bound, found).cast(f"array<{SPAN}>")).otherwise(none)
 
+def _sorted_spans(patterns: _Patterns, fine: Column) -> Column:
+    spans = patterns.spans(fine)
+    return F.sort_array(spans if patterns.alone() else let(spans, lambda s: merged(s, patterns.scores())))
 
-def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None, name: str = "spans", countries: Column | None = None) -> DataFrame:
-    """Adds the spans of the text to every row."""
-    return df.withColumn(name, find_spans(F.col(text_col), rules, as_of, validators, countries))
+
+def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str = AS_OF, validators: Mapping[str, Validator | object] | None = None, name: str = "spans", countries: Column | None = None) -> DataFrame:
+    """Adds the spans of the text to every row.
+
+    The user's ``validators``, by name, are functions of columns (value, text), python_check()s, or user-defined functions of Spark.
+    What one of them raises costs the value, not the job: columns are analysed so that failing casts and operations give null
+    (raise_error() still raises), Python checks are caught.  They stand in steps of their own between the search for hits and the
+    merging of spans; rules without them stay one projection.
+    """
+    apart = {r.validator: validators[r.validator] for r in rules.enabled() if r.validator in (validators or {})}
+    if not apart:
+        return df.withColumn(name, find_spans(F.col(text_col), rules, as_of, None, countries))
+    text, patterns = F.col(text_col), _Patterns(rules.enabled(), registry(as_of), apart)
+    none = F.array().cast(f"array<{HIT}>")
+    hits = _where_worth(text, rules.enabled(), countries, validators, lambda b: patterns.passing(text, b["clean"], None if countries is None else b["own"]))
+    # A generated row is computed once; a projected array would be put together anew wherever it is read.
+    out = df.select("*", F.explode(F.array(F.coalesce(hits.cast(f"array<{HIT}>"), none))).alias("__hits"))
+    columns = {k: v for k, v in apart.items() if as_python(v) is None}
+    if columns:
+        with lenient(df.sparkSession):
+
+            def fine(h: Column) -> Column:
+                own = [F.coalesce(columns[r.validator](h["value"], text), F.lit(False)) if r.validator in columns else None for r in patterns.rules]
+                return patterns.by_rule(h["k"], own, True)
+
+            out = out.withColumn("__fine", F.transform("__hits", fine))
+            out = out.withColumn("__hits", F.filter("__hits", lambda h, i: F.get(F.col("__fine"), i))).drop("__fine")
+    python = [(n, as_python(apart[r.validator])) for n, r in enumerate(patterns.rules) if r.validator in apart and r.validator not in columns]
+    if python:
+        checks = [(check, patterns.rules[n].country, patterns.rules[n].check_parameters()) for n, check in python]
+        number = {n: k for k, (n, _) in enumerate(python)}
+        which = F.transform("__hits", lambda h: patterns.of(h["k"], [number.get(n, -1) for n, _, _ in patterns.flat]))
+        out = out.withColumn("__fine", python_verdicts(F.transform("__hits", lambda h: h["value"]), which, text, checks))
+        out = out.withColumn("__hits", F.filter("__hits", lambda h, i: F.get(F.col("__fine"), i))).drop("__fine")
+    spans = F.when(F.size("__hits") > 0, let(F.col("__hits"), lambda h: _sorted_spans(patterns, h)).cast(f"array<{SPAN}>")).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return out.withColumn(name, spans).drop("__hits")
 
 
 def detect(df: DataFrame, rules: Rules, text_col: str = "text", id_col: str = "doc_id", as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None) -> DataFrame:

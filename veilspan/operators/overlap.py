@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,9 +78,57 @@ def first_come(spans: Column) -> Column:
     return greedy(spans, lambda s, i: i)
 
 
+def best_rank(s: Column, i: Column | None = None) -> Column:
+    """Score, length (both falling), start and entity."""
+    return F.struct((-s["score"]).alias("score"), (s["start"] - s["end"]).alias("length"), s["start"].alias("start"), s["entity_type"].alias("entity_type"))
+
+
 def best_first(spans: Column) -> Column:
-    """Spans in the order of score, length (both falling), start and entity, none overlapping one taken before; by start."""
-    return greedy(spans, lambda s, i: F.struct((-s["score"]).alias("score"), (s["start"] - s["end"]).alias("length"), s["start"].alias("start"), s["entity_type"].alias("entity_type")))
+    """Spans in the order of best_rank(), none overlapping one taken before; by start."""
+    return greedy(spans, best_rank)
+
+
+#: Arrays of more spans go to disjoint_places(), whose cost does not follow the square of a run.
+DENSE = 1000
+
+
+def taken_places(starts: list[int], ends: list[int]) -> list[int]:
+    """Numbers of the intervals, taken in the order given, that overlap none taken before.
+
+    What is taken is a sorted set of disjoint intervals: of those that begin before an interval ends, the last one reaches farthest.
+    """
+    begun, ended, taken = [], [], []
+    for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        at = bisect_left(begun, b)
+        if not at or ended[at - 1] <= a:
+            begun.insert(at, a)
+            ended.insert(at, b)
+            taken.append(k)
+    return taken
+
+
+def disjoint_places(starts: Column, ends: Column) -> Column:
+    """array<int>: taken_places() of the two arrays of each row."""
+
+    @F.arrow_udf("array<int>")
+    def places(starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([taken_places(a, b) if a else [] for a, b in zip(starts.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    return places(starts, ends)
+
+
+def with_disjoint(df: DataFrame, spans_col: str, name: str, best: bool = False, dense: int = DENSE) -> DataFrame:
+    """Adds the spans of an array column that first_come() or best_first() keeps; long arrays are decided by an interval set in Python."""
+    rank = best_rank if best else (lambda s, i: i)
+    spans, few = F.col(spans_col), F.size(F.col(spans_col)) <= dense
+    ranked = F.array_sort(F.transform(spans, lambda s, i: F.struct(rank(s, i).alias("rank"), i.alias("i"), s["start"].alias("start"), s["end"].alias("end"))))
+    long = F.when(~few, F.transform(ranked, lambda x: F.struct(x["i"].alias("i"), x["start"].alias("start"), x["end"].alias("end"))))
+    # A generated row is computed once; a projected array would be sorted anew wherever it is read.
+    out = df.select("*", F.explode(F.array(F.coalesce(long, F.array().cast("array<struct<i:int,start:int,`end`:int>>")))).alias("__ranked"))
+    out = out.withColumn("__taken", disjoint_places(F.transform("__ranked", lambda x: x["start"]), F.transform("__ranked", lambda x: x["end"])))
+    picked = F.transform("__taken", lambda p: let(F.get(spans, F.get(F.col("__ranked"), p)["i"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s.alias("span"))))
+    dense_kept = F.transform(F.array_sort(picked), lambda x: x["span"])
+    return out.withColumn(name, F.when(few, best_first(spans) if best else first_come(spans)).otherwise(dense_kept)).drop("__ranked", "__taken")
 
 
 def non_overlapping(spans: DataFrame, id_col: str = "doc_id", within: Sequence[str] = (), best: bool = False) -> DataFrame:
@@ -88,5 +138,5 @@ def non_overlapping(spans: DataFrame, id_col: str = "doc_id", within: Sequence[s
     lead = ["start", "end", "entity_type"]
     item = F.struct(*[c for c in lead if c in rest], *[c for c in rest if c not in lead])
     # An array per document holds its spans only; the text stays behind.
-    grouped = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("spans"))
-    return grouped.select(*keys, F.explode(best_first(F.col("spans")) if best else first_come(F.col("spans"))).alias("s")).select(*keys, "s.*")
+    grouped = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__spans"))
+    return with_disjoint(grouped, "__spans", "__kept", best).select(*keys, F.explode("__kept").alias("s")).select(*keys, "s.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, running_sums
-from .overlap import best_first
+from .overlap import best_first, with_disjoint
 
 DETAIL = "struct<entity_type:string, location:string, confidence_score:double, entity_value:string, start_index:int, end_index:int>"
 
@@ -15,10 +15,10 @@ def html_escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def redaction(text: Column, spans: Column, escape: bool = True) -> Column:
+def redaction(text: Column, spans: Column, escape: bool = True, disjoint: bool = False) -> Column:
     """struct<data, details>: the text with <ENTITY> in place of each kept span, and each span's place in it.
 
-    Of overlapping spans the best stays.  Values come from the original text; places count the escaped characters.
+    Of overlapping spans the best stays; ``disjoint`` says that none overlap any more.  Values come from the original text; places count the escaped characters.
     """
     shown = html_escaped if escape else (lambda c: c)
 
@@ -43,9 +43,14 @@ def redaction(text: Column, spans: Column, escape: bool = True) -> Column:
 
         return let(parts, finish)
 
-    return let(best_first(spans), replaced)
+    return let(spans if disjoint else best_first(spans), replaced)
 
 
-def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans", escape: bool = True) -> DataFrame:
-    """Adds data and details; where the text is null, data is null: the text itself is never passed on instead."""
-    return df.withColumn("__r", redaction(F.col(text_col), F.col(spans_col), escape)).withColumn("data", F.col("__r.data")).withColumn("details", F.col("__r.details")).drop("__r")
+def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans", escape: bool = True, dense: bool = False) -> DataFrame:
+    """Adds data and details; where the text is null, data is null: the text itself is never passed on instead.
+
+    ``dense`` is for rows with many thousands of spans that overlap in chains, which an interval set in Python decides.
+    """
+    out = with_disjoint(df, spans_col, "__kept", best=True) if dense else df.withColumn("__kept", F.col(spans_col))
+    out = out.withColumn("__r", redaction(F.col(text_col), F.col("__kept"), escape, disjoint=dense))
+    return out.withColumn("data", F.col("__r.data")).withColumn("details", F.col("__r.details")).drop("__r", "__kept")

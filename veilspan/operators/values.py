@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, running_sums
+from ..functions.text import let
 from ..functions.validators import canonical_label, mentions_birth, validate_extracted
 from ..sources.rules import Rules
 from .overlap import first_come, greedy, overlap_groups
 
 
+def without_fences(raw: Column) -> Column:
+    """A model's answer without code fences, wherever they stand."""
+    return F.regexp_replace(raw, r"```(?:[A-Za-z]+(?=[\s{\[]))?", "")
+
+
 def parse_model_json(raw: Column) -> Column:
-    """map<label, values> from a model's answer, with or without a code fence; what cannot be read is an empty map."""
-    bare = F.trim(F.regexp_replace(raw, r"(?m)^\s*```[a-zA-Z]*\s*$", ""))
-    return F.coalesce(F.from_json(bare, "map<string,array<string>>"), F.create_map().cast("map<string,array<string>>"))
+    """map<label, values> from a model's answer: the object from its first brace to its last, with or without fences and words around.
+
+    Each label is read by itself: a bare string or number is a list of one, null is none, and what is no list of values gives that
+    label no values.  An answer without a readable object is an empty map.
+    """
+    none = F.array().cast("array<string>")
+    body = F.regexp_extract(without_fences(raw), r"(?s)\{.*\}", 0)
+
+    def values(v: Column) -> Column:
+        nested = F.ltrim(v).rlike(r"^[\[{]")
+        return F.when(v.isNull(), none).when(nested, F.coalesce(F.from_json(v, "array<string>"), F.when(F.ltrim(v).startswith("{"), none).otherwise(F.array(v)))).otherwise(F.array(v))
+
+    read = F.from_json(body, "map<string,string>")
+    return F.coalesce(F.transform_values(read, lambda _, v: F.filter(values(v), lambda x: x.isNotNull())), F.create_map().cast("map<string,array<string>>"))
 
 
 def merge_verdicts(raw: Column) -> Column:
@@ -51,29 +69,109 @@ def map_values(docs: DataFrame, values: DataFrame, rules: Rules, id_col: str = "
     return rows.select(id_col, "s.entity_type", "s.start", "s.end", F.lit(score).alias("score"))
 
 
-def occurrences(text: Column, value: Column) -> Column:
-    """Starts of a value in a text, in any case, left to right without overlaps."""
-    literal = F.concat(F.lit("(?iu)\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pieces = F.split(text, literal, -1)
-    ends = running_sums(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) + F.length(value)))
-    return F.transform(ends, lambda e: e - F.length(value))
+class _Folded(dict):
+    """Each character as matching in any case sees it; none becomes two, so that places stay."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        up = c.upper() if len(c.upper()) == 1 else c
+        low = "i" if c == "\u0130" else up.lower()
+        self[code] = ord(low) if len(low) == 1 else ord(up)
+        return self[code]
+
+
+_FOLD = _Folded()
+
+
+def folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLD)
+
+
+def choices_in(text: str, phrase: str, present: dict[str, bool]) -> list[str]:
+    """The choices of a phrase's words in their order that a folded text holds, however many words there are.
+
+    A choice can only stand in the text if it does so without its last word, so choices grow word by word from those found;
+    ``present`` says which of the words the text holds.
+    """
+    found: dict[str, None] = {}
+    for word in phrase.split():
+        if present[folded(word)]:
+            grown = [word, *(f"{c} {word}" for c in found)]
+            found.update(dict.fromkeys(g for g in grown if g == word or folded(g) in text))
+    return list(found)
+
+
+def occurrences(text: str, forms: list[str]) -> list[list[int]]:
+    """Starts of each of some forms in a text, in any case, left to right without overlaps of its own, in one pass over the text."""
+    wanted: dict[str, list[int]] = {}
+    for k, form in enumerate(forms):
+        if form:
+            wanted.setdefault(folded(form), []).append(k)
+    out: list[list[int]] = [[] for _ in forms]
+    if not wanted:
+        return out
+    automaton = ahocorasick.Automaton()
+    for form, numbers in wanted.items():
+        automaton.add_word(form, (len(form), numbers))
+    automaton.make_automaton()
+    for last, (size, numbers) in automaton.iter(folded(text)):
+        start = last - size + 1
+        for k in numbers:
+            if not out[k] or out[k][-1] + size <= start:
+                out[k].append(start)
+    return out
+
+
+def _held_words(text: str, phrases: list[str]) -> dict[str, bool]:
+    """Which of the folded words of some phrases a folded text holds."""
+    present = {folded(w): False for p in phrases for w in p.split()}
+    if present:
+        automaton = ahocorasick.Automaton()
+        for word in present:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for _, word in automaton.iter(text):
+            present[word] = True
+    return present
+
+
+PLACE = "struct<n:int, start:int, length:int>"
+
+
+def value_places(text: Column, values: Column, names: Column) -> Column:
+    """array<PLACE>: where the values of an array stand in the text, in any case; of those that ``names`` marks, every choice of words.
+
+    ``n`` counts the values.  An automaton of all forms passes over a text once, however many values it is asked for.
+    """
+
+    def places_of(text: str, values: list[str], names: list[bool]) -> list[tuple[int, int, int]]:
+        low = folded(text)
+        present = _held_words(low, [v for v, name in zip(values, names, strict=True) if name])
+        forms = [(n, f) for n, (v, name) in enumerate(zip(values, names, strict=True)) for f in (choices_in(low, v, present) if name else [v]) if len(f) > 2]
+        found = occurrences(text, [f for _, f in forms])
+        return [(n, start, len(f)) for (n, f), starts in zip(forms, found, strict=True) for start in starts]
+
+    @F.arrow_udf(f"array<{PLACE}>")
+    def places(texts: pa.Array, values: pa.Array, names: pa.Array) -> pa.Array:
+        rows = [[{"n": n, "start": s, "length": k} for n, s, k in places_of(t, v, m)] if t and v else [] for t, v, m in zip(texts.to_pylist(), values.to_pylist(), names.to_pylist(), strict=True)]
+        return pa.array(rows, pa.list_(pa.struct([("n", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])))
+
+    return places(text, values, names)
 
 
 def match_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, label, start, end, extracted_text): all valid occurrences of the values of known labels, none overlapping within a label.
 
     Names of any length also match by subsequences of their words, longest first.  A document's values meet its text once, as an
-    array; everything else happens in that row.
+    array, and one pass of an automaton over the text finds them all.
     """
     known = values.withColumn("canonical", canonical_label(F.col("label"))).where(F.col("canonical").isNotNull() & (F.length("value") > 2))
     listed = known.groupBy(id_col).agg(F.collect_set(F.struct("canonical", "value")).alias("wanted"))
     text = F.col("text")
-    fields = lambda label, start, value: F.struct(label.alias("label"), start.alias("start"), (start + F.length(value)).alias("end"), F.substring(text, start + 1, F.length(value)).alias("extracted_text"))
 
-    def spans_of(v: Column) -> Column:
-        forms = F.when(v["canonical"] == "name", subsequences_in(text, v["value"])).otherwise(F.array(v["value"]))
-        long = F.filter(forms, lambda f: F.length(f) > 2)
-        return F.flatten(F.transform(long, lambda f: F.transform(occurrences(text, f), lambda at: fields(v["canonical"], at, f))))
+    def span(p: Column) -> Column:
+        label = F.get(F.col("wanted"), p["n"])["canonical"]
+        return F.struct(label.alias("label"), p["start"].alias("start"), (p["start"] + p["length"]).alias("end"), F.substring(text, p["start"] + 1, p["length"]).alias("extracted_text"))
 
     def kept(every: Column) -> Column:
         # Longer forms come before shorter ones, as they are tried first.
@@ -82,42 +180,61 @@ def match_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", tex
         return F.flatten(F.transform(labels, lambda label: greedy(F.filter(every, lambda s: s["label"] == label), rank)))
 
     def fine(born: Column) -> Column:
-        every = F.array_distinct(F.flatten(F.transform(F.col("wanted"), spans_of)))
+        every = F.array_distinct(F.transform("__places", span))
         return let(F.filter(every, lambda s: validate_extracted(s["label"], s["extracted_text"], text, born)), kept)
 
     rows = listed.join(docs.select(id_col, F.col(text_col).alias("text")), id_col)
-    each = rows.select(id_col, F.explode_outer(let(mentions_birth(text), fine)).alias("s")).where("s is not null")
+    placed = rows.withColumn("__places", value_places(text, F.transform("wanted", lambda v: v["value"]), F.transform("wanted", lambda v: v["canonical"] == "name")))
+    each = placed.select(id_col, F.explode_outer(let(mentions_birth(text), fine)).alias("s")).where("s is not null")
     return each.select(id_col, "s.label", "s.start", "s.end", F.trim("s.extracted_text").alias("extracted_text"))
 
 
-def subsequences_in(text: Column, phrase: Column) -> Column:
-    """The choices of a phrase's words in their order that a text holds, in any case, however many words there are.
+#: Words of a phrase whose choices one row may list; 2**n - 1 choices come of n words.
+LISTED = 16
+#: Choices, as a power of two, that one row of listed_choices() lists.
+RANGE = 12
 
-    A choice can only stand in the text if it does so without its last word, so choices grow word by word from those found.
-    """
-    words = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
 
-    def grown(low: Column) -> Column:
-        longer = lambda found, w: F.filter(F.concat(F.array(w), F.transform(found, lambda c: F.concat_ws(" ", c, w))), lambda c: F.contains(low, F.lower(c)))
-        return F.aggregate(words, F.array().cast("array<string>"), lambda found, w: F.array_distinct(F.concat(found, longer(found, w))))
+def _words(phrase: Column) -> Column:
+    return F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
+
 
-    return let(F.lower(text), grown)
+def _choice(words: Column, mask: Column) -> Column:
+    """The words whose bits of the mask are set; F.pmod(mask div 2**i, 2) is the i-th bit from the right."""
+    return F.array_join(F.filter(words, lambda w, i: F.pmod(F.floor(mask / F.pow(F.lit(2), i)), F.lit(2)) == 1), " ")
 
 
-def name_subsequences(phrase: Column, most: int | None = None) -> Column:
-    """All choices of a phrase's words in their order, longest first: 2**n - 1 for n words.
+def name_subsequences(phrase: Column, most: int = LISTED) -> Column:
+    """All choices of a phrase's words in their order, longest first; a phrase of more than ``most`` words gives the whole one only.
 
-    With ``most``, a phrase of more words gives the whole one only.  To find choices in texts, subsequences_in() needs no list.
+    listed_choices() lists those of longer phrases, and match_values() finds them in texts without a list.
     """
-    words = F.filter(F.split(F.trim(phrase), r"\s+"), lambda w: w != "")
-    n = F.size(words)
+    words = _words(phrase)
+    n = F.least(F.size(words), F.lit(most))
     masks = F.sequence(F.lit(1).cast("long"), F.greatest(F.pow(F.lit(2), n).cast("long") - 1, F.lit(1).cast("long")))
-    # F.pmod(mask div 2**i, 2): the i-th bit from the right says whether word i is taken.
-    pick = lambda mask: F.array_join(F.filter(words, lambda w, i: F.pmod(F.floor(mask / F.pow(F.lit(2), i)), F.lit(2)) == 1), " ")
-    choices = F.array_distinct(F.transform(masks, pick))
+    choices = F.array_distinct(F.transform(masks, lambda mask: _choice(words, mask)))
     ordered = F.transform(F.array_sort(F.transform(choices, lambda c: F.struct((-F.length(c)).alias("n"), c.alias("c")))), lambda s: s["c"])
-    whole = F.when(n == 0, F.array().cast("array<string>"))
-    return (whole if most is None else whole.when(n > most, F.array(F.array_join(words, " ")))).otherwise(ordered)
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) > most, F.array(F.array_join(words, " "))).otherwise(ordered)
+
+
+def listed_choices(df: DataFrame, phrase_col: str, name: str = "choice", most: int = 40) -> DataFrame:
+    """A row of df for every different choice of its phrase's words in their order, whatever their number up to ``most``.
+
+    Choices are numbered; ranges of numbers are dealt out as rows, so a long phrase is listed by many tasks and none holds more than
+    2**RANGE choices at once.  Only where a word stands twice do choices repeat, and only there they are made distinct.
+    A phrase of more words raises an error: its choices could not be stored.
+    """
+    words = _words(F.col(phrase_col))
+    held = df.select("*", F.explode(F.array(words)).alias("__words")).withColumn("__nr", F.monotonically_increasing_id())
+    n = F.size("__words")
+    last = F.when(n > most, F.raise_error(F.concat(F.lit("a phrase of "), n.cast("string"), F.lit(" words has too many choices"))).cast("long")).otherwise(F.pow(F.lit(2), n).cast("long") - 1)
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor(last / 2**RANGE).cast("long"))
+    ranges = held.where(n > 0).withColumn("__last", last).select("*", F.explode(blocks).alias("__block")).repartition("__nr", "__block")
+    first = F.greatest(F.col("__block") * 2**RANGE, F.lit(1).cast("long"))
+    masks = F.sequence(first, F.least((F.col("__block") + 1) * 2**RANGE - 1, F.col("__last")))
+    each = ranges.select(*df.columns, "__nr", (F.size(F.array_distinct("__words")) < n).alias("__repeats"), F.explode(F.transform(masks, lambda mask: _choice(F.col("__words"), mask))).alias(name))
+    once = each.where("NOT __repeats").unionByName(each.where("__repeats").dropDuplicates(["__nr", name]))
+    return once.drop("__nr", "__repeats")
 
 
 def judged(spans: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:

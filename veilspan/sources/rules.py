@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, fields, replace
+from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
 class Pattern:
     """A shape with its score; ``needs`` finds something in every text that the shape matches (None: not known).
 
-    ``checked`` is (validator, what values of the shape that pass it need as well).
+    ``checked`` is (validator, what values of the shape that pass it need as well); ``solid``, that it never matches the empty string.
     """
 
     regex: str
     score: float
     needs: str | None = None
     checked: tuple[str, str] | None = None
+    solid: bool = False
 
 
 @dataclass(frozen=True)
@@ -34,6 +39,11 @@ class Rule:
     enabled: bool = True
     country: str = "US"
     output_key: str | None = None
+    #: What a Python check of four arguments gets besides the entity and its threshold.
+    parameters: tuple[tuple[str, Any], ...] = ()
+
+    def check_parameters(self) -> dict[str, Any]:
+        return {"entity": self.entity, "min_confidence": self.min_confidence, **dict(self.parameters)}
 
 
 #: Four digits in a row, which most shapes hold.
@@ -101,9 +111,160 @@ class Rules(tuple):
         return spark.createDataFrame(rows, "country string, entity_type string, group string, return_name string, enabled boolean, methods array<string>, min_confidence double")
 
 
-def load_rules(countries: list[str] | None = None, secrets: bool = False, strict_boundaries: bool = False) -> Rules:
-    """The rules of the countries; with access tokens and with word boundaries around plain employee numbers, if asked for."""
-    rules = US_RULES + (SECRET_RULES if secrets else ())
+def _solid(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """Marks the shapes above: each begins with letters, digits or signs that must be there."""
+    return tuple(replace(r, patterns=tuple(replace(p, solid=True) for p in r.patterns)) for r in rules)
+
+
+#: Rules as a table; a column that is missing, or a field that is null, means the value of Rule, but for the first four.
+RULE_TABLE = (
+    "country string, entity string, `group` string, patterns array<struct<regex:string, score:double, needs:string>>, name string, enabled boolean, methods array<string>, "
+    "min_confidence double, validator string, guard_decimals boolean, context array<string>, output_key string, parameters map<string,string>"
+)
+NEEDED = ("country", "entity", "group", "patterns")
+#: Methods that a rule may name; a rule table is driver data, so its size is checked.
+METHODS, MOST_RULES = ("builtin", "regex", "llm"), 10_000
+
+
+def rules_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """Rules as rows of RULE_TABLE, for a file that users change and read_rules() reads."""
+    rows = [
+        (r.country, r.entity, r.group, [(p.regex, float(p.score), p.needs) for p in r.patterns], r.name, r.enabled, list(r.methods), float(r.min_confidence), r.validator, r.guard_decimals, list(r.context), r.output_key, {k: str(v) for k, v in r.parameters})
+        for r in rules
+    ]
+    return spark.createDataFrame(rows, RULE_TABLE)
+
+
+def _table_schema(spark: SparkSession) -> StructType:
+    return spark.createDataFrame([], RULE_TABLE).schema
+
+
+def read_rule_table(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """A table of rules, one a row, from JSON lines or Parquet; its columns and types are checked against RULE_TABLE."""
+    wanted = _table_schema(spark)
+    if fmt == "json":
+        # Read under the schema, a field of another type would be null: what such rows say is kept and reported.
+        found = spark.read.json(path).columns
+        _known_columns(found, wanted)
+        return spark.read.schema(StructType([*(f for f in wanted if f.name in found)]).add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").json(path)
+    table = spark.read.format(fmt).load(path)
+    _known_columns(table.columns, wanted)
+    for f in table.schema:
+        if f.dataType.simpleString() != wanted[f.name].dataType.simpleString():
+            raise ValueError(f"rule table: {f.name} is {f.dataType.simpleString()}, not {wanted[f.name].dataType.simpleString()}")
+    return table
+
+
+def _known_columns(found: list[str], wanted: StructType) -> None:
+    unknown = sorted(set(found) - set(wanted.names))
+    if unknown:
+        raise ValueError(f"rule table: no such field as {', '.join(unknown)}")
+
+
+def _collected(table: DataFrame) -> list[dict[str, Any]]:
+    rows = [r.asDict(recursive=True) for r in table.limit(MOST_RULES + 1).collect()]
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"rule table: more than {MOST_RULES} rules")
+    for r in rows:
+        if r.pop("_bad", None) is not None:
+            raise ValueError(f"rule table: {r.get('country')}/{r.get('entity')}: a field is of another type than the table's")
+    return rows
+
+
+def _checked(spark: SparkSession, at: str, rule: Rule, validators: set[str] | None) -> Rule:
+    """The rule, if all of it can be used; else an error that names the field."""
+    if not 0 <= rule.min_confidence <= 1:
+        raise ValueError(f"{at}: min_confidence {rule.min_confidence} is not between 0 and 1")
+    odd = [m for m in rule.methods if m not in METHODS]
+    if odd:
+        raise ValueError(f"{at}: methods: no such method as {', '.join(odd)}")
+    if rule.validator and validators is not None and rule.validator not in validators:
+        raise ValueError(f"{at}: validator: no such check as {rule.validator}")
+    for i, p in enumerate(rule.patterns):
+        if p.score is None or not 0 <= p.score <= 1:
+            raise ValueError(f"{at}: patterns[{i}].score {p.score} is not between 0 and 1")
+        for field in ("regex", "needs"):
+            said = getattr(p, field)
+            if said is None and field == "needs":
+                continue
+            if not said:
+                raise ValueError(f"{at}: patterns[{i}].{field} is empty")
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(said)
+            except Py4JJavaError as e:
+                raise ValueError(f"{at}: patterns[{i}].{field}: {e.java_exception.getMessage().splitlines()[0]}") from None
+    return rule
+
+
+def _values(row: Mapping[str, Any]) -> dict[str, Any]:
+    """The fields of Rule that a row of the table gives."""
+    out = {k: tuple(v) if k in ("methods", "context") else v for k, v in row.items() if v is not None and k not in ("patterns", "parameters")}
+    if row.get("patterns") is not None:
+        out["patterns"] = tuple(p if isinstance(p, Pattern) else Pattern(p["regex"], p["score"], p.get("needs")) if isinstance(p, Mapping) else Pattern(*p) for p in row["patterns"])
+    if row.get("parameters") is not None:
+        out["parameters"] = tuple(sorted(dict(row["parameters"]).items()))
+    return out
+
+
+def rules_from(table: DataFrame, validators: set[str] | None = None) -> Rules:
+    """The rules of a table, checked one by one; of ``validators``, if given, are the names that a rule may use."""
+    spark, out, seen = table.sparkSession, [], set()
+    for n, row in enumerate(_collected(table)):
+        at = f"rule table: {row.get('country')}/{row.get('entity')}"
+        for k in NEEDED:
+            if not row.get(k):
+                raise ValueError(f"{at} (row {n}): {k} is missing")
+        key = (row["country"], row["entity"])
+        if key in seen:
+            raise ValueError(f"{at}: stands in the table twice")
+        seen.add(key)
+        named = {"name": row["entity"].lower().replace("_", "-"), **_values(row)}
+        out.append(_checked(spark, at, Rule(**named), validators))
+    return Rules(out)
+
+
+def overridden(rules: Rules, overrides: Mapping[tuple[str, str], Mapping[str, Any]] | DataFrame, spark: SparkSession | None = None, validators: set[str] | None = None) -> Rules:
+    """Rules with some fields replaced, by (country, entity): a mapping, or a table like RULE_TABLE where null leaves a field as it is."""
+    if isinstance(overrides, DataFrame):
+        spark = overrides.sparkSession
+        rows = _collected(overrides)
+        overrides = {(r["country"], r["entity"]): {k: v for k, v in r.items() if k not in ("country", "entity") and v is not None} for r in rows}
+        if len(overrides) < len(rows):
+            raise ValueError("overrides: a rule stands in the table twice")
+    spark = spark or SparkSession.active()
+    known, out = {(r.country, r.entity) for r in rules}, []
+    for key, given in overrides.items():
+        if tuple(key) not in known:
+            raise ValueError(f"overrides: no rule {'/'.join(map(str, key))}")
+        odd = sorted(set(given) - {f.name for f in fields(Rule)} | set(given) & {"country", "entity"})
+        if odd:
+            raise ValueError(f"overrides: {'/'.join(map(str, key))}: no such field as {', '.join(odd)}")
+    for r in rules:
+        given = overrides.get((r.country, r.entity))
+        out.append(r if given is None else _checked(spark, f"overrides: {r.country}/{r.entity}", replace(r, **_values(given)), validators))
+    return Rules(out)
+
+
+def read_rules(spark: SparkSession, path: str, fmt: str = "json", validators: set[str] | None = None) -> Rules:
+    """The rules of a file or folder, JSON lines or Parquet, one rule a row of RULE_TABLE."""
+    return rules_from(read_rule_table(spark, path, fmt), validators)
+
+
+def load_rules(
+    countries: list[str] | None = None,
+    secrets: bool = False,
+    strict_boundaries: bool = False,
+    table: Rules | DataFrame | None = None,
+    overrides: Mapping[tuple[str, str], Mapping[str, Any]] | DataFrame | None = None,
+    validators: set[str] | None = None,
+) -> Rules:
+    """The rules of the countries; with access tokens and with word boundaries around plain employee numbers, if asked for.
+
+    They are the built-in ones or those of ``table`` (read_rules(), or rows of RULE_TABLE), with ``overrides`` by (country, entity).
+    """
+    rules = (table if isinstance(table, Rules) else rules_from(table, validators)) if table is not None else _solid(US_RULES)
+    rules = (*rules, *(_solid(SECRET_RULES) if secrets else ()))
     if strict_boundaries:
-        rules = tuple(replace(r, patterns=(*r.patterns[:2], _STRICT_EMPLOYEE)) if r.entity == "EMPLOYEE_ID" else r for r in rules)
-    return Rules(rules).for_countries(countries)
+        rules = tuple(replace(r, patterns=(*r.patterns[:2], replace(_STRICT_EMPLOYEE, solid=True))) if r.entity == "EMPLOYEE_ID" else r for r in rules)
+    out = Rules(rules) if overrides is None else overridden(Rules(rules), overrides, validators=validators)
+    return out.for_countries(countries)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import CLOSE, STAND_IN, let, pieces_of, without_mark
+from .json_lists import read_json_list
+
 ENTITY = "struct<start:int, `end`:int, label:string, extracted_text:string>"
 LABELLED = f"row_id long, text string, mapped_output array<{ENTITY}>"
 
@@ -34,6 +39,23 @@ RECORD = (
 MORE = "concat(' Driver license ',dl,'. Checking account number ',acct,'. ABA routing ',aba,'. Rate 1.',acct,'. Token ',tok,' and ',aws,'.')"
 
 
+#: One sentence for each kind of identifier, with the values above.
+NOTES = [
+    "concat('SSN: ', ssn)", "concat('driver license ', dl)", "concat('checking account number ', acct)", "concat('ABA routing ', aba)", "concat('Email: ', email)", "concat('mobile phone ', phone)",
+    "concat('born on ', dob)", "concat('service number ', svc)", "dod", "concat('VA claim number ', va)", "concat('EIN ', ein)", "concat('Medical license ', lic)", "concat('Employee ID ', emp)", "tok", "aws",
+    "concat('xoxb-', lpad(cast(c_custkey as string), 11, '1'), '-', emp)", "concat('tenant id ', lpad(cast(c_custkey as string), 8, '0'), '-0000-4000-8000-', lpad(cast(c_custkey as string), 12, '0'))",
+]
+NOTE = f"case c_custkey % {len(NOTES)} " + " ".join(f"when {i} then {n}" for i, n in enumerate(NOTES)) + " end"
+#: The sentence somewhere in a text, by the row's number.
+PLANTED_TEXT = "concat(substring(coalesce(raw, ''), 1, cast(c_custkey * 7919 % (length(coalesce(raw, '')) + 1) as int)), ' ', note, ' ', substring(coalesce(raw, ''), cast(c_custkey * 7919 % (length(coalesce(raw, '')) + 1) as int) + 1))"
+
+
+def planted_texts(texts: DataFrame, number: Column, text: Column) -> DataFrame:
+    """(doc_id, text): every text with one sentence that holds an identifier, whose kind and place the row's number tells."""
+    values = texts.select(number.cast("long").alias("c_custkey"), text.alias("raw")).select("c_custkey", "raw", *[F.expr(x).alias(k) for k, x in PLANTED.items()])
+    return values.withColumn("note", F.expr(NOTE)).select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(F.expr(PLANTED_TEXT))).alias("text"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,35 +70,115 @@ def planted_records(spark: SparkSession, sf_dir: str, more: bool = False) -> Dat
     return values.select("doc_id", F.explode(F.array(text)).alias("text"), *PLANTED)
 
 
+#: What quotes enclose in a printed list, each with its own kind of quote; a backslash keeps the next character from ending it.
+PRINTED_STRING = r"(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|[‘’][^’\\]*+(?:\\.[^’\\]*+)*+’"
+#: Names of constants, and escapes that JSON writes otherwise.
+CONSTANTS = {"None": "null", "True": "true", "False": "false"}
+ESCAPES = {r"\\x([0-9A-Fa-f]{2})": r"\\u00$1", r"\\U0000([0-9A-Fa-f]{4})": r"\\u$1", r"\\a": r"\\u0007", r"\\v": r"\\u000b", r"\\0": r"\\u0000"}
+
+
+def _json_string(token: Column) -> Column:
+    """A printed string, quotes and all, as JSON: only its own kind of quote ended it, so others inside are plain characters."""
+    body = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit("\\\\"), F.lit(CLOSE))
+    for quote in ("'", '"', "’"):
+        body = F.replace(body, F.lit("\\" + quote), F.lit(quote))
+    for escape, said in ESCAPES.items():
+        body = F.regexp_replace(body, escape, said)
+    # A backslash before any other letter is a backslash.
+    body = F.regexp_replace(F.replace(body, F.lit('"'), F.lit('\\"')), r'\\(?!["/bfnrtu])', r"\\\\")
+    return F.concat(F.lit('"'), F.replace(body, F.lit(CLOSE), F.lit("\\\\")), F.lit('"'))
+
+
+def _json_between(piece: Column) -> Column:
+    """What stands between strings, as JSON: constants by their names there, no comma before a closing bracket."""
+    for name, said in CONSTANTS.items():
+        piece = F.regexp_replace(piece, rf"\b{name}\b", said)
+    return F.regexp_replace(piece, r",(\s*[\]}])", "$1")
+
+
+def printed_as_json(text: Column) -> Column:
+    """A printed Python list or dictionary as JSON; a text that is JSON already stays as it is."""
+    parts = lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, _json_string(x)).otherwise(_json_between(x)))
+    return let(F.translate(without_mark(text), CLOSE, STAND_IN), lambda clean: F.array_join(let(pieces_of(clean, PRINTED_STRING), parts), ""))
+
+
+def gold(text: Column) -> Column:
+    """struct<entities, readable>: the entities of a printed list of dictionaries, or of JSON.
+
+    Any quotes may stand in a value that another kind encloses.  A null or blank text is no gold and readable; one that is no list, or not
+    as a whole, has no entities and is not readable.
+    """
+    none = F.array().cast(f"array<{ENTITY}>")
+    parsed = F.from_json(printed_as_json(text), f"array<{ENTITY}>", {"allowUnquotedControlChars": "true"})
+    whole = F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), parsed)
+    found = let(whole, lambda e: F.struct(F.coalesce(F.filter(e, lambda x: x.isNotNull()), none).alias("entities"), (e.isNotNull() & ~F.exists(e, lambda x: x.isNull())).alias("readable")))
+    blank = text.isNull() | (F.trim(text) == "")
+    return F.struct(F.when(blank, none).otherwise(found["entities"]).alias("entities"), F.coalesce(blank | found["readable"], F.lit(False)).alias("readable"))
+
+
 def parse_entities(text: Column) -> Column:
-    """array<ENTITY> from a printed list of dictionaries, curly quotes or not; what cannot be read is an empty array."""
-    return F.coalesce(F.from_json(F.translate(text, "‘’'", '"""'), f"array<{ENTITY}>"), F.array().cast(f"array<{ENTITY}>"))
+    """array<ENTITY> from a printed list of dictionaries; what cannot be read is an empty array."""
+    return gold(text)["entities"]
 
 
-def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = LABELLED) -> DataFrame:
+def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = LABELLED, readable: str | None = None) -> DataFrame:
     """Texts with their gold entities, as Parquet, JSON or CSV with a header line, under the schema (None: the files' own).
 
-    A CSV file has no arrays: there the entities are printed lists, which are parsed.
+    Entities may be arrays or printed lists, which are parsed.  ``readable`` names a column that says whether a row and its
+    entities could be read, so that rows without entities are told from those whose entities are lost.
     """
     if not schema:
         return spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).load(path)
     fields = spark.createDataFrame([], schema).schema.fields
-    if fmt != "csv":
-        return spark.read.schema(schema).format(fmt).load(path)
     nested = {f.name for f in fields if f.dataType.typeName() == "array"}
-    flat = ", ".join(f"`{f.name}` {'string' if f.name in nested else f.dataType.simpleString()}" for f in fields)
-    rows = spark.read.schema(flat).options(header="true", multiLine="true", quote='"', escape='"').csv(path)
-    return rows.withColumns({c: parse_entities(F.col(c)) for c in nested})
+    if fmt in ("csv", "json"):
+        bad = "_unreadable"
+        flat = ", ".join([*(f"`{f.name}` {'string' if f.name in nested else f.dataType.simpleString()}" for f in fields), f"{bad} string"])
+        options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'} if fmt == "csv" else {}
+        rows = spark.read.schema(flat).options(columnNameOfCorruptRecord=bad, **options).format(fmt).load(path)
+        fine = F.col(bad).isNull()
+    else:
+        own = {f.name: f.dataType.typeName() for f in spark.read.format(fmt).load(path).schema}
+        flat = ", ".join(f"`{f.name}` {'string' if f.name in nested and own.get(f.name) == 'string' else f.dataType.simpleString()}" for f in fields)
+        rows, fine = spark.read.schema(flat).format(fmt).load(path), F.lit(True)
+        nested = {c for c in nested if own.get(c) == "string"}
+    if not nested:
+        out = rows.withColumn(readable, fine) if readable else rows
+        return out.select(*[f.name for f in fields], *([readable] if readable else []))
+    # A generated row is parsed once, however many of its fields are read.
+    parsed = rows.select("*", F.explode(F.array(F.struct(*[gold(F.col(c)).alias(c) for c in sorted(nested)]))).alias("__gold"))
+    flag = [reduce(lambda a, b: a & b, [fine, *(F.col(f"__gold.{c}.readable") for c in sorted(nested))]).alias(readable)] if readable else []
+    return parsed.select(*[F.col(f"__gold.{f.name}.entities").alias(f.name) if f.name in nested else F.col(f.name) for f in fields], *flag)
+
+
+def readable_rows(rows: DataFrame, readable: str, quarantine: str | None = None, entities: str = "mapped_output") -> tuple[DataFrame, Observation]:
+    """(the rows that could be read, counts), of rows that read_labelled() has flagged.
+
+    The others are appended to ``quarantine``, if given, as JSON.  The counts are observed while the rows are used, in one pass:
+    n_rows, n_unreadable, n_empty (readable, without entities) and n_entities of readable rows.
+    """
+    if quarantine:
+        rows.where(~F.col(readable)).write.mode("append").json(quarantine)
+    counts = Observation()
+    fine, n = F.col(readable), lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    size = F.coalesce(F.size(F.col(entities)), F.lit(0))
+    seen = rows.observe(counts, F.count(F.lit(1)).alias("n_rows"), n(~fine).alias("n_unreadable"), n(fine & (size == 0)).alias("n_empty"), n(F.when(fine, size).otherwise(0)).alias("n_entities"))
+    return seen.where(readable).drop(readable), counts
 
 
-def read_json_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """[{Text, Entities}] as (text, mapped_output)."""
-    schema = f"Text string, Entities array<{ENTITY}>"
-    return spark.read.option("multiLine", True).schema(schema).json(path).select(F.col("Text").alias("text"), F.col("Entities").alias("mapped_output"))
+def read_json_corpus(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """[{Text, Entities}] as (text, mapped_output); one large file is read by all tasks."""
+    rows = read_json_list(spark, path, f"Text string, Entities array<{ENTITY}>")
+    return rows.select(F.col("Text").alias("text"), F.col("Entities").alias("mapped_output"))
 
 
-def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
+def write_results(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, mode: str = "overwrite", only_partitions: bool = False) -> None:
+    """Writes a table; with ``only_partitions``, overwriting replaces the partitions that df has rows of and leaves the others."""
     writer = df.write.mode(mode).format(fmt)
+    if only_partitions:
+        if not partition_by:
+            raise ValueError("only_partitions needs partition_by")
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
