@@ -135,28 +135,30 @@ def _held_words(text: str, phrases: list[str]) -> dict[str, bool]:
     return present
 
 
-PLACE = "struct<n:int, start:int, length:int>"
+PLACE = "struct<label:string, start:int, `end`:int, extracted_text:string>"
 
 
-def value_places(text: Column, values: Column, names: Column) -> Column:
-    """array<PLACE>: where the values of an array stand in the text, in any case; of those that ``names`` marks, every choice of words.
+def value_places(text: Column, values: Column, labels: Column) -> Column:
+    """array<PLACE>, each once: where the values of an array stand in the text, in any case; of a name, every choice of its words.
 
-    ``n`` counts the values.  An automaton of all forms passes over a text once, however many values it is asked for.
+    An automaton of all forms passes over a text once, however many values it is asked for.
     """
 
-    def places_of(text: str, values: list[str], names: list[bool]) -> list[tuple[int, int, int]]:
+    def places_of(text: str, values: list[str], labels: list[str]) -> list[dict]:
         low = folded(text)
-        present = _held_words(low, [v for v, name in zip(values, names, strict=True) if name])
-        forms = [(n, f) for n, (v, name) in enumerate(zip(values, names, strict=True)) for f in (choices_in(low, v, present) if name else [v]) if len(f) > 2]
+        present = _held_words(low, [v for v, label in zip(values, labels, strict=True) if label == "name"])
+        each = ((label, f) for v, label in zip(values, labels, strict=True) for f in (choices_in(low, v, present) if label == "name" else [v]))
+        forms = list(dict.fromkeys((label, f) for label, f in each if len(f) > 2))
         found = occurrences(text, [f for _, f in forms])
-        return [(n, start, len(f)) for (n, f), starts in zip(forms, found, strict=True) for start in starts]
+        places = dict.fromkeys((label, start, start + len(f)) for (label, f), starts in zip(forms, found, strict=True) for start in starts)
+        return [{"label": label, "start": a, "end": b, "extracted_text": text[a:b]} for label, a, b in places]
 
     @F.arrow_udf(f"array<{PLACE}>")
-    def places(texts: pa.Array, values: pa.Array, names: pa.Array) -> pa.Array:
-        rows = [[{"n": n, "start": s, "length": k} for n, s, k in places_of(t, v, m)] if t and v else [] for t, v, m in zip(texts.to_pylist(), values.to_pylist(), names.to_pylist(), strict=True)]
-        return pa.array(rows, pa.list_(pa.struct([("n", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])))
+    def places(texts: pa.Array, values: pa.Array, labels: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("extracted_text", pa.string())]))
+        return pa.array([places_of(*row) if row[0] and row[1] else [] for row in zip(texts.to_pylist(), values.to_pylist(), labels.to_pylist(), strict=True)], kind)
 
-    return places(text, values, names)
+    return places(text, values, labels)
 
 
 def match_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,22 +171,15 @@ def match_values(docs: DataFrame, values: DataFrame, id_col: str = "doc_id", tex
     listed = known.groupBy(id_col).agg(F.collect_set(F.struct("canonical", "value")).alias("wanted"))
     text = F.col("text")
 
-    def span(p: Column) -> Column:
-        label = F.get(F.col("wanted"), p["n"])["canonical"]
-        return F.struct(label.alias("label"), p["start"].alias("start"), (p["start"] + p["length"]).alias("end"), F.substring(text, p["start"] + 1, p["length"]).alias("extracted_text"))
-
     def kept(every: Column) -> Column:
         # Longer forms come before shorter ones, as they are tried first.
-        rank = lambda s, i: F.struct((-F.length(s["extracted_text"])).alias("n"), s["start"].alias("start"), s["end"].alias("end"))
+        rank = lambda s, i: F.struct((s["start"] - s["end"]).alias("n"), s["start"].alias("start"), s["end"].alias("end"))
         labels = F.array_distinct(F.transform(every, lambda s: s["label"]))
         return F.flatten(F.transform(labels, lambda label: greedy(F.filter(every, lambda s: s["label"] == label), rank)))
 
-    def fine(born: Column) -> Column:
-        every = F.array_distinct(F.transform("__places", span))
-        return let(F.filter(every, lambda s: validate_extracted(s["label"], s["extracted_text"], text, born)), kept)
-
     rows = listed.join(docs.select(id_col, F.col(text_col).alias("text")), id_col)
-    placed = rows.withColumn("__places", value_places(text, F.transform("wanted", lambda v: v["value"]), F.transform("wanted", lambda v: v["canonical"] == "name")))
+    placed = rows.withColumn("__places", value_places(text, F.transform("wanted", lambda v: v["value"]), F.transform("wanted", lambda v: v["canonical"])))
+    fine = lambda born: let(F.filter("__places", lambda s: validate_extracted(s["label"], s["extracted_text"], text, born)), kept)
     each = placed.select(id_col, F.explode_outer(let(mentions_birth(text), fine)).alias("s")).where("s is not null")
     return each.select(id_col, "s.label", "s.start", "s.end", F.trim("s.extracted_text").alias("extracted_text"))
 
@@ -229,7 +224,9 @@ def listed_choices(df: DataFrame, phrase_col: str, name: str = "choice", most: i
     n = F.size("__words")
     last = F.when(n > most, F.raise_error(F.concat(F.lit("a phrase of "), n.cast("string"), F.lit(" words has too many choices"))).cast("long")).otherwise(F.pow(F.lit(2), n).cast("long") - 1)
     blocks = F.sequence(F.lit(0).cast("long"), F.floor(last / 2**RANGE).cast("long"))
-    ranges = held.where(n > 0).withColumn("__last", last).select("*", F.explode(blocks).alias("__block")).repartition("__nr", "__block")
+    ranges = held.where(n > 0).withColumn("__last", last).select("*", F.explode(blocks).alias("__block"))
+    # A number of partitions that is named stays: rows are few and small before they are exploded.
+    ranges = ranges.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__nr", "__block")
     first = F.greatest(F.col("__block") * 2**RANGE, F.lit(1).cast("long"))
     masks = F.sequence(first, F.least((F.col("__block") + 1) * 2**RANGE - 1, F.col("__last")))
     each = ranges.select(*df.columns, "__nr", (F.size(F.array_distinct("__words")) < n).alias("__repeats"), F.explode(F.transform(masks, lambda mask: _choice(F.col("__words"), mask))).alias(name))

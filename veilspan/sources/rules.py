@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields, replace
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -191,8 +192,9 @@ def _checked(spark: SparkSession, at: str, rule: Rule, validators: set[str] | No
                 raise ValueError(f"{at}: patterns[{i}].{field} is empty")
             try:
                 spark._jvm.java.util.regex.Pattern.compile(said)
-            except Py4JJavaError as e:
-                raise ValueError(f"{at}: patterns[{i}].{field}: {e.java_exception.getMessage().splitlines()[0]}") from None
+            except (Py4JJavaError, IllegalArgumentException) as e:
+                said = str(e.java_exception.getMessage() if isinstance(e, Py4JJavaError) else e)
+                raise ValueError(f"{at}: patterns[{i}].{field}: {said.splitlines()[0]}") from None
     return rule
 
 

@@ -84,8 +84,8 @@ def _json_string(token: Column) -> Column:
         body = F.replace(body, F.lit("\\" + quote), F.lit(quote))
     for escape, said in ESCAPES.items():
         body = F.regexp_replace(body, escape, said)
-    # A backslash before any other letter is a backslash.
-    body = F.regexp_replace(F.replace(body, F.lit('"'), F.lit('\\"')), r'\\(?!["/bfnrtu])', r"\\\\")
+    # A backslash before any other letter is a backslash; names of characters and numbers beyond four digits stay unreadable.
+    body = F.regexp_replace(F.replace(body, F.lit('"'), F.lit('\\"')), r'\\(?!["/bfnrtuUN])', r"\\\\")
     return F.concat(F.lit('"'), F.replace(body, F.lit(CLOSE), F.lit("\\\\")), F.lit('"'))
 
 
