@@ -1,5 +1,8 @@
 import hashlib
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from veilspan.llm import exact_dedup as x
 
@@ -55,3 +58,17 @@ def test_rows_that_stay(odd, odd_rows):
     assert got.columns == odd.columns
     texts = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in got.collect()]
     assert sorted(texts) == sorted({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in odd_rows})
+
+
+def test_chunks_of_any_characters(spark):
+    texts = ["", "a", "ab\ncd", "\U0001f600é" * 5, "x" * 12, "\r\n\u2028\x85" * 4]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(x.chunks_of(F.col("t"), 4).alias("c")).collect()
+    assert [r.c for r in got] == [[t[i : i + 4] for i in range(0, max(len(t), 1), 4)] for t in texts]
+
+
+def test_huge_texts(spark):
+    text = " ".join(f"word{i}" for i in range(1_500_000))  # 16 MB
+    rows = [(1, text), (2, text), (3, text + "!"), (4, "!" + text)]
+    began = time.time()
+    out = {r.doc_id: r.keep_id for r in x.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 4: 4} and time.time() - began < 120

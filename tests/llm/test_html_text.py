@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from veilspan.llm import html_text
 from veilspan.llm.html_text import extract, main_text
 
@@ -47,7 +49,7 @@ def test_rules_decide_where_tags_tell_nothing(spark, monkeypatch):
 
 def test_first_pass_by_hand():
     dense, sparse = "the cat of the house " * 20, "quartz river stone amber " * 20
-    cases = [(dense, 0, True), (dense[:60], 0, None), (dense, len(dense), False), (sparse, 0, False), (sparse[:150], 0, None), (dense[:100], 0, True), ("© " + dense, 0, False)]
+    cases = [(dense, 0, True), (dense[:60], 0, None), (dense, len(dense), False), (sparse, 0, False), (sparse[:150], 0, None), (dense[:100], 0, True), ("© " + dense, 0, True), ("© 2024 of the house", 0, False)]
     for text, linked, want in cases:
         assert html_text.decide(html_text.Block(text, linked, False, 1, False, False)) is want
     assert html_text.decide(html_text.Block(sparse, 0, False, 1, True, False)) is None
@@ -141,3 +143,25 @@ def test_short_blocks_only():
     assert main_text(page).split("\n\n") == ["First short line.", "Second one."]
     assert main_text(f"<article><p>One.</p><p><a href=/a>Link</a></p><p>Two.</p></article><footer>{RUN * 3}</footer>") == "One.\n\nTwo."
     assert main_text("<p>Hello there") == "Hello there"
+
+
+RUNNING = "The river had risen in the night and it was not to be crossed by the old bridge, so they took the road that went along the hill to the town."
+
+
+@pytest.mark.parametrize("name", ["no-sidebar content", "has-sidebar", "share-price", "social-history", "form-factor", "without-menu page", "c-header-less"])
+@pytest.mark.parametrize("at", ["class", "id"])
+def test_names_that_only_contain_a_word(name, at):
+    second = RUNNING.replace("river", "lake")
+    page = f"<html><body><div {at}='{name}'><h1>High water</h1><p>{RUNNING}</p><p>{second}</p></div></body></html>"
+    assert main_text(page) == f"High water\n\n{RUNNING}\n\n{second}"
+    page = f"<html><body><article><h1>High water</h1><p>{RUNNING}</p><div {at}='{name}'><p>{second}</p></div><p {at}='{name}'>A short end.</p></article></body></html>"
+    assert main_text(page) == f"High water\n\n{RUNNING}\n\n{second}\n\nA short end."
+
+
+def test_running_text_overrules_names_in_an_article():
+    assert main_text(f"<article><div class='share price'><p>{RUNNING}</p></div><h1>High water</h1><p id='social-history'>{RUNNING}</p></article>") == f"{RUNNING}\n\nHigh water\n\n{RUNNING}"
+    own = f"<article><p>{RUNNING}</p>%s<p>© {RUNNING}</p></article>"
+    want = f"{RUNNING}\n\n© {RUNNING}"
+    for part in ("<div class='share'>Share this</div>", f"<div class='comments'><p>{RUNNING}</p></div>", f"<div class='comment-body'><p>{RUNNING}</p></div>", f"<div class='ad'><p>{RUNNING}</p></div>", "<p class='copyright'>© 2024</p>"):
+        assert main_text(own % part) == want, part
+    assert main_text(f"<body><div class='sidebar'><p>{RUNNING}</p></div><div><p>{RUNNING}</p></div><div class='site-footer'>All rights reserved</div><p>© 2024 of the house</p></body>") == RUNNING

@@ -27,12 +27,16 @@ HEAD_TAGS = frozenset("title script style noscript template meta link base".spli
 ENDS_LIKE = frozenset("p li dt dd tr td th".split())
 LEFT_OPEN = ("button", "canvas", "object", "video", "audio")
 OUTER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
-# Words in class, id or role that name a part outside the main text.
-OUTER_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies copyright disclaimer disqus footer form
-    gdpr header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related replies reply respond search share sharing
-    sidebar signup skip social sponsor sponsored subscribe subscription toolbar warning widget""".split()
+# Class names, ids or roles of texts that are not the page's own; of parts around its text.
+FOREIGN_NAMES = frozenset("ad ads advert adverts advertisement advertising alert comment comments commentlist consent contentinfo cookie cookies disclaimer disqus gdpr newsletter notice promo promotion replies reply respond sponsor sponsored warning".split())
+FURNITURE_NAMES = frozenset(
+    """banner breadcrumb breadcrumbs copyright footer form header legal login masthead menu modal nav navbar navigation pager pagination popup recommended related search share sharing
+    sidebar signup skip social subscribe subscription toolbar widget""".split()
 )
+# Beginnings of names that say what a part lacks, or has beside it.
+DENIALS = frozenset("no non not has have is with without hide".split())
+#: What names say of a part: nothing; it may be furniture (one word of several); it is, if its text doesn't tell otherwise; it is none of the text.
+PLAIN, PERHAPS, FURNITURE, FOREIGN = range(4)
 
 #: Characters of scripts that write a word in one or two of them; these count three times.
 _WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -43,10 +47,28 @@ SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.12, 0.25, 0.3
 
 
 class Block:
-    __slots__ = ("heading", "holder", "inner", "label", "linked", "outer", "text")
-
-    def __init__(self, text: str, linked: int, outer: bool, holder: int, inner: bool, heading: bool):
-        self.text, self.linked, self.outer, self.holder, self.inner, self.heading, self.label = text, linked, outer, holder, inner, heading, None
+    __slots__ = ("heading", "holder", "inner", "label", "linked", "outer", "soft", "text")
+
+    def __init__(self, text: str, linked: int, outer: bool, holder: int, inner: bool, heading: bool, soft: int = PLAIN):
+        self.text, self.linked, self.outer, self.holder, self.inner, self.heading, self.soft, self.label = text, linked, outer, holder, inner, heading, soft, None
+
+
+def named_kind(attrs: list, inner: bool) -> int:
+    """What the class names, id and role of an element say.  Names count as wholes; of one made of several words the words are a hint,
+    unless it begins with a denial.  Outside an article furniture is none of the text."""
+    kind = PLAIN
+    for k, v in attrs:
+        if not v or k not in ("class", "id", "role"):
+            continue
+        for name in v.lower().split():
+            words = [w for w in _LETTERS.split(name) if w]
+            if name in FOREIGN_NAMES or (len(words) > 1 and words[0] not in DENIALS and (words[0] in FOREIGN_NAMES or words[-1] in FOREIGN_NAMES)):
+                kind = FOREIGN
+            elif name in FURNITURE_NAMES and not (inner and name == "header"):
+                kind = max(kind, FURNITURE if inner else FOREIGN)
+            elif len(words) > 1 and words[0] not in DENIALS and FURNITURE_NAMES.intersection(words):
+                kind = max(kind, PERHAPS)
+    return kind
 
 
 class _Blocks(HTMLParser):
@@ -60,15 +82,16 @@ class _Blocks(HTMLParser):
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked = self.links = self.holders = 0
-        self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # holder, whether outside the main text, number, in an article
+        self.open: list[tuple[str, bool, int, bool, int]] = [("", False, 0, False, PLAIN)]  # holder, whether outside the main text, number, in an article, what names say
         self.own = self.heading = False
+        self.soft = PLAIN
 
     def cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, outer, holder, inner = self.open[-1]
-            self.blocks.append(Block(text, self.linked, outer or self.own, holder, inner, self.heading))
-        self.parts, self.linked, self.own, self.heading = [], 0, False, False
+            _, outer, holder, inner, soft = self.open[-1]
+            self.blocks.append(Block(text, self.linked, outer or self.own, holder, inner, self.heading, max(soft, self.soft)))
+        self.parts, self.linked, self.own, self.heading, self.soft = [], 0, False, False, PLAIN
 
     def end_silent(self, tag: str) -> None:
         """Ends the innermost open element of the name and what is open inside it."""
@@ -106,21 +129,20 @@ class _Blocks(HTMLParser):
         if tag not in BLOCK_TAGS:
             return
         self.cut()
-        named = {w for k, v in attrs if v and k in ("class", "id", "role") for w in _LETTERS.split(v.lower())}
-        outer, inner = tag in OUTER_TAGS or bool(named & OUTER_WORDS), self.open[-1][3]
+        inner = self.open[-1][3]
+        kind = named_kind(attrs, inner)
+        outer = kind == FOREIGN or tag in OUTER_TAGS or (tag == "header" and not inner)
         if tag in ("article", "main", "body", "html"):
-            outer = False
+            outer, kind = False, PLAIN
             while self.open[-1][0] in ("nav", "ul", "ol", "header", "menu") and tag in ("article", "main"):
                 self.open.pop()
-        elif inner and not (named & OUTER_WORDS) - {"header"} and tag not in OUTER_TAGS:
-            outer = False
-        elif tag == "header":
-            outer = True
+        soft = PLAIN if kind == FOREIGN else kind
         if tag in HOLDERS:
             self.holders += 1
-            self.open.append((tag, outer or self.open[-1][1], self.holders, inner or tag in ("article", "main")))
+            within = self.open[-1][4] if tag not in ("article", "main") else PLAIN
+            self.open.append((tag, outer or self.open[-1][1], self.holders, inner or tag in ("article", "main"), max(soft, within)))
         else:
-            self.own, self.heading = outer, tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+            self.own, self.heading, self.soft = outer, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), soft
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in SILENT_TAGS and tag not in HOLDERS and tag != "a":
@@ -182,9 +204,12 @@ def decide(block: Block, unknown: bool = False) -> bool | None:
     if block.outer:
         return False
     size = len(block.text)
-    if block.linked > LINKS * size or block.text[0] == "©":
+    if block.linked > LINKS * size or (block.text[0] == "©" and size < LONG and not block.inner):
         return False
     density = stop_share(block.text)
+    if block.soft:
+        running = not block.heading and size >= SHORT and density is not None and (density >= HIGH or (density >= LOW or unknown) and size > LONG)
+        return True if running else None if block.soft == PERHAPS else False
     if density is None:
         return None
     if unknown and not block.heading and size + 2 * len(_WIDE.findall(block.text)) > LONG:
@@ -201,7 +226,8 @@ def label(blocks: list[Block]) -> None:
 
     Without one in its holder, a block of an article looks among those of articles, any other among all; of two equally near, main
     text wins.  Undecided blocks outside stay out on a page that has an article.  Where no block of the article is decided to be
-    main text, its undecided ones stay, and where none of the page is, all that are undecided.
+    main text, its undecided ones stay, and where none of the page is, all that are undecided.  Outside an article, an undecided block
+    whose names hint at furniture stays only with main text in its own holder.
     """
     unknown = unknown_language(blocks)
     first = [decide(b, unknown) for b in blocks]
@@ -225,6 +251,8 @@ def label(blocks: list[Block]) -> None:
             b.label = b.inner or not has_article
         elif b.holder in groups:
             b.label = nearest(i, groups[b.holder])
+        elif b.soft and not b.inner:
+            b.label = False
         elif b.inner:
             b.label = not told or nearest(i, article)
         else:
