@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..functions.validators import Validator
-from ..operators.detect import AS_OF, SPAN, find_spans, unknown_country, with_spans
+from ..operators.detect import AS_OF, SPAN, find_spans, spans_column, unknown_country, with_spans
 from ..operators.overlap import with_disjoint
 from ..operators.redact import redaction
 from ..sources.rules import Rules, load_rules
@@ -63,7 +63,7 @@ def classify(df: DataFrame, text_col: str = "text", countries: list[str] | Colum
     if validators:
         out = with_spans(out, rules, text_col, as_of, validators, "__all", by_row).withColumn("__spans", F.when(F.col("status") == 200, F.col("__all")).otherwise(none)).drop("__all")
     else:
-        out = out.withColumn("__spans", F.when(F.col("status") == 200, find_spans(F.col(text_col), rules, as_of, None, by_row)).otherwise(none))
+        out = out.withColumn("__spans", F.when(F.col("status") == 200, spans_column(df.sparkSession, text_col, rules, as_of) if by_row is None else find_spans(F.col(text_col), rules, as_of, None, by_row)).otherwise(none))
     kept = F.col("__spans")
     if dense:
         out, kept = with_disjoint(out, "__spans", "__kept", best=True), F.col("__kept")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import FEW, HIT, char_at, let, matches, running_max, without_mark
@@ -122,11 +122,12 @@ def merged(spans: Column, scores: list[float]) -> Column:
         longer = t["end"] - t["start"] > s["end"] - s["start"]
         return (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & ((longer & (t["score"] >= s["score"])) | (~longer & (t["score"] > s["score"])))
 
-    def reach_of(every: Column, least: float) -> Column:
+    def reach_of(every: Column, least: Column) -> Column:
         return running_max(F.transform(every, lambda s: F.when(s["score"] >= least, s["end"]).otherwise(F.lit(-1))))
 
     def swept(every: Column) -> Column:
-        reach = F.array(*[reach_of(every, v) for v in levels])
+        # One expression for all levels: written out for each, they would be half of the plan.
+        reach = F.transform(F.array(*map(F.lit, levels)), lambda v: reach_of(every, v))
 
         def kept(reached: Column) -> Column:
             level = lambda s: F.size(F.filter(F.array(*map(F.lit, levels[1:])).cast("array<double>"), lambda v: s["score"] >= v))
@@ -198,6 +199,16 @@ def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mappi
     return F.coalesce(_where_worth(text, rules, countries, validators, found).cast(f"array<{SPAN}>"), none)
 
 
+@lru_cache(maxsize=64)
+def _built(application: str, text_col: str, rules: Rules, as_of: str) -> Column:
+    return find_spans(F.col(text_col), rules, as_of)
+
+
+def spans_column(spark: SparkSession, text_col: str, rules: Rules, as_of: str = AS_OF) -> Column:
+    """find_spans() of a column by name, built once for the same rules in an application: it takes seconds for many rules."""
+    return _built(spark.sparkContext.applicationId, text_col, rules, as_of)
+
+
 def _sorted_spans(patterns: _Patterns, fine: Column) -> Column:
     spans = patterns.spans(fine)
     return F.sort_array(spans if patterns.alone() else let(spans, lambda s: merged(s, patterns.scores())))
@@ -213,7 +224,7 @@ def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str =
     """
     apart = {r.validator: validators[r.validator] for r in rules.enabled() if r.validator in (validators or {})}
     if not apart:
-        return df.withColumn(name, find_spans(F.col(text_col), rules, as_of, None, countries))
+        return df.withColumn(name, spans_column(df.sparkSession, text_col, rules, as_of) if countries is None else find_spans(F.col(text_col), rules, as_of, None, countries))
     text, patterns = F.col(text_col), _Patterns(rules.enabled(), registry(as_of), apart)
     none = F.array().cast(f"array<{HIT}>")
     hits = _where_worth(text, rules.enabled(), countries, validators, lambda b: patterns.passing(text, b["clean"], None if countries is None else b["own"]))
