@@ -183,3 +183,19 @@ def test_merging_many_spans_against_brute_force(spark):
         every = set(rows[r["doc_id"]][1])
         inside = lambda s, t: t[2] == s[2] and t[0] <= s[0] and t[1] >= s[1] and ((t[1] - t[0] > s[1] - s[0] and t[3] >= s[3]) or (t[:2] == s[:2] and t[3] > s[3]))
         assert sorted(map(tuple, r["m"])) == sorted(s for s in every if not any(inside(s, t) for t in every))
+
+
+def test_long_texts_are_searched_in_part_with_the_same_result(spark):
+    rules = load_rules(secrets=True).enabled()
+    whole = Rules(replace(r, patterns=tuple(replace(p, local=False) for p in r.patterns)) for r in rules)
+    assert D.gate_of_words(rules) and D.gate_of_words(whole) is None
+    found = ["SSN 489-36-8350", "va claim 123 456 789", "call +1 (555) 123-4567 now", "mail " + "a" * 150 + "@ex-ample.org", "ghp_" + "k" * 40, "AKIA" + "B" * 16, "service number AB 1234567",
+             "client key " + "abcdefab-abcd-abcd-abcd-abcdefabcdef", "DL D1234567", "12.489-36-8350", "dob\t1990-05-17", "xoxb-1234567890-abc"]
+    dull = ["é😀 plain words " * n for n in (0, 1, 5, 7, 8, 9, 40)] + ["x" * 700, " " * 300, "one 12 two \n" * 30, "word﷐ " * 30, "\n﷓\n" * 50]
+    rows = [(i, gap.join(found[i % 5 :]) + gap + found[i % 7] + tail) for i, (gap, tail) in enumerate((g, t) for g in dull for t in ("", dull[6]))]
+    rows += [(100, dull[6] + "".join(f"SSN 489-36-{n:04d} " + dull[6] for n in range(80))), (101, dull[6]), (102, ""), (103, None), (104, "5" * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, wanted = (sorted(map(tuple, D.detect(df, r).collect())) for r in (rules, whole))
+    assert got == wanted and len({g[1] for g in got}) > 8 and len(got) > 200
+    text = dict(rows)
+    assert all(text[g[0]][g[2] : g[3]] == g[5] for g in got)

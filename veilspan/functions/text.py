@@ -69,15 +69,59 @@ def pieces_of(clean: Column, pattern: str, solid: bool = True) -> Column:
     return F.split(F.replace(F.replace(marked, F.lit(MARK + CLOSE), F.lit("")), F.lit(CLOSE), F.lit(MARK)), MARK, -1)
 
 
+#: Stands for what shortened() leaves out: a line break ends what . matches, the middle belongs to no word and no space.
+GAP = "\n\ufdd3\n"
+#: Characters kept before and after the words that matter; a match and its context lie within them.
+KEEP_BEFORE, KEEP_AFTER = 100, 8
+
+
+def shortened(clean: Column, word: str) -> Column:
+    """struct<clean, cuts> of without_mark(): only words in which ``word`` matches, and the text next to them.
+
+    ``cuts`` are struct<at, gone>: from the place ``at`` of the shortened text on, ``gone`` characters of the whole text are missing.
+    """
+    marked = rf"(?=\S*?(?:{word}))\S++"
+
+    def part(x: Column, i: Column) -> Column:
+        away = F.length(x) - (KEEP_BEFORE + KEEP_AFTER + len(GAP))
+        cut = (i % 2 == 0) & (away > len(GAP))
+        return F.struct(F.when(cut, F.concat(F.left(x, F.lit(KEEP_AFTER)), F.lit(GAP), F.right(x, F.lit(KEEP_BEFORE)))).otherwise(x).alias("new"), F.when(cut, away).otherwise(F.lit(0)).alias("gone"))
+
+    def sums(parts: Column) -> Column:
+        return F.struct(F.array_join(F.transform(parts, lambda x: x["new"]), "").alias("clean"), parts.alias("parts"), running_sums(F.transform(parts, lambda x: F.length(x["new"]))).alias("ends"), running_sums(F.transform(parts, lambda x: x["gone"])).alias("gone"))
+
+    def cuts(b: Column) -> Column:
+        every = F.transform(b["parts"], lambda x, i: F.when(x["gone"] > 0, F.struct((F.get(b["ends"], i) - KEEP_BEFORE).alias("at"), F.get(b["gone"], i).alias("gone"))))
+        return F.struct(b["clean"].alias("clean"), F.filter(every, lambda c: c.isNotNull()).alias("cuts"))
+
+    return let(let(F.transform(pieces_of(clean, rf"(?<!\S){marked}(?:\s++{marked})*+"), part), sums), cuts)
+
+
+def whole_place(cuts: Column, at: Column) -> Column:
+    """The place in the whole text of one in the shortened text, by halving of its cuts."""
+
+    def step(acc: Column, _: Column) -> Column:
+        def half(mid: Column) -> Column:
+            past = (acc["lo"] < acc["hi"]) & (F.get(cuts, mid)["at"] <= at)
+            return F.struct(F.when(past, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(past, acc["hi"]).otherwise(mid).alias("hi"))
+
+        return let(F.floor((acc["lo"] + acc["hi"]) / 2).cast("int"), half)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int") + 1)
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), step, lambda acc: F.get(cuts, acc["lo"] - 1)["gone"])
+    return F.when(F.size(cuts) == 0, at).otherwise(at + F.coalesce(found, F.lit(0)))
+
+
 HIT = "struct<k:int, start:int, `end`:int, value:string, left:string, right:string>"
 #: A text with so many matches of a pattern takes each one's place from all that lies before it; with more, from running sums.
 FEW = 32
 
 
-def matches(text: Column, clean: Column, patterns: Sequence[str], before: int = 0, after: int = 0, solid: Sequence[bool] | None = None) -> Column:
+def matches(text: Column, clean: Column, patterns: Sequence[str], before: int = 0, after: int = 0, solid: Sequence[bool] | None = None, cuts: Column | None = None) -> Column:
     """array<HIT> of the leftmost matches of each of some patterns, without empty ones; ``k`` counts patterns from 0.
 
     ``solid`` says which patterns never match the empty string (None: all), which spares the search for such matches.
+    With ``cuts``, ``clean`` is shortened() and places are of the whole text.
 
     Offsets are half-open and count code points from 0: matches and the pieces between them alternate, so their lengths add up to
     the positions.  ``left`` and ``right`` are up to ``before`` and ``after`` characters of the text next to the match.  Only the
@@ -88,7 +132,10 @@ def matches(text: Column, clean: Column, patterns: Sequence[str], before: int =
     def joined(parts: Column, first: Column | int, n: Column | int) -> Column:
         return F.array_join(F.slice(parts, first, n), "")
 
-    def hit(k: Column, start: Column, value: Column, left: Column, right: Column) -> Column:
+    def hit(k: Column, at: Column, value: Column, left: Column, right: Column) -> Column:
+        return placed(k, at, value, left, right) if cuts is None else let(whole_place(cuts, at), lambda start: placed(k, start, value, left, right))
+
+    def placed(k: Column, start: Column, value: Column, left: Column, right: Column) -> Column:
         own = F.when(F.contains(value, F.lit(STAND_IN)), F.substring(text, start + 1, F.length(value))).otherwise(value)
         return F.struct(k.alias("k"), start.alias("start"), (start + F.length(value)).alias("end"), own.alias("value"), left.alias("left"), right.alias("right"))
 

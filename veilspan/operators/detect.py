@@ -8,9 +8,9 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import FEW, HIT, char_at, let, matches, running_max, without_mark
+from ..functions.text import FEW, HIT, char_at, let, matches, running_max, shortened, without_mark
 from ..functions.validators import Validator, registry
-from ..sources.rules import Rules
+from ..sources.rules import Pattern, Rule, Rules
 from .checks import as_python, lenient, python_verdicts
 
 SPAN = "struct<start:int, `end`:int, entity_type:string, score:double, value:string>"
@@ -51,9 +51,9 @@ class _Patterns:
         self.rules, self.validators, self.apart = list(rules), validators, apart or {}  # apart: checks that stand in steps of their own
         self.flat = [(n, i, p) for n, r in enumerate(rules) for i, p in enumerate(r.patterns)]
 
-    def hits(self, text: Column, clean: Column) -> Column:
+    def hits(self, text: Column, clean: Column, cuts: Column | None = None) -> Column:
         before = WINDOW if any(r.context for r in self.rules) else 2
-        return matches(text, clean, [p.regex for _, _, p in self.flat], before, 2 if any(r.guard_decimals for r in self.rules) else 0, [p.solid for _, _, p in self.flat])
+        return matches(text, clean, [p.regex for _, _, p in self.flat], before, 2 if any(r.guard_decimals for r in self.rules) else 0, [p.solid for _, _, p in self.flat], cuts)
 
     def of(self, k: Column, values: list) -> Column:
         """The one of a list of values, one for each pattern, that belongs to k."""
@@ -89,9 +89,9 @@ class _Patterns:
             branches.append(reduce(lambda a, b: a & b, parts) if parts else None)
         return F.lit(True) if not any(b is not None for b in branches) else self.by_rule(h["k"], branches, True)
 
-    def passing(self, text: Column, clean: Column, countries: Column | None) -> Column:
+    def passing(self, text: Column, clean: Column, cuts: Column | None, countries: Column | None) -> Column:
         """The hits that pass guard, check and country."""
-        return F.filter(self.hits(text, clean), lambda h: self.fine(text, h, countries))
+        return F.filter(self.hits(text, clean, cuts), lambda h: self.fine(text, h, countries))
 
     def spans(self, fine: Column) -> Column:
         """array<SPAN> of hits, where their score reaches the rule's threshold."""
@@ -148,16 +148,28 @@ def merged(spans: Column, scores: list[float]) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(let(F.array_distinct(spans), each))
 
 
+def _needs(rule: Rule, p: Pattern, own: Mapping[str, Validator] | None) -> str | None:
+    ours = p.checked is not None and p.checked[0] == rule.validator and rule.validator not in (own or {})
+    return p.checked[1] if ours else p.needs
+
+
 def gate(rules: Rules, own: Mapping[str, Validator] | None = None) -> str | None:
     """What every text with a span has, for the rules given and the user's own checks; None if a pattern doesn't say what it needs."""
-    needs = []
-    for r in rules:
-        for p in r.patterns:
-            ours = p.checked is not None and p.checked[0] == r.validator and r.validator not in (own or {})
-            needs.append(p.checked[1] if ours else p.needs)
+    needs = [_needs(r, p, own) for r in rules for p in r.patterns]
     return None if None in needs else "|".join(dict.fromkeys(needs))
 
 
+#: Finding the words costs about as much as a pattern, so it takes so many patterns.
+WORTH = 4
+
+
+def gate_of_words(rules: Rules, own: Mapping[str, Validator] | None = None) -> str | None:
+    """What a word of every span has, so that no other words but those next to it need be searched; None if a pattern is not local, or the patterns are too few to be worth it."""
+    every = [(r, p) for r in rules for p in r.patterns]
+    needs = [p.word or _needs(r, p, own) for r, p in every]
+    return None if len(every) < WORTH or None in needs or not all(p.local for _, p in every) else "|".join(dict.fromkeys(needs))
+
+
 def row_countries(rules: Rules, countries: Column) -> Column:
     """The countries whose rules hold for a row that names ``countries``: US if it names none, GLOBAL in place of an unknown one."""
     known = F.array(*[F.lit(c) for c in sorted({r.country for r in rules})])
@@ -170,13 +182,22 @@ def unknown_country(rules: Rules, countries: Column) -> Column:
     return ~F.lit(any(r.country == GLOBAL for r in rules)) & F.array_contains(row_countries(rules, countries), GLOBAL)
 
 
-def _where_worth(text: Column, rules: Rules, countries: Column | None, validators: Mapping[str, Validator] | None, found: Callable[[Column], Column]) -> Column:
-    """found(clean text and the row's countries) of the texts that can hold something; null for others."""
+#: Texts of so many characters are searched whole; in longer ones only the words that can be part of a span, and what is next to them.
+SHORT = 512
+
+
+def _where_worth(text: Column, rules: Rules, countries: Column | None, validators: Mapping[str, Validator] | None, found: Callable[[Column, Column | None, Column | None], Column]) -> Column:
+    """found(searched text, its cuts, the row's countries) of the texts that can hold something; null for others."""
     own = None if countries is None else row_countries(rules, countries)
-    bound = F.struct(without_mark(text).alias("clean"), *([] if own is None else [own.alias("own")]))
-    needed = gate(rules, validators)
+    needed, word = gate(rules, validators), gate_of_words(rules, validators)
+    if word is None:
+        seen = lambda clean: F.struct(clean.alias("clean"))
+    else:
+        whole = lambda clean: F.struct(clean.alias("clean"), F.array().cast("array<struct<at:int,gone:int>>").alias("cuts"))
+        seen = lambda clean: F.when(F.length(clean) > SHORT, shortened(clean, word)).otherwise(whole(clean))
+    bound = let(without_mark(text), lambda clean: F.struct(seen(clean).alias("seen"), *([] if own is None else [own.alias("own")])))
     worth = text.isNotNull() if needed is None else text.rlike(needed)
-    return F.when(worth, let(bound, found))
+    return F.when(worth, let(bound, lambda b: found(b["seen"]["clean"], None if word is None else b["seen"]["cuts"], None if own is None else b["own"])))
 
 
 def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mapping[str, Validator] | None = None, countries: Column | None = None) -> Column:
@@ -193,8 +214,8 @@ def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mappi
         raise ValueError(f"{', '.join(python)}: Python checks need a step of their own, which with_spans(), detect() and classify() make")
     patterns = _Patterns(rules, {**registry(as_of), **(validators or {})})
 
-    def found(bound: Column) -> Column:
-        return _sorted_spans(patterns, patterns.passing(text, bound["clean"], None if countries is None else bound["own"]))
+    def found(clean: Column, cuts: Column | None, own: Column | None) -> Column:
+        return _sorted_spans(patterns, patterns.passing(text, clean, cuts, own))
 
     return F.coalesce(_where_worth(text, rules, countries, validators, found).cast(f"array<{SPAN}>"), none)
 
@@ -227,7 +248,7 @@ def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str =
         return df.withColumn(name, spans_column(df.sparkSession, text_col, rules, as_of) if countries is None else find_spans(F.col(text_col), rules, as_of, None, countries))
     text, patterns = F.col(text_col), _Patterns(rules.enabled(), registry(as_of), apart)
     none = F.array().cast(f"array<{HIT}>")
-    hits = _where_worth(text, rules.enabled(), countries, validators, lambda b: patterns.passing(text, b["clean"], None if countries is None else b["own"]))
+    hits = _where_worth(text, rules.enabled(), countries, validators, lambda clean, cuts, own: patterns.passing(text, clean, cuts, own))
     # A generated row is computed once; a projected array would be put together anew wherever it is read.
     out = df.select("*", F.explode(F.array(F.coalesce(hits.cast(f"array<{HIT}>"), none))).alias("__hits"))
     columns = {k: v for k, v in apart.items() if as_python(v) is None}

@@ -17,6 +17,8 @@ class Pattern:
     """A shape with its score; ``needs`` finds something in every text that the shape matches (None: not known).
 
     ``checked`` is (validator, what values of the shape that pass it need as well); ``solid``, that it never matches the empty string.
+    ``local`` says that a match of which a check can approve begins at most 32 characters before a word (between white space) that
+    holds ``word`` (None: what it needs), and that it ends with that word or another such one.
     """
 
     regex: str
@@ -24,6 +26,8 @@ class Pattern:
     needs: str | None = None
     checked: tuple[str, str] | None = None
     solid: bool = False
+    local: bool = False
+    word: str | None = None
 
 
 @dataclass(frozen=True)
@@ -62,7 +66,7 @@ US_RULES = (
     Rule("DATE_OF_BIRTH", "date-of-birth", ID, (Pattern(r"(?i)\b(?:0[1-9]|[12][0-9]|3[01])[-/.](?:0[1-9]|1[0-2])[-/.][12][0-9]{3}\b", 0.85, FOUR), Pattern(r"(?i)\b[12][0-9]{3}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])\b", 0.85, FOUR)), ("born on", "dob", "date of birth", "birthday", "age", "born", "birth date", "born in"), "dob"),
     Rule("SERVICE_NUMBER", "service-number", ID, (Pattern(r"(?i)\b[A-Z]{1,3}[0-9]{6,10}\b", 1.0, FOUR), Pattern(r"(?i)\b[A-Z]{1,3}[-\s]?[0-9]{6,10}\b", 1.0, FOUR)), ("service number", "sn", "military id", "service id")),
     Rule("DOD_ID", "dodi-number", ID, (Pattern(r"(?i)\bDOD[-\s]?[0-9]{8,12}\b", 0.95, FOUR),), ("dod id", "department of defense", "military id", "dod number")),
-    Rule("VA_CLAIM_NUMBER", "va-claim-number", ID, (Pattern(r"(?i)\b[0-9]{9}\b", 0.85, FOUR), Pattern(r"(?i)\b[0-9]{3}\s[0-9]{3}\s[0-9]{3}\b", 0.9, r"[0-9]{3}\s[0-9]{3}"), Pattern(r"(?i)\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.9, FOUR)), ("va claim", "va claim number", "claim number", "va file number", "va file no", "claim #", "va benefits", "veterans affairs"), "va_claim"),
+    Rule("VA_CLAIM_NUMBER", "va-claim-number", ID, (Pattern(r"(?i)\b[0-9]{9}\b", 0.85, FOUR), Pattern(r"(?i)\b[0-9]{3}\s[0-9]{3}\s[0-9]{3}\b", 0.9, r"[0-9]{3}\s[0-9]{3}", word="[0-9]{3}"), Pattern(r"(?i)\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.9, FOUR)), ("va claim", "va claim number", "claim number", "va file number", "va file no", "claim #", "va benefits", "veterans affairs"), "va_claim"),
     Rule("BUSINESS_TAX_ID", "business-tax-id", ID, (Pattern(r"(?i)\b[0-9]{2}-[0-9]{7}\b", 0.8, FOUR), Pattern(r"(?i)\b[0-9]{9}\b", 0.6, FOUR)), ("ein", "tax id", "tax identification", "business tax", "practice tax", "employer identification", "irs")),
     Rule("MEDICAL_LICENSE", "medical-license-number", ID, (Pattern(r"(?i)\b(?:LIC|MD|DMC|MED)[-/]?[0-9]{4,10}\b", 1.0, FOUR),), ("medical license", "license number", "doctor license", "physician license", "medical registration")),
     Rule("EMPLOYEE_ID", "employee-id", ID, (Pattern(r"(?i)\b(?:EMP|EID|STAFF|HR)[-_]?[0-9]{4,10}\b", 0.85, FOUR), Pattern(r"(?i)\b[A-Z]{2,4}[0-9]{4,10}\b", 0.85, FOUR), Pattern(r"(?i)[a-z]{2}-[0-9]{4}", 0.85, FOUR)), ("employee id", "employee code", "staff id", "staff code", "employee number", "staff number", "hr id", "personnel id", "payroll id", "employee id number")),
@@ -113,8 +117,8 @@ class Rules(tuple):
 
 
 def _solid(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
-    """Marks the shapes above: each begins with letters, digits or signs that must be there."""
-    return tuple(replace(r, patterns=tuple(replace(p, solid=True) for p in r.patterns)) for r in rules)
+    """Marks the shapes above: each begins with letters, digits or signs that must be there, and ends in a word with what it needs."""
+    return tuple(replace(r, patterns=tuple(replace(p, solid=True, local=True) for p in r.patterns)) for r in rules)
 
 
 #: Rules as a table; a column that is missing, or a field that is null, means the value of Rule, but for the first four.
@@ -267,6 +271,6 @@ def load_rules(
     rules = (table if isinstance(table, Rules) else rules_from(table, validators)) if table is not None else _solid(US_RULES)
     rules = (*rules, *(_solid(SECRET_RULES) if secrets else ()))
     if strict_boundaries:
-        rules = tuple(replace(r, patterns=(*r.patterns[:2], replace(_STRICT_EMPLOYEE, solid=True))) if r.entity == "EMPLOYEE_ID" else r for r in rules)
+        rules = tuple(replace(r, patterns=(*r.patterns[:2], replace(_STRICT_EMPLOYEE, solid=True, local=True))) if r.entity == "EMPLOYEE_ID" else r for r in rules)
     out = Rules(rules) if overrides is None else overridden(Rules(rules), overrides, validators=validators)
     return out.for_countries(countries)
