@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from veilspan.llm import personal as p
+from veilspan.llm.skew import join_groups
 
 DEFINED = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -121,3 +124,22 @@ def test_discovered_identifiers_make_contexts_credible(spark):
     assert {("b", f"y{i}") for i in range(20)} <= got  # a context with 30 per cent seeds
     assert ("c", "c0") in got  # a context without seeds, two hops away
     assert {c for c, _ in got} == {"a", "b", "c"}
+
+
+def test_hot_context_and_value(spark, monkeypatch):
+    """One context in all rows and one identifier in a third of them: dealt over tasks, with the result of plain joins."""
+    rows = [(i, f"call me at +1 (2{i % 90:02d}) 555-{i:04d} today please") for i in range(2000)]
+    rows += [(i, f"call me at (2{i % 90:02d}) 555-{i:04d} today please") for i in range(2000, 2300)]
+    rows += [(i, "call me at (999) 555-0000 today please") for i in range(2300, 3600)]
+    df, salted = spark.createDataFrame(rows, "doc_id long, text string"), []
+
+    def dealt(left, groups, keys, members, *rest, **named):
+        salted.append((keys, groups.where(f"{members} > 1000").count()))
+        return join_groups(left, groups, keys, members, *rest, **named)
+
+    monkeypatch.setattr(p, "join_groups", dealt)
+    got = {r["doc_id"]: r["spans"] for r in p.report(df).collect()}
+    monkeypatch.setattr(p, "join_groups", lambda left, groups, keys, members, spread, total, how="inner": left.join(groups, keys, how).withColumn("__salt", F.lit(0)))
+    assert got == {r["doc_id"]: r["spans"] for r in p.report(df).collect()}
+    assert {tuple(k) for k, n in salted if n} == {("context", "kind"), ("context", "value")}
+    assert got[2300] == "phone:11:25" and all(got.values())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, running_sums
 from .scratch import written
+from .skew import join_groups
 
 # The kinds in order and the patterns that define them, written so that no start is tried twice within a run.
 KINDS = ["email", "ip", "card", "phone"]
@@ -103,39 +104,46 @@ def learned_mentions(mentions: DataFrame, support: int = SUPPORT, confidence: fl
     is the share of its identifiers that are of the kind (seeds wholly, others by their score), and an identifier's score
     is the chance that not all of its contexts err.  A context takes part once seeds and identifiers accepted so far give it
     ``support`` and ``confidence``, so what it vouches for can make further contexts credible, until nothing changes.
+    A context with very many identifiers, or an identifier with very many contexts, is dealt over several tasks in every join.
     """
-    edges = mentions.where(F.col("context").isNotNull()).groupBy("context", "value", "kind").agg(F.first("options").alias("options"))
+    edges = written(mentions.where(F.col("context").isNotNull()).groupBy("context", "value", "kind").agg(F.first("options").alias("options")))
+    total = edges.count()
+    of_value = lambda rows, groups, how="inner": join_groups(rows, groups, ["value", "kind"], "n", ["context"], total, how).drop("__salt")
+    of_context = lambda rows, groups, how="inner": join_groups(rows, groups, ["context", "kind"], "values", ["value"], total, how).drop("__salt")
     seeded = edges.where("kind is not null").groupBy("value", "kind").agg(F.lit(1.0).alias("score"))
     all_of = edges.groupBy("context").agg(F.count_distinct("value").alias("values"))
     own = edges.where("kind is not null").groupBy("context", "kind").agg(F.count(F.lit(1)).cast("double").alias("sure"))
     unknown = edges.where("kind is null").select("context", "value", F.explode("options").alias("kind"))
-    every = written(unknown.join(seeded, ["value", "kind"], "left_anti").distinct())
+    contexts = edges.where("kind is null").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    every = written(of_value(unknown, seeded.join(contexts, "value"), "left_anti").distinct())
     # Before a context takes part, only identifiers that other contexts have as well can lift it; what cannot reach the bounds even if
     # all of these were certain never takes part.
-    twice = every.groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value", "kind")
-    shared = every.join(twice, ["value", "kind"]).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("shared"))
+    twice = every.groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = of_value(every, twice).groupBy("context", "kind").agg(F.count(F.lit(1)).alias("shared"))
     sure, most = F.coalesce("sure", F.lit(0.0)), F.col("sure") + F.col("shared")
     reach = own.join(shared, ["context", "kind"], "full").select("context", "kind", sure.alias("sure"), F.coalesce("shared", F.lit(0)).alias("shared")).join(all_of, "context")
     hopeful = written(reach.where((most >= support) & (most >= (F.col("values") + 1) * confidence - 1e-6)).drop("shared"))
-    open_edges = written(every.join(hopeful, ["context", "kind"], "left_semi"))
-    scores = open_edges.select("value", "kind", F.lit(0.0).alias("score")).limit(0)
+    open_edges = written(of_context(every, hopeful, "left_semi"))
+    degrees = written(open_edges.groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n")))
+    scores = degrees.select("value", "kind", F.lit(0.0).alias("score"), "n").limit(0)
     before, done = (0, 0, 0.0), 0
     while True:
         accepted = F.count(F.when(F.col("score") >= confidence, 1))
-        gained = open_edges.join(scores, ["value", "kind"]).groupBy("context", "kind").agg(F.sum("score").alias("gained"), accepted.alias("accepted"))
+        gained = of_value(open_edges, scores).groupBy("context", "kind").agg(F.sum("score").alias("gained"), accepted.alias("accepted"))
         gain, more = F.coalesce("gained", F.lit(0.0)), F.coalesce("accepted", F.lit(0))
         patterns = hopeful.join(gained, ["context", "kind"], "left").where(F.col("sure") + more >= support)
-        trusted = written(patterns.select("context", "kind", ((F.col("sure") + gain) / (F.col("values") + 1)).alias("trust")).where(F.col("trust") >= confidence))
+        trusted = written(patterns.select("context", "kind", "values", ((F.col("sure") + gain) / (F.col("values") + 1)).alias("trust")).where(F.col("trust") >= confidence))
         err = F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9))))
-        scores = written(open_edges.join(trusted, ["context", "kind"]).groupBy("value", "kind").agg((1 - F.exp(err)).alias("score")))
-        total = scores.agg(accepted.alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("sum")).first()
-        now, done = (trusted.count(), total["n"], total["sum"]), done + 1
+        scored = of_context(open_edges, trusted).groupBy("value", "kind").agg((1 - F.exp(err)).alias("score"))
+        scores = written(scored.join(degrees, ["value", "kind"]))
+        sums = scores.agg(accepted.alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("sum")).first()
+        now, done = (trusted.count(), sums["n"], sums["sum"]), done + 1
         if done == rounds or (now[:2] == before[:2] and now[2] - before[2] <= SETTLED * now[2]):
             break
         before = now
     best = scores.where(F.col("score") >= confidence).groupBy("value").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("b"))
     best = best.select("value", (-F.col("b.k")).alias("kind"))
-    return open_edges.join(trusted, ["context", "kind"], "left_semi").join(best, ["value", "kind"], "left_semi").select("context", "value", "kind").distinct()
+    return of_value(of_context(open_edges, trusted, "left_semi"), best.join(degrees, ["value", "kind"]), "left_semi").select("context", "value", "kind").distinct()
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int | None = ROUNDS) -> DataFrame:
@@ -154,10 +162,12 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = F.transform(fresh, lambda m: F.struct(m["start"].alias("start"), F.lit(None).cast("int").alias("kind"), m["end"].alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right")))
     rows = written(first.select("id", "row", spans(F.col("base")).alias("base"), spans(more).alias("more")))
     mentions = rows.select(F.explode(F.concat("base", "more")).alias("m")).select(F.explode("m.contexts").alias("context"), F.lower("m.value").alias("value"), "m.kind", plausible(F.col("m.value")).alias("options"))
-    learned = learned_mentions(mentions, support, confidence, rounds).withColumnRenamed("kind", "new_kind")
+    learned = written(learned_mentions(mentions, support, confidence, rounds).withColumnRenamed("kind", "new_kind"))
     new = rows.select("id", "row", F.explode("more").alias("m")).select("id", "row", F.explode("m.contexts").alias("context"), F.lower("m.value").alias("value"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("shown"))
     # A value has one learned kind, so a span that both of its contexts vouch for is the same twice.
-    new = new.join(learned, ["context", "value"]).groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("start", F.col("new_kind").alias("kind"), "end", F.col("shown").alias("value")))).alias("found"))
+    often = new.groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"))
+    vouched = join_groups(new, learned.join(often, ["context", "value"]), ["context", "value"], "n", ["id", "start"], new.count())
+    new = vouched.groupBy("id", "row").agg(F.array_sort(F.collect_set(F.struct("start", F.col("new_kind").alias("kind"), "end", F.col("shown").alias("value")))).alias("found"))
     new = new.select(F.col("id").alias("n_id"), F.col("row").alias("n_row"), "found")
     got = rows.join(new, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("row") == F.col("n_row")), "left")
     bare = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")]))
