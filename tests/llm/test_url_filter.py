@@ -50,3 +50,28 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "page_id int, url string")
     assert u.judge_urls(df).collect() == []
     assert run(spark, URLS, []) == {i: judge(x, []) for i, x in enumerate(URLS)}
+
+
+def test_hosts_swept_by_path_above_one_another(spark):
+    rng = random.Random(6)
+    host = lambda: ".".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    path = lambda: "".join(rng.choice(["/", "a", "b", "é", "\U0010ffff"]) for _ in range(rng.randint(0, 5)))
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in ((host(), rng.choice(["", "/"]) + path()) for _ in range(300))}.values())
+    urls = [f"http://{host()}/{path()}" for _ in range(500)] + ["http://a.b/aa"] * 200 + [None, "http://b", "x", "http://c.d/"]
+    for held in (0, 3):
+        assert run(spark, urls, rules, buckets=8, held=held) == {i: judge(x, rules) for i, x in enumerate(urls)}
+
+
+def test_very_many_paths_of_one_host(spark):
+    rng = random.Random(7)
+    paths = sorted({"/" + "/".join(str(rng.randrange(200)) for _ in range(rng.randint(1, 4))) for _ in range(180_000)})
+    assert len(paths) > 100_000
+    rules = {p: ("block" if rng.random() < 0.5 else "allow") for p in paths}
+    asked = [rng.choice(paths) + rng.choice(["", "7", "/x"]) for _ in range(3000)] + ["/hot/1"] * 2000
+    df = spark.createDataFrame(list(enumerate("http://m.shop.org" + p for p in asked)), "page_id int, url string")
+    table = spark.createDataFrame([(v, "shop.org", p) for p, v in rules.items()] + [("allow", "org", "/"), ("block", "m.shop.org", "/1")], "verdict string, host string, path string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in u.judge_urls(df, table).collect()}
+    for i, p in enumerate(asked):
+        fits = [(len("shop.org" + p[:n]), 8, "shop.org" + p[:n], rules[p[:n]]) for n in range(1, len(p) + 1) if p[:n] in rules]
+        fits += [(4, 3, "org/", "allow")] + ([(12, 10, "m.shop.org/1", "block")] if p.startswith("/1") else [])
+        assert got[i] == max(fits)[2:]
