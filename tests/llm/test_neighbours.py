@@ -68,3 +68,11 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nn.nearest_neighbours(df).collect() == []
     assert nn.nearest_neighbours(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_one_vector_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30_000, 8)).round(3)
+    x[::3] = x[0]
+    mean, least = check_recall(spark, list(range(30_000)), x, 1500)
+    assert mean >= 0.9 and least >= 0.6

@@ -120,7 +120,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, query_every: int = 100,
     block they visit.  An empty table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
-    given = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
+    given = written(vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).distinct())
     kind = given.schema["id"].dataType.simpleString()
     empty = spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     lengths = given.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
