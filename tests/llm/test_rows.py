@@ -1,0 +1,30 @@
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from veilspan.llm.rows import taken_rows
+
+
+def test_rows_as_often_as_decided_with_one_key_in_a_third_of_all(spark):
+    rows = [(7, "hot", "x")] * 3000 + [(None, "none", None)] * 1200 + [(i, f"t{i}", "x") for i in range(100, 3000)] + [(i, f"t{i}", "x") for i in range(100, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(12)
+    wanted = {(7, "hot", "x"): 3, (None, "none", None): 2, **{(i, f"t{i}", "x"): i % 3 for i in range(100, 2900)}}
+    counts = Counter(rows)
+    decided = spark.createDataFrame([(r[0], r[1], counts[r], c) for r, c in wanted.items()], "id long, t string, n long, copies long")
+    out = taken_rows(docs, {"id": F.col("doc_id"), "t": F.col("text")}, decided)
+    assert Counter(tuple(r) for r in out.collect()) == {r: c for r, c in wanted.items() if c}
+
+
+def test_nothing_decided(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    none = spark.createDataFrame([], "id long, n long, copies long")
+    assert taken_rows(docs, {"id": F.col("doc_id")}, none).collect() == []
+
+
+def test_a_hot_key_sends_one_row_from_each_task(spark):
+    docs = spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("doc_id"), F.lit("text").alias("text"))
+    decided = docs.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("copies"))
+    out = taken_rows(docs, {"id": F.col("doc_id")}, decided)
+    assert out.count() == out.distinct().count() == 20_001
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+from .skew import SHARE
+
 
 def taken_rows(docs: DataFrame, keys: dict[str, Column], decided: DataFrame) -> DataFrame:
     """The rows of docs whose keys are in ``decided`` (keys, n, copies), copies times in all for each key.
 
     ``n`` says how many rows of docs share the key; one of them stands for all.  Keys that name one row, nearly all,
-    are joined as they are; only rows of the others meet in an aggregate.
+    are joined as they are; only rows of the others meet in an aggregate.  Keys of more than 1 / SHARE of all rows (1000 rows at
+    least), of which there are SHARE at most, are broadcast, and each task passes one of their rows on.
     """
     names = list(keys)
+    hashed = [f"k_{k}" for k in names]
     keyed = docs.select(F.struct("*").alias("row"), *[c.alias(f"k_{k}") for k, c in keys.items()])
-    given = decided.where("copies > 0").select(*[F.col(k).alias(f"d_{k}") for k in names], "n", F.col("copies").cast("long").alias("copies"))
+    given = written(decided.where("copies > 0").select(*[F.col(k).alias(f"d_{k}") for k in names], "n", F.col("copies").cast("long").alias("copies")))
+    least = max(1000, (given.agg(F.sum("n")).first()[0] or 0) // SHARE)
     same = [F.col(f"k_{k}").eqNullSafe(F.col(f"d_{k}")) for k in names]
+    merged = lambda rows: rows.groupBy(*hashed).agg(F.first("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies")
     one = keyed.join(given.where("n = 1"), same).select("row", "copies")
-    many = keyed.join(given.where("n > 1"), same).groupBy(*[f"k_{k}" for k in names]).agg(F.first("row").alias("row"), F.first("copies").alias("copies")).select("row", "copies")
-    return one.unionByName(many).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    some = merged(keyed.join(given.where((F.col("n") > 1) & (F.col("n") <= least)), same))
+    hot = merged(keyed.join(F.broadcast(given.where(F.col("n") > least)), same))
+    return one.unionByName(some).unionByName(hot).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
