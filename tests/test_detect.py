@@ -3,9 +3,11 @@ import re
 import time
 from dataclasses import replace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from veilspan.jobs import oracle as S
 from veilspan.operators import detect as D
 from veilspan.operators.overlap import non_overlapping, overlap_groups, overlap_pairs
 from veilspan.sources.rules import Rules, load_rules
@@ -199,3 +201,15 @@ def test_long_texts_are_searched_in_part_with_the_same_result(spark):
     assert got == wanted and len({g[1] for g in got}) > 8 and len(got) > 200
     text = dict(rows)
     assert all(text[g[0]][g[2] : g[3]] == g[5] for g in got)
+
+
+def test_identifiers_next_to_accented_letters_are_those_of_the_sql(spark):
+    # An accented letter is no part of a word's boundary: "ge 4932317" stands in "Füge 4932317".
+    glued = ["Füge 4932317", "é123-45-6789 ssn", "ssn é321-45-7891ñ", "ñDOD-12345678ü", "àLIC-456789", "çEMP-10492ö", "né 21/05/1994é", "ghp_" + "a" * 36 + "é", "éAKIA" + "Z" * 16, "é12-3456789 bank account è1122334455é", "_12-3456789", "déjà driver éD1234567"]
+    rows = [(i, t) for i, t in enumerate(glued)] + [(100 + i, "plain words " * 60 + t + " and more words" * 60) for i, t in enumerate(glued)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE src (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO src VALUES (?, ?)", rows)
+    want = con.execute(S.detection("src", list(S.SAID))).fetchall()
+    got = D.detect(spark.createDataFrame(rows, "doc_id long, text string"), load_rules(secrets=True))
+    assert (0, "SERVICE_NUMBER", 2, 12, 1.0, "ge 4932317") in want and sorted(map(tuple, got.collect())) == sorted(want)
