@@ -82,6 +82,14 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(classify(docs, rules=rules, anonymize=True))
 
 
+def test_stream_reads_a_table_of_many_files(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    one, many = (rows(Q.QUERIES["stream_details"](spark, path)) for path in (sf, str(tmp_path)))
+    assert one and one == many
+
+
 def test_evaluation_by_hand(spark):
     gold = spark.createDataFrame([(1, "a", "x", 0, 1), (1, "a", "y", 2, 3), (2, "b", "z", 0, 1)], "row_id long, label string, value string, start int, end int")
     pred = spark.createDataFrame([(1, "a", "x", 0, 1), (1, "a", "w", 2, 3), (2, "c", "q", 5, 6)], "row_id long, label string, value string, start int, end int")

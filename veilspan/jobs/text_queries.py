@@ -195,8 +195,8 @@ def json_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents classified as they arrive, read from the table that the stream appends to."""
     path = new_folder(spark)
-    # A stream watches a folder; of the files that appear there, those of one table.
-    texts = read_texts(spark, sf_dir, name="documents*")
+    # A glob, as a stream takes a table of one file by no plain name; where the table is a folder, its files are read.
+    texts = read_texts(spark, f"{sf_dir}/{{documents}}.parquet")
     classify_stream(texts, path, f"{path}-state", once=True, rules=RULES.only("EMAIL_ADDRESS", "PHONE_NUMBER")).awaitTermination()
     return C.entity_details(spark.read.schema("doc_id long, status int, data string, entityDetails map<string, array<" + C.DETAIL + ">>").parquet(path)).withColumn("confidence_score", F.round("confidence_score", 4))
 
