@@ -90,6 +90,11 @@ def test_stream_reads_a_table_of_many_files(spark, sf, tmp_path):
     assert one and one == many
 
 
+def test_printed_gold_is_parsed_once_for_each_row(spark, sf):
+    plan = Q.QUERIES["parse_gold"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_evaluation_by_hand(spark):
     gold = spark.createDataFrame([(1, "a", "x", 0, 1), (1, "a", "y", 2, 3), (2, "b", "z", 0, 1)], "row_id long, label string, value string, start int, end int")
     pred = spark.createDataFrame([(1, "a", "x", 0, 1), (1, "a", "w", 2, 3), (2, "c", "q", 5, 6)], "row_id long, label string, value string, start int, end int")

@@ -79,27 +79,35 @@ ESCAPES = {r"\\x([0-9A-Fa-f]{2})": r"\\u00$1", r"\\U0000([0-9A-Fa-f]{4})": r"\\u
 
 def _json_string(token: Column) -> Column:
     """A printed string, quotes and all, as JSON: only its own kind of quote ended it, so others inside are plain characters."""
-    body = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit("\\\\"), F.lit(CLOSE))
+    inner = F.substring(token, F.lit(2), F.length(token) - 2)
+    body = F.replace(inner, F.lit("\\\\"), F.lit(CLOSE))
     for quote in ("'", '"', "’"):
         body = F.replace(body, F.lit("\\" + quote), F.lit(quote))
     for escape, said in ESCAPES.items():
         body = F.regexp_replace(body, escape, said)
     # A backslash before any other letter is a backslash; names of characters and numbers beyond four digits stay unreadable.
     body = F.regexp_replace(F.replace(body, F.lit('"'), F.lit('\\"')), r'\\(?!["/bfnrtuUN])', r"\\\\")
-    return F.concat(F.lit('"'), F.replace(body, F.lit(CLOSE), F.lit("\\\\")), F.lit('"'))
+    # Most strings have no backslash, and nothing but quotes to escape.
+    plain = F.replace(inner, F.lit('"'), F.lit('\\"'))
+    said = F.when(F.contains(token, F.lit("\\")), F.replace(body, F.lit(CLOSE), F.lit("\\\\"))).otherwise(plain)
+    return F.concat(F.lit('"'), said, F.lit('"'))
 
 
 def _json_between(piece: Column) -> Column:
     """What stands between strings, as JSON: constants by their names there, no comma before a closing bracket."""
+    named = piece
     for name, said in CONSTANTS.items():
-        piece = F.regexp_replace(piece, rf"\b{name}\b", said)
-    return F.regexp_replace(piece, r",(\s*[\]}])", "$1")
+        named = F.regexp_replace(named, rf"\b{name}\b", said)
+    closed = lambda x: F.regexp_replace(x, r",(\s*[\]}])", "$1")
+    has = lambda *parts: reduce(lambda a, b: a | b, [F.contains(piece, F.lit(x)) for x in parts])
+    return F.when(has(*CONSTANTS), closed(named)).when(has(",") & has("]", "}"), closed(piece)).otherwise(piece)
 
 
 def printed_as_json(text: Column) -> Column:
     """A printed Python list or dictionary as JSON; a text that is JSON already stays as it is."""
     parts = lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, _json_string(x)).otherwise(_json_between(x)))
-    return let(F.translate(without_mark(text), CLOSE, STAND_IN), lambda clean: F.array_join(let(pieces_of(clean, PRINTED_STRING), parts), ""))
+    clean = lambda t: F.when(F.contains(t, F.lit(CLOSE)), F.translate(t, CLOSE, STAND_IN)).otherwise(t)
+    return let(let(without_mark(text), clean), lambda clean: F.array_join(let(pieces_of(clean, PRINTED_STRING), parts), ""))
 
 
 def gold(text: Column) -> Column:
@@ -109,11 +117,16 @@ def gold(text: Column) -> Column:
     as a whole, has no entities and is not readable.
     """
     none = F.array().cast(f"array<{ENTITY}>")
-    parsed = F.from_json(printed_as_json(text), f"array<{ENTITY}>", {"allowUnquotedControlChars": "true"})
-    whole = F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), parsed)
-    found = let(whole, lambda e: F.struct(F.coalesce(F.filter(e, lambda x: x.isNotNull()), none).alias("entities"), (e.isNotNull() & ~F.exists(e, lambda x: x.isNull())).alias("readable")))
-    blank = text.isNull() | (F.trim(text) == "")
-    return F.struct(F.when(blank, none).otherwise(found["entities"]).alias("entities"), F.coalesce(blank | found["readable"], F.lit(False)).alias("readable"))
+
+    # Bound, text and list are computed once, however often they are read here and whatever expression the text is.
+    def read(text: Column) -> Column:
+        blank = text.isNull() | (F.trim(text) == "")
+        parsed = F.from_json(printed_as_json(text), f"array<{ENTITY}>", {"allowUnquotedControlChars": "true"})
+        entities = lambda e: F.when(blank, none).otherwise(F.coalesce(F.filter(e, lambda x: x.isNotNull()), none))
+        readable = lambda e: F.coalesce(blank | (e.isNotNull() & ~F.exists(e, lambda x: x.isNull())), F.lit(False))
+        return let(F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), parsed), lambda e: F.struct(entities(e).alias("entities"), readable(e).alias("readable")))
+
+    return let(text, read)
 
 
 def parse_entities(text: Column) -> Column:
