@@ -95,6 +95,11 @@ def test_printed_gold_is_parsed_once_for_each_row(spark, sf):
     assert plan.count("from_json(") == 1
 
 
+def test_only_the_rules_of_the_label_are_searched(spark, sf):
+    plan = Q.QUERIES["missed_rows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "12][0-9]|3[01])[-/.]" in plan and "EMP|EID" not in plan
+
+
 def test_evaluation_by_hand(spark):
     gold = spark.createDataFrame([(1, "a", "x", 0, 1), (1, "a", "y", 2, 3), (2, "b", "z", 0, 1)], "row_id long, label string, value string, start int, end int")
     pred = spark.createDataFrame([(1, "a", "x", 0, 1), (1, "a", "w", 2, 3), (2, "c", "q", 5, 6)], "row_id long, label string, value string, start int, end int")

@@ -209,8 +209,10 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("row_id", "label", "value", start.cast("int").alias("start"), (start + F.length("value")).cast("int").alias("end"))
 
 
-def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = D.with_display_name(D.detect(_records(spark, sf_dir), RULES), RULES.table(spark))
+def _predicted(spark: SparkSession, sf_dir: str, label: str | None = None) -> DataFrame:
+    """Predictions of all labels, or of one: entities are merged each by itself, so rules of others need not be searched."""
+    rules = RULES if label is None else Rules(r for r in RULES if r.name == label)
+    spans = D.with_display_name(D.detect(_records(spark, sf_dir), rules), rules.table(spark))
     return spans.where(F.col("return_name").isin(list(GOLD.values()))).select(F.col("doc_id").alias("row_id"), F.col("return_name").alias("label"), "value", "start", "end")
 
 
@@ -253,13 +255,13 @@ def _unmatched_sql(a: str, b: str, label: str) -> str:
 @query(_unmatched_sql("pred", "gold", "employee-id"))
 def extra_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir).select(F.col("doc_id").alias("row_id"))
-    return E.rows_with_extra(rows, _gold(spark, sf_dir), _predicted(spark, sf_dir), "employee-id")
+    return E.rows_with_extra(rows, _gold(spark, sf_dir), _predicted(spark, sf_dir, "employee-id"), "employee-id")
 
 
 @query(_unmatched_sql("gold", "pred", "date-of-birth"))
 def missed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir).select(F.col("doc_id").alias("row_id"))
-    return E.rows_with_missed(rows, _gold(spark, sf_dir), _predicted(spark, sf_dir), "date-of-birth")
+    return E.rows_with_missed(rows, _gold(spark, sf_dir), _predicted(spark, sf_dir, "date-of-birth"), "date-of-birth")
 
 
 @query(_EVAL + "SELECT DISTINCT label, value FROM m WHERE g AND NOT p")
