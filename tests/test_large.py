@@ -2,7 +2,9 @@
 
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,14 @@ def test_batch_run_twice(spark, tmp_path):
     again = classify(spark.createDataFrame([(first[1][1], "write to c@d.org")], "doc_id long, text string"), rules=rules)
     replace_batch(again, f"{tmp_path}/out", 1)
     assert rows() == first
+
+
+def test_places_of_values_leave_python_block_by_block():
+    n = 2000
+    batch = [pa.array(["alpha beta gamma " * 20] * n), pa.array([["alpha", "beta", "gamma"]] * n), pa.array([["ssn"] * 3] * n)]
+    tracemalloc.start()
+    found = X.arrow_places(*batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n and {len(row) for row in found} == {60}
+    assert peak < 10_000_000  # all 120,000 places as objects take five times as much

@@ -135,28 +135,44 @@ def _held_words(text: str, phrases: list[str]) -> dict[str, bool]:
     return present
 
 
+#: Places held as Python objects before they become Arrow.
+HELD = 10_000
 PLACE = "struct<label:string, start:int, `end`:int, extracted_text:string>"
 
 
+def _places_of(text: str, values: list[str], labels: list[str]) -> list[dict]:
+    low = folded(text)
+    present = _held_words(low, [v for v, label in zip(values, labels, strict=True) if label == "name"])
+    each = ((label, f) for v, label in zip(values, labels, strict=True) for f in (choices_in(low, v, present) if label == "name" else [v]))
+    forms = list(dict.fromkeys((label, f) for label, f in each if len(f) > 2))
+    found = occurrences(text, [f for _, f in forms])
+    places = dict.fromkeys((label, start, start + len(f)) for (label, f), starts in zip(forms, found, strict=True) for start in starts)
+    return [{"label": label, "start": a, "end": b, "extracted_text": text[a:b]} for label, a, b in places]
+
+
+def arrow_places(texts: pa.Array, values: pa.Array, labels: pa.Array) -> pa.Array:
+    """Places of a batch.  Rows are read one by one and places leave Python's objects every HELD, so what is held besides Arrow's own does not grow with the batch."""
+    kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("extracted_text", pa.string())]))
+    done, block, held = [], [], 0
+    for row in zip(texts, values, labels, strict=True):
+        text, wanted, named = (x.as_py() for x in row)
+        block.append(_places_of(text, wanted, named) if text and wanted else [])
+        held += len(block[-1])
+        if held >= HELD:
+            done.append(pa.array(block, kind))
+            block, held = [], 0
+    return pa.concat_arrays([*done, pa.array(block, kind)])
+
+
 def value_places(text: Column, values: Column, labels: Column) -> Column:
     """array<PLACE>, each once: where the values of an array stand in the text, in any case; of a name, every choice of its words.
 
     An automaton of all forms passes over a text once, however many values it is asked for.
     """
 
-    def places_of(text: str, values: list[str], labels: list[str]) -> list[dict]:
-        low = folded(text)
-        present = _held_words(low, [v for v, label in zip(values, labels, strict=True) if label == "name"])
-        each = ((label, f) for v, label in zip(values, labels, strict=True) for f in (choices_in(low, v, present) if label == "name" else [v]))
-        forms = list(dict.fromkeys((label, f) for label, f in each if len(f) > 2))
-        found = occurrences(text, [f for _, f in forms])
-        places = dict.fromkeys((label, start, start + len(f)) for (label, f), starts in zip(forms, found, strict=True) for start in starts)
-        return [{"label": label, "start": a, "end": b, "extracted_text": text[a:b]} for label, a, b in places]
-
     @F.arrow_udf(f"array<{PLACE}>")
     def places(texts: pa.Array, values: pa.Array, labels: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("extracted_text", pa.string())]))
-        return pa.array([places_of(*row) if row[0] and row[1] else [] for row in zip(texts.to_pylist(), values.to_pylist(), labels.to_pylist(), strict=True)], kind)
+        return arrow_places(texts, values, labels)
 
     return places(text, values, labels)
 
