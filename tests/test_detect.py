@@ -213,3 +213,13 @@ def test_identifiers_next_to_accented_letters_are_those_of_the_sql(spark):
     want = con.execute(S.detection("src", list(S.SAID))).fetchall()
     got = D.detect(spark.createDataFrame(rows, "doc_id long, text string"), load_rules(secrets=True))
     assert (0, "SERVICE_NUMBER", 2, 12, 1.0, "ge 4932317") in want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_words_without_digits_are_no_hits_unless_a_users_check_asks_for_them(spark):
+    rules = load_rules().only("US_DRIVER_LICENSE")
+    docs = spark.createDataFrame([(1, "the driver presented license D1234567, presented again")], "doc_id long, text string")
+    hits = D._Patterns(rules, {}, own={}).hits(F.col("text"), F.col("text"))
+    assert [h["value"] for h in docs.select(hits.alias("h")).first()["h"]] == ["D1234567"]
+    assert [r["value"] for r in D.detect(docs, rules).collect()] == ["D1234567"]
+    own = D.detect(docs, rules, validators={"driver_license": lambda v, t: F.length(v) == 9})
+    assert [r["value"] for r in own.collect()] == ["presented", "presented"]

@@ -24,7 +24,7 @@ GLOBAL, DEFAULT = "GLOBAL", "US"
 def context_regex(words: tuple[str, ...]) -> str:
     """One of the phrases, not glued to other letters."""
     quoted = [w.lower().replace("#", "\\#").replace(".", "\\.") for w in words]
-    return "(^|[^a-z])(" + "|".join(quoted) + ")($|[^a-z])"
+    return "(?<![a-z])(?:" + "|".join(quoted) + ")(?![a-z])"
 
 
 def lifted(score: float) -> float:
@@ -47,13 +47,15 @@ def whole_number(left: Column, right: Column) -> Column:
 class _Patterns:
     """The patterns of all rules in order, each with its place k, and what a hit's k says."""
 
-    def __init__(self, rules: Rules, validators: Mapping[str, Validator], apart: Mapping[str, object] | None = None):
+    def __init__(self, rules: Rules, validators: Mapping[str, Validator], apart: Mapping[str, object] | None = None, own: Mapping[str, object] | None = None):
+        self.own = own  # names of the user's checks; None: no check follows
         self.rules, self.validators, self.apart = list(rules), validators, apart or {}  # apart: checks that stand in steps of their own
         self.flat = [(n, i, p) for n, r in enumerate(rules) for i, p in enumerate(r.patterns)]
 
     def hits(self, text: Column, clean: Column, cuts: Column | None = None) -> Column:
         before = WINDOW if any(r.context for r in self.rules) else 2
-        return matches(text, clean, [p.regex for _, _, p in self.flat], before, 2 if any(r.guard_decimals for r in self.rules) else 0, [p.solid for _, _, p in self.flat], cuts)
+        shape = lambda r, p: p.stricter if p.stricter and self.own is not None and _checked(r, p, self.own) else p.regex
+        return matches(text, clean, [shape(self.rules[n], p) for n, _, p in self.flat], before, 2 if any(r.guard_decimals for r in self.rules) else 0, [p.solid for _, _, p in self.flat], cuts)
 
     def of(self, k: Column, values: list) -> Column:
         """The one of a list of values, one for each pattern, that belongs to k."""
@@ -109,6 +111,18 @@ class _Patterns:
         return len(entities) == len(set(entities))
 
 
+def _holds(t: Column, s: Column) -> Column:
+    """Whether t reaches over all of s and has no lower score, or the same place and a higher one."""
+    longer = t["end"] - t["start"] > s["end"] - s["start"]
+    return (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & ((longer & (t["score"] >= s["score"])) | (~longer & (t["score"] > s["score"])))
+
+
+def merged_few(ordered: Column) -> Column:
+    """merged() of a few sorted spans of all entities, in their order: equal ones stand next to each other."""
+    once = F.filter(ordered, lambda s, i: ~F.get(ordered, i - 1).eqNullSafe(s))
+    return let(once, lambda every: F.filter(every, lambda s: ~F.exists(every, lambda t: (t["entity_type"] == s["entity_type"]) & _holds(t, s))))
+
+
 def merged(spans: Column, scores: list[float]) -> Column:
     """Of each entity's spans one for each place with its best score, without those inside a span of no lower score.
 
@@ -116,11 +130,7 @@ def merged(spans: Column, scores: list[float]) -> Column:
     inside another if the farthest end so far among those of its score at least, one for each of the possible ``scores``,
     reaches its own.
     """
-    levels = sorted(set(scores))
-
-    def holds(t: Column, s: Column) -> Column:
-        longer = t["end"] - t["start"] > s["end"] - s["start"]
-        return (t["start"] <= s["start"]) & (t["end"] >= s["end"]) & ((longer & (t["score"] >= s["score"])) | (~longer & (t["score"] > s["score"])))
+    levels, holds = sorted(set(scores)), _holds
 
     def reach_of(every: Column, least: Column) -> Column:
         return running_max(F.transform(every, lambda s: F.when(s["score"] >= least, s["end"]).otherwise(F.lit(-1))))
@@ -148,9 +158,13 @@ def merged(spans: Column, scores: list[float]) -> Column:
     return F.when(F.size(spans) < 2, spans).otherwise(let(F.array_distinct(spans), each))
 
 
+def _checked(rule: Rule, p: Pattern, own: Mapping[str, object] | None) -> bool:
+    """Whether the check that the pattern names follows, and not one of the user's by that name."""
+    return p.checked is not None and p.checked[0] == rule.validator and rule.validator not in (own or {})
+
+
 def _needs(rule: Rule, p: Pattern, own: Mapping[str, Validator] | None) -> str | None:
-    ours = p.checked is not None and p.checked[0] == rule.validator and rule.validator not in (own or {})
-    return p.checked[1] if ours else p.needs
+    return p.checked[1] if _checked(rule, p, own) else p.needs
 
 
 def gate(rules: Rules, own: Mapping[str, Validator] | None = None) -> str | None:
@@ -212,7 +226,7 @@ def find_spans(text: Column, rules: Rules, as_of: str = AS_OF, validators: Mappi
     python = [k for k, v in (validators or {}).items() if as_python(v) is not None]
     if any(r.validator in python for r in rules):
         raise ValueError(f"{', '.join(python)}: Python checks need a step of their own, which with_spans(), detect() and classify() make")
-    patterns = _Patterns(rules, {**registry(as_of), **(validators or {})})
+    patterns = _Patterns(rules, {**registry(as_of), **(validators or {})}, own=validators or {})
 
     def found(clean: Column, cuts: Column | None, own: Column | None) -> Column:
         return _sorted_spans(patterns, patterns.passing(text, clean, cuts, own))
@@ -232,7 +246,10 @@ def spans_column(spark: SparkSession, text_col: str, rules: Rules, as_of: str =
 
 def _sorted_spans(patterns: _Patterns, fine: Column) -> Column:
     spans = patterns.spans(fine)
-    return F.sort_array(spans if patterns.alone() else let(spans, lambda s: merged(s, patterns.scores())))
+    if patterns.alone():
+        return F.sort_array(spans)
+    every = lambda s: F.when(F.size(s) < 2, s).when(F.size(s) <= FEW, merged_few(s)).otherwise(F.sort_array(merged(s, patterns.scores())))
+    return let(F.sort_array(spans), every)
 
 
 def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str = AS_OF, validators: Mapping[str, Validator | object] | None = None, name: str = "spans", countries: Column | None = None) -> DataFrame:
@@ -246,7 +263,7 @@ def with_spans(df: DataFrame, rules: Rules, text_col: str = "text", as_of: str =
     apart = {r.validator: validators[r.validator] for r in rules.enabled() if r.validator in (validators or {})}
     if not apart:
         return df.withColumn(name, spans_column(df.sparkSession, text_col, rules, as_of) if countries is None else find_spans(F.col(text_col), rules, as_of, None, countries))
-    text, patterns = F.col(text_col), _Patterns(rules.enabled(), registry(as_of), apart)
+    text, patterns = F.col(text_col), _Patterns(rules.enabled(), registry(as_of), apart, validators)
     none = F.array().cast(f"array<{HIT}>")
     hits = _where_worth(text, rules.enabled(), countries, validators, lambda clean, cuts, own: patterns.passing(text, clean, cuts, own))
     # A generated row is computed once; a projected array would be put together anew wherever it is read.

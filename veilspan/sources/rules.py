@@ -17,6 +17,7 @@ class Pattern:
     """A shape with its score; ``needs`` finds something in every text that the shape matches (None: not known).
 
     ``checked`` is (validator, what values of the shape that pass it need as well); ``solid``, that it never matches the empty string.
+    ``stricter`` is the shape without matches that its check never approves; where that check holds, it is searched in the shape's place.
     ``local`` says that a match of which a check can approve begins at most 32 characters before a word (between white space) that
     holds ``word`` (None: what it needs), and that it ends with that word or another such one.
     """
@@ -28,6 +29,7 @@ class Pattern:
     solid: bool = False
     local: bool = False
     word: str | None = None
+    stricter: str | None = None
 
 
 @dataclass(frozen=True)
@@ -58,19 +60,19 @@ ID, MONEY, CONTACT = "pii-identification", "pii-financial", "pii-contact"
 # Entities, display names, patterns, scores and context words.  A word begins and ends at what is no ASCII letter, digit or
 # underscore, an accented letter included; what \b says of those depends on the version of Java.
 US_RULES = (
-    Rule("US_SSN", "us-ssn", ID, (Pattern(r"(?i)(?<!\w)[0-9]{3}-?[0-9]{2}-?[0-9]{4}(?!\w)", 0.5, FOUR),), ("ssn", "social security", "taxpayer id", "social security number"), "ssn", True, output_key="SSN"),
-    Rule("US_DRIVER_LICENSE", "us-drivers-license", ID, (Pattern(r"(?i)(?<!\w)[A-Z0-9]{7,12}(?!\w)", 0.5, "[A-Za-z0-9]{7}", ("driver_license", "[0-9](?:[A-Za-z]{0,4}[0-9]){3}")),), ("driver", "license", "dl", "driver's license"), "driver_license", True, output_key="DRIVER_LICENSE_NUMBER"),
+    Rule("US_SSN", "us-ssn", ID, (Pattern(r"[0-9](?<!\w[0-9])[0-9]{2}-?[0-9]{2}-?[0-9]{4}(?!\w)", 0.5, FOUR),), ("ssn", "social security", "taxpayer id", "social security number"), "ssn", True, output_key="SSN"),
+    Rule("US_DRIVER_LICENSE", "us-drivers-license", ID, (Pattern(r"(?<!\w)[A-Za-z0-9]{7,12}(?!\w)", 0.5, "[A-Za-z0-9]{7}", ("driver_license", "[0-9](?:[A-Za-z]{0,4}[0-9]){3}"), stricter=r"(?<!\w)(?=[A-Za-z]{0,4}[0-9])[A-Za-z0-9]{8,12}(?!\w)"),), ("driver", "license", "dl", "driver's license"), "driver_license", True, output_key="DRIVER_LICENSE_NUMBER"),
     Rule("US_BANK_NUMBER", "us-bank-account-number", MONEY, (Pattern(r"(?i)(?<!\w)[0-9]{6,17}(?!\w)", 0.5, FOUR),), ("bank account", "account number", "checking", "savings"), "bank_account", True, output_key="US_BANK_NUMBER"),
-    Rule("ROUTING_NUMBER", "bank-routing-number", MONEY, (Pattern(r"(?i)(?<!\w)[0-9]{9}(?!\w)", 0.5, FOUR),), ("routing", "aba", "routing number"), "no_digit_run", output_key="BANK_ROUTING_NUMBER"),
-    Rule("EMAIL_ADDRESS", "email-address", CONTACT, (Pattern(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)*\.[A-Z]{2,}", 1.0, "@"),), ("email", "contact", "email address", "contact email"), "email", output_key="EMAIL"),
-    Rule("PHONE_NUMBER", "phone-number", CONTACT, (Pattern(r"(?i)\+[0-9]{1,3}[-. ]?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.6, FOUR), Pattern(r"(?i)\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.5, FOUR)), ("phone", "call", "contact", "mobile", "cell", "telephone", "reach at"), "phone", True, output_key="PHONE_NUMBER"),
-    Rule("DATE_OF_BIRTH", "date-of-birth", ID, (Pattern(r"(?i)(?<!\w)(?:0[1-9]|[12][0-9]|3[01])[-/.](?:0[1-9]|1[0-2])[-/.][12][0-9]{3}(?!\w)", 0.85, FOUR), Pattern(r"(?i)(?<!\w)[12][0-9]{3}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])(?!\w)", 0.85, FOUR)), ("born on", "dob", "date of birth", "birthday", "age", "born", "birth date", "born in"), "dob"),
-    Rule("SERVICE_NUMBER", "service-number", ID, (Pattern(r"(?i)(?<!\w)[A-Z]{1,3}[0-9]{6,10}(?!\w)", 1.0, FOUR), Pattern(r"(?i)(?<!\w)[A-Z]{1,3}[-\s]?[0-9]{6,10}(?!\w)", 1.0, FOUR)), ("service number", "sn", "military id", "service id")),
+    Rule("ROUTING_NUMBER", "bank-routing-number", MONEY, (Pattern(r"[0-9](?<!\w[0-9])[0-9]{8}(?!\w)", 0.5, FOUR),), ("routing", "aba", "routing number"), "no_digit_run", output_key="BANK_ROUTING_NUMBER"),
+    Rule("EMAIL_ADDRESS", "email-address", CONTACT, (Pattern(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, "@"),), ("email", "contact", "email address", "contact email"), "email", output_key="EMAIL"),
+    Rule("PHONE_NUMBER", "phone-number", CONTACT, (Pattern(r"\+[0-9]{1,3}[-. ]?\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.6, FOUR), Pattern(r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", 0.5, FOUR)), ("phone", "call", "contact", "mobile", "cell", "telephone", "reach at"), "phone", True, output_key="PHONE_NUMBER"),
+    Rule("DATE_OF_BIRTH", "date-of-birth", ID, (Pattern(r"(?<!\w)(?:0[1-9]|[12][0-9]|3[01])[-/.](?:0[1-9]|1[0-2])[-/.][12][0-9]{3}(?!\w)", 0.85, FOUR), Pattern(r"[12](?<!\w[12])[0-9]{3}[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12][0-9]|3[01])(?!\w)", 0.85, FOUR)), ("born on", "dob", "date of birth", "birthday", "age", "born", "birth date", "born in"), "dob"),
+    Rule("SERVICE_NUMBER", "service-number", ID, (Pattern(r"(?<!\w)[A-Za-z]{1,3}[0-9]{6,10}(?!\w)", 1.0, FOUR), Pattern(r"(?<!\w)[A-Za-z]{1,3}[-\s]?[0-9]{6,10}(?!\w)", 1.0, FOUR)), ("service number", "sn", "military id", "service id")),
     Rule("DOD_ID", "dodi-number", ID, (Pattern(r"(?i)(?<!\w)DOD[-\s]?[0-9]{8,12}(?!\w)", 0.95, FOUR),), ("dod id", "department of defense", "military id", "dod number")),
-    Rule("VA_CLAIM_NUMBER", "va-claim-number", ID, (Pattern(r"(?i)(?<!\w)[0-9]{9}(?!\w)", 0.85, FOUR), Pattern(r"(?i)(?<!\w)[0-9]{3}\s[0-9]{3}\s[0-9]{3}(?!\w)", 0.9, r"[0-9]{3}\s[0-9]{3}", word="[0-9]{3}"), Pattern(r"(?i)(?<!\w)[0-9]{3}-[0-9]{2}-[0-9]{4}(?!\w)", 0.9, FOUR)), ("va claim", "va claim number", "claim number", "va file number", "va file no", "claim #", "va benefits", "veterans affairs"), "va_claim"),
-    Rule("BUSINESS_TAX_ID", "business-tax-id", ID, (Pattern(r"(?i)(?<!\w)[0-9]{2}-[0-9]{7}(?!\w)", 0.8, FOUR), Pattern(r"(?i)(?<!\w)[0-9]{9}(?!\w)", 0.6, FOUR)), ("ein", "tax id", "tax identification", "business tax", "practice tax", "employer identification", "irs")),
+    Rule("VA_CLAIM_NUMBER", "va-claim-number", ID, (Pattern(r"[0-9](?<!\w[0-9])[0-9]{8}(?!\w)", 0.85, FOUR), Pattern(r"[0-9](?<!\w[0-9])[0-9]{2}\s[0-9]{3}\s[0-9]{3}(?!\w)", 0.9, r"[0-9]{3}\s[0-9]{3}", word="[0-9]{3}"), Pattern(r"[0-9](?<!\w[0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?!\w)", 0.9, FOUR)), ("va claim", "va claim number", "claim number", "va file number", "va file no", "claim #", "va benefits", "veterans affairs"), "va_claim"),
+    Rule("BUSINESS_TAX_ID", "business-tax-id", ID, (Pattern(r"[0-9](?<!\w[0-9])[0-9]-[0-9]{7}(?!\w)", 0.8, FOUR), Pattern(r"[0-9](?<!\w[0-9])[0-9]{8}(?!\w)", 0.6, FOUR)), ("ein", "tax id", "tax identification", "business tax", "practice tax", "employer identification", "irs")),
     Rule("MEDICAL_LICENSE", "medical-license-number", ID, (Pattern(r"(?i)(?<!\w)(?:LIC|MD|DMC|MED)[-/]?[0-9]{4,10}(?!\w)", 1.0, FOUR),), ("medical license", "license number", "doctor license", "physician license", "medical registration")),
-    Rule("EMPLOYEE_ID", "employee-id", ID, (Pattern(r"(?i)(?<!\w)(?:EMP|EID|STAFF|HR)[-_]?[0-9]{4,10}(?!\w)", 0.85, FOUR), Pattern(r"(?i)(?<!\w)[A-Z]{2,4}[0-9]{4,10}(?!\w)", 0.85, FOUR), Pattern(r"(?i)[a-z]{2}-[0-9]{4}", 0.85, FOUR)), ("employee id", "employee code", "staff id", "staff code", "employee number", "staff number", "hr id", "personnel id", "payroll id", "employee id number")),
+    Rule("EMPLOYEE_ID", "employee-id", ID, (Pattern(r"(?i)(?<!\w)(?:EMP|EID|STAFF|HR)[-_]?[0-9]{4,10}(?!\w)", 0.85, FOUR), Pattern(r"(?<!\w)[A-Za-z]{2,4}[0-9]{4,10}(?!\w)", 0.85, FOUR), Pattern(r"[A-Za-z]{2}-[0-9]{4}", 0.85, FOUR)), ("employee id", "employee code", "staff id", "staff code", "employee number", "staff number", "hr id", "personnel id", "payroll id", "employee id number")),
 )
 
 # Shapes of access tokens, off unless asked for.
@@ -81,7 +83,7 @@ SECRET_RULES = (
     Rule("azure-key-id", "azure-key-id", "secrets", (Pattern(r"(?i)(?:azure|client|tenant|subscription).{0,20}[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}", 0.45, "[A-Fa-f0-9]{8}-[A-Fa-f0-9]{4}-"),), min_confidence=0.4),
 )
 
-_STRICT_EMPLOYEE = Pattern(r"(?i)(?<!\w)[a-z]{2}-[0-9]{4}(?!\w)", 0.85, FOUR)
+_STRICT_EMPLOYEE = Pattern(r"(?<!\w)[A-Za-z]{2}-[0-9]{4}(?!\w)", 0.85, FOUR)
 
 
 class Rules(tuple):
